@@ -59,6 +59,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def gathered(batches, column: str, limit: int = 2 * BLOCK_BYTES):
+    """A task's batches joined to blocks of about `limit` bytes of text, as the tokenizer's memo works best on large ones."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= limit:
+            yield from _joined(held, column, limit)
+            held, size = [], 0
+    if held:
+        yield from _joined(held, column, limit)
+
+
+def _joined(held: list[pa.RecordBatch], column: str, limit: int):
+    for b in pa.Table.from_batches(held).combine_chunks().to_batches():
+        yield from blocks(b, column, 2 * limit)
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
     """Slices of a batch that hold about `limit` bytes of text each; a longer single text makes a slice of its own."""
     import numpy as np

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches
+from .common import gathered, small_batches
 from .tokens import encoder
 
 SEQUENCE_TOKENS = 2048
@@ -148,11 +148,10 @@ def _pack_task(vocabulary: str, size: int) -> Callable[[Iterator[pa.RecordBatch]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, encode = _Packer(size, TaskContext.get().partitionId()), encoder(vocabulary).encode
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            for b in blocks(batch, "text"):
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
-                    packer.add(doc_id, ids + end)
-                yield from packer.batches()
+        for b in gathered(batches, "text"):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
+                packer.add(doc_id, ids + end)
+            yield from packer.batches()
         packer.close(True)
         yield from packer.batches()
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch, settle, small_batches
+from .common import gathered, scratch, settle, small_batches
 from .tokens import encoder
 
 #: Fixed values of the public seekable format.
@@ -112,10 +112,9 @@ def _write_task(folder: str, vocabulary: str) -> Callable[[Iterator[pa.RecordBat
         end = np.array([END_ID], "<u4").tobytes()
         with fs.open_output_stream(draft) as out:
             writer = FrameWriter(out)
-            for batch in batches:
-                for b in blocks(batch, "text"):
-                    for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
-                        writer.add(doc_id, ids + end)
+            for b in gathered(batches, "text"):
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
+                    writer.add(doc_id, ids + end)
             writer.close()
         fs.move(draft, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"number": [number], "path": [f"{folder}/{name}"], "docs": [len(writer.ids)], "tokens": [writer.tokens]}, FILES)

@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Chunks one Python process remembers in each of two generations (about 200 bytes each).
 MEMO_CHUNKS = 400_000
@@ -39,6 +38,31 @@ def encoder(path: str) -> "Encoder":
     return _processes[path]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level BPE writes for each byte: itself if printable, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+class _Memo:
+    """Ids of chunks of one kind, in two generations: what the older one has not been asked for goes first."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.new) > MEMO_CHUNKS:
+            self.new, self.old = {}, self.new
+
+    def get(self, chunk: str) -> bytes | None:
+        ids = self.new.get(chunk)
+        if ids is None and (ids := self.old.get(chunk)) is not None:
+            self.new[chunk] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,86 +70,61 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.breaks = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.inner, self.bare = _Memo(), _Memo()  # chunks after a space, and at a start
 
     def _other(self, chunk: str) -> bytes:
-        ids = self.memo.get(chunk)
+        """Any text from a start."""
+        ids = self.bare.get(chunk)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
             if len(chunk) <= 32:
-                self.memo[chunk] = ids
+                self.bare.new[chunk] = ids
+        return ids
+
+    def _word(self, memo: _Memo, lead: str, word: str) -> bytes:
+        """A Latin word is one piece for the library's BPE model."""
+        ids = memo.get(word)
+        if ids is None:
+            piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = memo.new[word] = array("I", [t.id for t in self.model.tokenize(lead + piece)]).tobytes()
         return ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Latin words of one kind (all with a space before, or none), encoded as lines of long texts.
-
-        A line break between them is always a piece of its own and no word has its id.
-        """
-        if len(self.breaks) != 1:
-            for w in words:
-                self._other(w)
-            return
-        lines = [words[k : k + 256] for k in range(0, len(words), 256)]
-        for own, e in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            body, at = ids.tobytes(), 0
-            ends = np.append(np.flatnonzero(ids == self.breaks[0]), len(ids)) * 4
-            for w, end in zip(own, ends.tolist(), strict=True):
-                self.memo[w] = body[at:end]
-                at = end + 4
-
-    def _chunks(self, chunks: set[str], lead: str) -> dict[str, bytes]:
-        """Ids of chunks that stand after `lead`, a space or nothing."""
-        memo, older = self.memo, self.older.get
-        out = {c: memo.get(lead + c) for c in chunks}
-        open_ = []
-        for c in [c for c, ids in out.items() if ids is None]:
-            if (ids := older(lead + c)) is None:
-                open_.append(c)
-            else:
-                out[c] = memo[lead + c] = ids
-        parts = {}
-        fresh: dict[str, set[str]] = {" ": set(), "": set()}
-        for c in open_:
-            if m := _SIMPLE.fullmatch(c):
-                parts[c] = a, tail, b, end = m.groups()
-                if lead + a not in memo:
-                    fresh[lead].add(lead + a)
-                if b and b not in memo:
-                    fresh[""].add(b)
-        for words in fresh.values():
-            self._learn(sorted(words))
-        for c in open_:
-            if c not in parts:
-                out[c] = self._other(lead + c)
-                continue
-            a, tail, b, end = parts[c]
-            ids = memo[lead + a]
-            if tail:
-                ids += self._other(tail)
-            if b:
-                ids += self._other("\n") + memo[b]
-                if end:
-                    ids += self._other(end)
+    def _chunks(self, chunks: set[str], memo: _Memo, space: str) -> dict[str, bytes]:
+        """Ids of chunks that stand after `space`, a space or nothing."""
+        out = {c: i for c in chunks if (i := memo.new.get(c)) is not None}
+        lead = self.letters[32] if space else ""
+        word, simple, old = self._word, _SIMPLE.fullmatch, memo.old.get
+        for c in chunks - out.keys():
+            ids = old(c)
+            if ids is None:
+                if m := simple(c):
+                    a, tail, b, end = m.groups()
+                    ids = word(memo, lead, a)
+                    if tail:
+                        ids += self._other(tail)
+                    if b:
+                        ids += self._other("\n") + word(self.bare, "", b)
+                        if end:
+                            ids += self._other(end)
+                else:
+                    ids = array("I", self.tokenizer.encode(space + c, add_special_tokens=False).ids).tobytes()
             out[c] = ids
             if len(c) <= 32:
-                memo[lead + c] = ids
+                memo.new[c] = ids
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo, self.older = {}, self.memo
+        self.inner.turn()
+        self.bare.turn()
         cut = [(t or "").split(" ") for t in texts]
         inner = set().union(*cut)
         if odd := {c for c in inner if c == "" or c != c.strip()}:  # spaces beside other white space
             for i, c in enumerate(cut):
                 if not odd.isdisjoint(c):
                     cut[i] = _SAFE.split(texts[i] or "")
-                    inner.update(cut[i])
-            inner -= odd - set().union(*cut)
-        heads = {c[0] for c in cut}
-        first, later = self._chunks(heads, ""), self._chunks(inner, " ").__getitem__
+            inner = set().union(*cut)
+        first = self._chunks({c[0] for c in cut}, self.bare, "")
+        later = self._chunks(inner, self.inner, " ").__getitem__
         return [first[c[0]] + b"".join(map(later, c[1:])) for c in cut]
