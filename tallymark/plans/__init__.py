@@ -1,4 +1,6 @@
 """Registered queries over the test tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import comparing, matching, reading
+
+QUERIES = reading.QUERIES | comparing.QUERIES | matching.QUERIES
+ORACLES = reading.ORACLES | comparing.ORACLES | matching.ORACLES
