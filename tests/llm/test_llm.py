@@ -87,7 +87,7 @@ def test_alignment_is_edit_distance():
         for limit in (d - 1, d, d + 3):
             if limit >= 0:
                 assert near_dedup.within(a, b, limit) == (d <= limit)
-                assert near_dedup._within_many(a, b, limit) == (d <= limit)
+                assert near_dedup._banded(a.tolist(), b.tolist(), limit) == (d <= limit)
 
 
 def test_near_duplicates_against_brute_force(spark):
