@@ -12,10 +12,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 #: Chunks one Python process remembers in each of two generations (about 200 bytes each).
 MEMO_CHUNKS = 400_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"^ | $|\s | \s")
 #: A Latin word, then sentence marks, then at most one line break and a further word with marks.
 _WORD = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
 _SIMPLE = re.compile(rf"({_WORD})([.,;:!?]*)(?:\n({_WORD})([.,;:!?]*))?")
@@ -45,23 +47,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
-class _Memo:
-    """Ids of chunks of one kind, in two generations: what the older one has not been asked for goes first."""
+class _Memo(dict):
+    """Ids of chunks of one kind, found out by `find` when first asked for, in two generations: what the older one has not been asked for goes first."""
 
-    def __init__(self):
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find, self.old = find, {}
 
-    def turn(self) -> None:
-        if len(self.new) > MEMO_CHUNKS:
-            self.new, self.old = {}, self.new
-
-    def get(self, chunk: str) -> bytes | None:
-        ids = self.new.get(chunk)
-        if ids is None and (ids := self.old.get(chunk)) is not None:
-            self.new[chunk] = ids
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.find(chunk)
+        if len(chunk) <= 32:
+            self[chunk] = ids
         return ids
 
+    def turn(self) -> None:
+        if len(self) > MEMO_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -71,60 +75,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.inner, self.bare = _Memo(), _Memo()  # chunks after a space, and at a start
+        self.any = _Memo(self._any)  # any text from a start
+        self.bare, self.bare_words = _Memo(lambda c: self._chunk(c, "")), _Memo(lambda w: self._word(w, ""))
+        self.inner, self.inner_words = _Memo(lambda c: self._chunk(c, " ")), _Memo(lambda w: self._word(w, self.letters[32]))
 
-    def _other(self, chunk: str) -> bytes:
-        """Any text from a start."""
-        ids = self.bare.get(chunk)
-        if ids is None:
-            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-            if len(chunk) <= 32:
-                self.bare.new[chunk] = ids
-        return ids
+    def _any(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, memo: _Memo, lead: str, word: str) -> bytes:
+    def _word(self, word: str, lead: str) -> bytes:
         """A Latin word is one piece for the library's BPE model."""
-        ids = memo.get(word)
-        if ids is None:
-            piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = memo.new[word] = array("I", [t.id for t in self.model.tokenize(lead + piece)]).tobytes()
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(lead + piece)]).tobytes()
+
+    def _chunk(self, chunk: str, space: str) -> bytes:
+        """A chunk that stands after `space`, a space or nothing."""
+        m = _SIMPLE.fullmatch(chunk)
+        if not m:
+            return self._any(space + chunk)
+        first, marks, second, end = m.groups()
+        ids = (self.inner_words if space else self.bare_words)[first]
+        if marks:
+            ids += self.any[marks]
+        if second:
+            ids += self.any["\n"] + self.bare_words[second]
+            if end:
+                ids += self.any[end]
         return ids
 
-    def _chunks(self, chunks: set[str], memo: _Memo, space: str) -> dict[str, bytes]:
-        """Ids of chunks that stand after `space`, a space or nothing."""
-        out = {c: i for c in chunks if (i := memo.new.get(c)) is not None}
-        lead = self.letters[32] if space else ""
-        word, simple, old = self._word, _SIMPLE.fullmatch, memo.old.get
-        for c in chunks - out.keys():
-            ids = old(c)
-            if ids is None:
-                if m := simple(c):
-                    a, tail, b, end = m.groups()
-                    ids = word(memo, lead, a)
-                    if tail:
-                        ids += self._other(tail)
-                    if b:
-                        ids += self._other("\n") + word(self.bare, "", b)
-                        if end:
-                            ids += self._other(end)
-                else:
-                    ids = array("I", self.tokenizer.encode(space + c, add_special_tokens=False).ids).tobytes()
-            out[c] = ids
-            if len(c) <= 32:
-                memo.new[c] = ids
-        return out
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
-        self.inner.turn()
-        self.bare.turn()
-        cut = [(t or "").split(" ") for t in texts]
-        inner = set().union(*cut)
-        if odd := {c for c in inner if c == "" or c != c.strip()}:  # spaces beside other white space
-            for i, c in enumerate(cut):
-                if not odd.isdisjoint(c):
-                    cut[i] = _SAFE.split(texts[i] or "")
-            inner = set().union(*cut)
-        first = self._chunks({c[0] for c in cut}, self.bare, "")
-        later = self._chunks(inner, self.inner, " ").__getitem__
-        return [first[c[0]] + b"".join(map(later, c[1:])) for c in cut]
+        for memo in (self.any, self.bare, self.bare_words, self.inner, self.inner_words):
+            memo.turn()
+        inner, out = self.inner.__getitem__, []
+        for t in texts:
+            chunks = (t or "").split(" ")
+            if t and _ODD.search(t):  # spaces beside other white space
+                chunks = _SAFE.split(t)
+            out.append(self.bare[chunks[0]] + b"".join(map(inner, chunks[1:])))
+        return out
