@@ -165,9 +165,14 @@ query("w_update_errors", f"select o_orderkey from ({_IN}) where o_orderkey >= 10
 query("w_upsert", f"{_MERGED} union all select * from ({_IN}) where o_orderkey >= 10000000")(lambda spark, d: files.upserted(table(spark, d, "orders").select(*O), _incoming(spark, d), "o_orderkey", "turn"))
 
 
-@query("r_money_parse", "select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey + 0.5 when 1 then (o_orderkey // 1000)::double + (o_orderkey % 1000) / 1000.0 else o_orderkey + 0.25 end::double as amount from orders where o_orderkey between 1000 and 9999")
-def r_money_parse(spark, d):
+def _money_parsed(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("o_orderkey")
     thousands = F.concat(F.floor(i / 1000).cast("string"), F.lit("."), F.lpad((i % 1000).cast("string"), 3, "0"), F.lit(",50"))
     t = F.when(i % 3 == 0, F.concat(F.lit("EUR "), i.cast("string"), F.lit(",50"))).when(i % 3 == 1, thousands).otherwise(F.concat(i.cast("string"), F.lit(".25 USD")))
-    return table(spark, d, "orders").where(i.between(1000, 9999)).select("o_orderkey", money(t).alias("amount"))
+    return table(spark, d, "orders").select("o_orderkey", money(t).alias("amount"))
+
+
+query("r_money_parse", "select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey + 0.5 when 1 then (o_orderkey // 1000)::double + (o_orderkey % 1000) / 1000.0 else o_orderkey + 0.25 end::double as amount from orders where o_orderkey between 1000 and 9999")(
+    lambda spark, d: _money_parsed(spark, d).where(F.col("o_orderkey").between(1000, 9999))
+)
+query("r_money_parse_all", "select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey + 0.5 when 1 then o_orderkey / 1000.0::double else o_orderkey + 0.25 end::double as amount from orders")(_money_parsed)
