@@ -6,6 +6,9 @@ buckets of their largest coordinates. A bucket is cut into blocks of bounded siz
 scored against the queries that probe it with exact inner products, and only each block's best
 are passed on. Equal vectors are one candidate that carries its smallest ids, so a group of copies
 of any size costs what one vector costs.
+
+Candidates are hashed in bands of like length, so that a few long ones do not move the others' buckets.
+Bands of up to SMALL_BAND candidates are scored whole.
 """
 
 from __future__ import annotations
@@ -15,16 +18,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, settle
+from .common import settle
 
 #: Tables, buckets that a query probes in each, and the stride of ids that are queries.
 TABLES, PROBES, QUERY_STRIDE = 12, 24, 20
 NEIGHBOURS = 20
 #: Distinct vectors in one block of a bucket.
 BLOCK_ROWS = 2048
+#: Distinct vectors up to which a band of lengths is scored whole, and queries that meet a block of such vectors in one task.
+SMALL_BAND, QUERY_ROWS = 2048, 1024
 SEED = 7
 
 
@@ -69,18 +74,19 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), dims)
 
 
-def _hash_task(dims: int, tables: int, probes: int, longest: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows -> rows with an array of buckets per table. Candidates (longest given) get one more
-    coordinate that makes all lengths equal; a query's is 0, so angles order as inner products do."""
+def _hash_task(dims: int, tables: int, probes: int, longest: dict[int, float] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows -> rows with an array of buckets per table. Candidates (longest of each band given) get one more
+    coordinate that makes all lengths of a band equal; a query's is 0, so angles order as inner products do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = signs(dims + 1, tables)
         for b in batches:
             if not b.num_rows:
                 continue
-            x = matrix(b.column("v"), dims)
-            square = (x * x).sum(1)
-            extra = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(longest * longest - square, 0))
+            x, extra = matrix(b.column("v"), dims), np.zeros(b.num_rows)
+            if longest is not None:
+                x = x / np.array([longest[k] for k in b.column("band").to_pylist()])[:, None]
+                extra = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
             x = np.hstack([x, extra[:, None]])
             found = np.concatenate([buckets(x, s, probes) + t * 2 * sign.shape[2] for t, s in enumerate(sign)], axis=1)
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1) * found.shape[1], found.ravel().astype(np.int32))
@@ -132,6 +138,21 @@ def usable(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") -
     return vectors.where(F.col(id_).isNotNull() & v.isNotNull() & ~bad & ~zero).select(F.col(id_).cast("long").alias("vec_id"), v.alias("v"))
 
 
+def _length(v: Column) -> Column:
+    """Euclidean length, without overflow of the squares."""
+    most = F.array_max(F.transform(v, F.abs))
+    return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+
+
+def _every(rep: DataFrame, n: int, asked: DataFrame, queries: int, dims: int, k: int) -> DataFrame:
+    """query_id, rep, score: each query's best of all n candidates, in tasks of bounded blocks of both."""
+    parts, blocks = -(-queries // QUERY_ROWS), -(-n // BLOCK_ROWS)
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    x = rep.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), each(parts).alias("part"), "rep", "v")
+    q = asked.select(each(blocks).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), "query_id", "v")
+    return x.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInPandas(_score_block(dims, k), "query_id long, rep long, score double")
+
+
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by `stride` its k nearest found among all other rows.
 
@@ -143,27 +164,36 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    dims_row = rows.agg(F.min_by(F.size("v"), "vec_id"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    dims, longest = dims_row[0] or 1, dims_row[1] or 0.0
+    dims = rows.agg(F.min_by(F.size("v"), "vec_id")).first()[0] or 1
     rows = rows.where(F.size("v") == dims)
     # equal vectors: one candidate with its k + 1 smallest ids; partial lists are cut as they are merged
     rep = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     rep = rep.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    rep = settle(rep.select(F.col("ids")[0].alias("rep"), "ids", "v"), "vectors")
+    rep = rep.select(F.col("ids")[0].alias("rep"), "ids", "v", _length(F.col("v")).alias("length"))
+    rep = settle(rep.withColumn("band", F.floor(F.log2("length") + 0.5)), "vectors")  # from 0.71 to 1.41 times a power of two
     asked = rows.where(F.col("vec_id") % stride == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = settle(asked, "queries")
-    hashed = rep.select("rep", "v").mapInArrow(_hash_task(dims, tables, 1, longest), "rep long, v array<double>, buckets array<int>")
-    hashed = hashed.select("rep", "v", F.explode("buckets").alias("bucket"))
-    probing = asked.mapInArrow(_hash_task(dims, tables, probes, None), "query_id long, v array<double>, buckets array<int>")
+    bands = rep.groupBy("band").agg(F.max("length").alias("longest"), F.count("*").alias("vectors")).collect()  # about 2,100 at most
+    queries = asked.count()
+    small = {r.band: r.vectors for r in bands if r.vectors <= SMALL_BAND}
+    hashed = rep.where(~F.col("band").isin(list(small))).select("rep", "v", "band").mapInArrow(_hash_task(dims, tables, 1, {r.band: r.longest for r in bands}), "rep long, v array<double>, band long, buckets array<int>")
+    hashed = hashed.select("rep", "v", "band", F.explode("buckets").alias("bucket"))
+    probing = asked.select("query_id", "v").mapInArrow(_hash_task(dims, tables, probes, None), "query_id long, v array<double>, buckets array<int>")
     probing = probing.select("query_id", "v", F.explode("buckets").alias("bucket"))
-    sizes = hashed.groupBy("bucket").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS)).select("bucket", "blocks")
-    sizes = F.broadcast(settle(sizes, "buckets"))  # 2 * tables * padded dims rows at most
+    sizes = hashed.groupBy("band", "bucket").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS)).select("band", "bucket", "blocks")
+    sizes = F.broadcast(settle(sizes, "buckets"))  # 2 * tables * padded dims rows a band at most
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = hashed.join(sizes, "bucket").select("bucket", block.alias("block"), "rep", "v")
-    asked_of = probing.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), "query_id", "v")
-    found = dealt.groupBy("bucket", "block").cogroup(asked_of.groupBy("bucket", "block")).applyInPandas(_score_block(dims, k), "query_id long, rep long, score double")
-    found = found.dropDuplicates(["query_id", "rep"])
-    ids = found.join(rep.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    # what one query gathers is bounded: tables * probes * blocks best lists of k + 1
-    best = ids.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    key = ["band", "bucket", "block"]
+    dealt = hashed.join(sizes, ["band", "bucket"]).select("band", "bucket", block.alias("block"), "rep", "v")
+    asked_of = probing.join(sizes, "bucket").select("band", "bucket", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), "query_id", "v")
+    found = dealt.groupBy(*key).cogroup(asked_of.groupBy(*key)).applyInPandas(_score_block(dims, k), "query_id long, rep long, score double").dropDuplicates(["query_id", "rep"])
+    if small and queries:
+        found = found.union(_every(rep.where(F.col("band").isin(list(small))), sum(small.values()), asked, queries, dims, k))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        ids = found.join(rep.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        # what one query gathers is bounded: tables * probes * blocks best lists of k + 1
+        return ids.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+
+    best = ranked(found)
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
