@@ -8,7 +8,8 @@ are passed on. Equal vectors are one candidate that carries its smallest ids, so
 of any size costs what one vector costs.
 
 Candidates are hashed in bands of like length, so that a few long ones do not move the others' buckets.
-Bands of up to SMALL_BAND candidates are scored whole.
+Bands of up to SMALL_BAND candidates are scored whole, and so is the table for queries whose
+buckets hold too few candidates.
 """
 
 from __future__ import annotations
@@ -156,8 +157,8 @@ def _every(rep: DataFrame, n: int, asked: DataFrame, queries: int, dims: int, k:
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by `stride` its k nearest found among all other rows.
 
-    Nearness is the inner product in double precision; ties go to the smaller id; a query with fewer
-    candidates found gets fewer rows. Vectors that are null, zero, of another length than the
+    Nearness is the inner product in double precision; ties go to the smaller id; a query gets fewer
+    than k rows only if there are fewer other rows. Vectors that are null, zero, of another length than the
     first usable one's, or hold null or non-finite components take no part; nor do rows without id.
     Of repeated ids each row counts as a candidate; a query id asks once, with its smallest vector.
     An empty table gives no rows. Other columns are ignored.
@@ -167,14 +168,14 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
     dims = rows.agg(F.min_by(F.size("v"), "vec_id")).first()[0] or 1
     rows = rows.where(F.size("v") == dims)
     # equal vectors: one candidate with its k + 1 smallest ids; partial lists are cut as they are merged
-    rep = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    rep = rep.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    rep = rep.select(F.col("ids")[0].alias("rep"), "ids", "v", _length(F.col("v")).alias("length"))
+    rep = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"), F.count("*").alias("n"))
+    rep = rep.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
+    rep = rep.select(F.col("ids")[0].alias("rep"), "ids", "v", "n", _length(F.col("v")).alias("length"))
     rep = settle(rep.withColumn("band", F.floor(F.log2("length") + 0.5)), "vectors")  # from 0.71 to 1.41 times a power of two
-    asked = rows.where(F.col("vec_id") % stride == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    asked = rows.where(F.col("vec_id") % stride == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"), F.count("*").alias("own"))
     asked = settle(asked, "queries")
-    bands = rep.groupBy("band").agg(F.max("length").alias("longest"), F.count("*").alias("vectors")).collect()  # about 2,100 at most
-    queries = asked.count()
+    bands = rep.groupBy("band").agg(F.max("length").alias("longest"), F.count("*").alias("vectors"), F.sum("n").alias("rows")).collect()  # about 2,100 at most
+    queries, total = asked.count(), sum(r.rows for r in bands)
     small = {r.band: r.vectors for r in bands if r.vectors <= SMALL_BAND}
     hashed = rep.where(~F.col("band").isin(list(small))).select("rep", "v", "band").mapInArrow(_hash_task(dims, tables, 1, {r.band: r.longest for r in bands}), "rep long, v array<double>, band long, buckets array<int>")
     hashed = hashed.select("rep", "v", "band", F.explode("buckets").alias("bucket"))
@@ -195,5 +196,10 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
         # what one query gathers is bounded: tables * probes * blocks best lists of k + 1
         return ids.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
 
-    best = ranked(found)
+    best = settle(ranked(found), "best")
+    held = asked.join(best, "query_id", "left").where(F.coalesce(F.size("best"), F.lit(0)) < F.least(F.lit(k), F.lit(total) - F.col("own")))
+    few = settle(held.select("query_id", "v"), "few")
+    lacking = few.count()
+    if lacking:
+        best = best.join(few, "query_id", "left_anti").union(ranked(_every(rep, sum(r.vectors for r in bands), few, lacking, dims, k)))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

@@ -26,6 +26,21 @@ def clustered(rng, n):
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+@pytest.mark.parametrize("n", [1, 15, 40])
+def test_small_tables_are_searched_whole(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    ids = np.arange(n)
+    assert found(spark, ids, x) == {q: best for q, best in exact(ids, x, 20).items() if best}
+
+
+def test_queries_with_few_candidates_see_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SMALL_BAND", 0)  # all are hashed
+    x = clustered(np.random.default_rng(1), 300)
+    ids = np.arange(300)
+    got, want = found(spark, ids, x, tables=1, probes=1), exact(ids, x, 20)
+    assert {q: len(v) for q, v in got.items()} == {q: 20 for q in want}
+
+
 @pytest.mark.parametrize("length", [10.0, 1000.0])
 def test_long_vectors_do_not_hide_others(spark, length):
     x = clustered(np.random.default_rng(2), 5000)
