@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def matching(log: DataFrame, start: str | None = None, end: str | None = None, operations: list[str] | None = None, key: str | None = None, user: str | None = None) -> DataFrame:
@@ -38,21 +42,29 @@ def append(log: DataFrame, path: str) -> None:
     log.withColumn("date", F.to_date("ts")).write.partitionBy("connector", "date").mode("append").parquet(path)
 
 
+def _link_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of whole chains, each in order -> the same with previous_hash and hash. Only the last hash is carried; null content makes all later hashes null."""
+    at, last = "", ()
+    for batch in batches:
+        before, after = [], []
+        for name, body in zip(batch.column("_chain").to_pylist(), batch.column("_body").to_pylist()):
+            if (name,) != last:
+                at, last = "", (name,)
+            before.append(at)
+            at = None if at is None or body is None else hashlib.sha256(f"{at}\n{body}".encode()).hexdigest()
+            after.append(at)
+        yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_order"), batch.column("_body"), pa.array(before, pa.string()), pa.array(after, pa.string())], ["_key", "_order", "_body", "previous_hash", "hash"])
+
+
 def linked(entries: DataFrame, chain: str, order: str, body: str) -> DataFrame:
     """chain, order, body, previous_hash, hash with hash = sha256(previous_hash + newline + body), from the empty text on.
 
-    One chain is one log file, whose length rotation bounds, so a chain is folded within its group.
+    A chain is one sequence, so one task hashes it; it is sorted on disk if need be and read in batches, whatever its length.
     """
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("b"))))
-    empty = F.from_json(F.lit("[]"), f"array<struct<o:{dict(entries.dtypes)[order]},b:string,p:string,h:string>>")
-    start = F.struct(F.lit("").alias("at"), empty.alias("out"))
-
-    def step(acc, e):
-        h = F.sha2(F.concat(acc["at"], F.lit("\n"), e["b"]).cast("binary"), 256)
-        return F.struct(h.alias("at"), F.concat(acc["out"], F.array(F.struct(e["o"].alias("o"), e["b"].alias("b"), acc["at"].alias("p"), h.alias("h")))).alias("out"))
-
-    folded = entries.groupBy(chain).agg(F.aggregate(steps, start, step)["out"].alias("out")).select(chain, F.inline("out"))
-    return folded.select(chain, F.col("o").alias(order), F.col("b").alias(body), F.col("p").alias("previous_hash"), F.col("h").alias("hash"))
+    key = entries.select(F.col(chain).alias("_key"), F.col(order).alias("_order"), F.col(body).cast("string").alias("_body"), F.col(chain).cast("string").alias("_chain"))
+    ready = key.repartition("_key").sortWithinPartitions("_key", "_order", "_body")
+    kinds = StructType([f for f in key.schema.fields if f.name != "_chain"] + [StructField("previous_hash", StringType()), StructField("hash", StringType())])
+    return ready.mapInArrow(_link_task, kinds).select(F.col("_key").alias(chain), F.col("_order").alias(order), F.col("_body").alias(body), "previous_hash", "hash")
 
 
 def breaks(stored: DataFrame, chain: str, order: str, body: str) -> DataFrame:
