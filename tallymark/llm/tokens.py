@@ -4,7 +4,8 @@ Byte-level BPE with the usual pattern never joins a letter with the single space
 so a text may be cut before any space that stands between two non-space characters; each chunk is
 then encoded once per process by the library. In the same way a chunk of Latin letters that ends
 in sentence marks, or that holds a line break between two such words, is put together from its
-parts. Texts with other white space next to a space are cut at safe spaces only.
+parts. Texts with other white space next to a space are cut at safe spaces only. Texts that hold
+the string of an added token go to the library whole, which makes it that token's id.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.any = _Memo(self._any)  # any text from a start
         self.bare, self.bare_words = _Memo(lambda c: self._chunk(c, "")), _Memo(lambda w: self._word(w, ""))
@@ -108,6 +109,9 @@ class Encoder:
             memo.turn()
         inner, out = self.inner.__getitem__, []
         for t in texts:
+            if t and any(a in t for a in self.added):  # the library cuts these out before all else
+                out.append(self._any(t))
+                continue
             chunks = (t or "").split(" ")
             if t and _ODD.search(t):  # spaces beside other white space
                 chunks = _SAFE.split(t)
