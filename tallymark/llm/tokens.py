@@ -15,8 +15,11 @@ import re
 from array import array
 from collections.abc import Callable
 
-#: Chunks one Python process remembers in each of two generations (about 200 bytes each).
-MEMO_CHUNKS = 400_000
+#: Chunks that each of a process's three memos holds in each of two generations, about 230 bytes apiece. Two of them stay
+#: small (texts' first chunks, sentence marks), so a process holds about 100 MB at most.
+MEMO_CHUNKS = 200_000
+#: Characters of the longest chunk that is remembered.
+LONGEST = 32
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $|\s | \s")
 #: A Latin word, then sentence marks, then at most one line break and a further word with marks.
@@ -58,15 +61,13 @@ class _Memo(dict):
         ids = self.old.get(chunk)
         if ids is None:
             ids = self.find(chunk)
-        if len(chunk) <= 32:
+        if len(chunk) <= LONGEST:
+            if len(self) >= MEMO_CHUNKS:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
-    def turn(self) -> None:
-        if len(self) > MEMO_CHUNKS:
-            self.old = dict(self)
-            self.clear()
-
 
 class Encoder:
     def __init__(self, path: str):
@@ -77,8 +78,8 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.any = _Memo(self._any)  # any text from a start
-        self.bare, self.bare_words = _Memo(lambda c: self._chunk(c, "")), _Memo(lambda w: self._word(w, ""))
-        self.inner, self.inner_words = _Memo(lambda c: self._chunk(c, " ")), _Memo(lambda w: self._word(w, self.letters[32]))
+        self.bare = _Memo(lambda c: self._chunk(c, "", self.bare))
+        self.inner = _Memo(lambda c: self._chunk(c, " ", self.inner))
 
     def _any(self, chunk: str) -> bytes:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
@@ -88,25 +89,25 @@ class Encoder:
         piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(lead + piece)]).tobytes()
 
-    def _chunk(self, chunk: str, space: str) -> bytes:
-        """A chunk that stands after `space`, a space or nothing."""
+    def _chunk(self, chunk: str, space: str, words: "_Memo") -> bytes:
+        """A chunk that stands after `space`, a space or nothing; `words` are the chunks in the same place."""
         m = _SIMPLE.fullmatch(chunk)
         if not m:
             return self._any(space + chunk)
         first, marks, second, end = m.groups()
-        ids = (self.inner_words if space else self.bare_words)[first]
+        if first == chunk:
+            return self._word(first, self.letters[32] if space else "")
+        ids = words[first]
         if marks:
             ids += self.any[marks]
         if second:
-            ids += self.any["\n"] + self.bare_words[second]
+            ids += self.any["\n"] + self.bare[second]
             if end:
                 ids += self.any[end]
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
-        for memo in (self.any, self.bare, self.bare_words, self.inner, self.inner_words):
-            memo.turn()
         inner, out = self.inner.__getitem__, []
         for t in texts:
             if t and any(a in t for a in self.added):  # the library cuts these out before all else
