@@ -14,6 +14,7 @@ run again on a lost executor deals alike, and bin sizes are summed without readi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,14 +51,26 @@ def draw_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy's sampler takes populations below 10**9; beyond, a normal draw of the same mean and variance (margins stay exact)."""
+    """An exact draw at any size: numpy's sampler up to its limit of 10**9, inversion of the same law beyond."""
     if draws == 0 or good == 0:
         return 0
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, draws))
+    return invert_hypergeometric(rng.random(), good, bad, draws)
+
+
+def invert_hypergeometric(u: float, good: int, bad: int, draws: int) -> int:
+    """The smallest x with P(X <= x) > u. Probabilities come from the ratios of neighbours, around the mode as far as they are above 1e-30 of it."""
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
     share = good / (good + bad)
-    spread = np.sqrt(draws * share * (1 - share) * (1 - draws / (good + bad)))
-    return int(np.clip(round(rng.normal(draws * share, spread)), max(0, draws - bad), min(good, draws)))
+    reach = 40 + int(12 * math.sqrt(draws * share * (1 - share)))
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    x = np.arange(first + 1, last + 1, dtype=np.float64)  # P(x) / P(x - 1)
+    ratio = np.log((good - x + 1) * (draws - x + 1)) - np.log(x * (bad - draws + x))
+    weight = np.concatenate([[0.0], np.cumsum(ratio)])
+    total = np.cumsum(np.exp(weight - weight.max()))
+    return first + int(np.searchsorted(total, u * total[-1], side="right"))
 
 
 def deal(counts: np.ndarray, bins: int, seed: int, partition: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +80,14 @@ def deal(counts: np.ndarray, bins: int, seed: int, partition: int) -> tuple[np.n
     return shard * bins + rng.integers(0, bins, len(shard)), rng.integers(0, 1 << 62, len(shard))
 
 
-def _deal_task(matrix: dict[int, list[int]], bins: int, seed: int, names: tuple[str, str]) -> Callable:
+def _deal_task(matrix, bins: int, seed: int, names: tuple[str, str]) -> Callable:
+    """matrix: broadcast numbers of partitions, ascending, and what each sends to each shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
-        own, keys = deal(np.array(matrix.get(p, [0])), bins, seed, p)
+        order, drawn = matrix.value
+        at = int(np.searchsorted(order, p))
+        own, keys = deal(drawn[at] if at < len(order) and order[at] == p else np.zeros(1, np.int64), bins, seed, p)
         at = 0
         for b in batches:
             n = b.num_rows
@@ -118,16 +135,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     Row counts of shards differ by at most one, for any table: empty ones, too. Nulls, repeated
     rows, empty texts and further columns are rows like all others; where docs has a column named
     shard or slot already, the new one gets an underscore. docs must give the same rows in the
-    same partitions when read twice (a table does); otherwise the job fails rather than miscounts.
+    same partitions when read twice (a table does, and so do sorted, grouped and repartitioned ones);
+    otherwise the job fails rather than miscounts. The driver draws one number for each partition and
+    shard, and sends 8 bytes for each.
     """
     spark = docs.sparkSession
     small_batches(spark)
     found = dict(docs.groupBy(F.spark_partition_id().alias("p")).count().collect())  # one row per partition
     order = sorted(found)
     drawn = draw_matrix([found[p] for p in order], shards, seed)
-    matrix = {p: drawn[k].tolist() for k, p in enumerate(order)}
+    matrix = spark.sparkContext.broadcast((np.array(order, np.int64), drawn))  # 8 bytes for each partition and shard
     bins = max(1, -(-partitions(spark) // shards))
-    counted = spark.createDataFrame([(p, matrix[p]) for p in order], "partition int, counts array<long>").repartition(max(1, min(len(order), partitions(spark))))
+    counted = spark.createDataFrame([(p, drawn[k].tolist()) for k, p in enumerate(order)], "partition int, counts array<long>").repartition(max(1, min(len(order), partitions(spark))))
     sizes = dict(counted.mapInArrow(_count_task(bins, seed), "bin int, n long").groupBy("bin").agg(F.sum("n")).collect())  # shards * bins rows
     first: dict[int, int] = {}
     for s in range(shards):
