@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-In each table a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) sends a
-unit vector to its nearest signed axis. Vectors lie in one bucket per table; queries probe the
-buckets of their largest coordinates. A bucket is cut into blocks of bounded size, each block is
-scored against the queries that probe it with exact inner products, and only each block's best
-are passed on. Equal vectors are one candidate that carries its smallest ids, so a group of copies
-of any size costs what one vector costs.
+In each table fast pseudo-rotations (three rounds of random signs and a Hadamard transform) send a
+unit vector to its nearest signed axis each; the axes together are its bucket, and how many there are
+follows the table's size. Vectors lie in one bucket per table; queries probe the buckets nearest to
+them, in the order of what they lack in the rotated coordinates. Buckets with the same first axis are
+one cell. A cell is cut into blocks of bounded numbers of vectors and of queries; in a block, exact inner
+products are taken of a query and the vectors of the buckets that it probes. Only those are
+passed on that reach the query's bound: its best inner products with a sample of the vectors.
+Equal vectors are one candidate that carries its smallest ids, so a group of copies of any size
+costs what one vector costs.
 
 Candidates are hashed in bands of like length, so that a few long ones do not move the others' buckets.
 Bands of up to SMALL_BAND candidates are scored whole, and so is the table for queries whose
@@ -14,6 +17,7 @@ buckets hold too few candidates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,20 +28,33 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Tables, buckets that a query probes in each, and the stride of ids that are queries.
-TABLES, PROBES, QUERY_STRIDE = 12, 24, 20
+#: Tables, buckets that a query probes in each with two axes (three times as many with each further axis), and the stride of ids that are queries.
+TABLES, PROBES, QUERY_STRIDE = 12, 160, 20
 NEIGHBOURS = 20
-#: Distinct vectors in one block of a bucket.
+#: Of each rotation the nearest axes that probes combine.
+NEAREST_AXES = 32
+#: Distinct vectors in one block of a cell.
 BLOCK_ROWS = 2048
 #: Distinct vectors up to which a band of lengths is scored whole, and queries that meet a block of such vectors in one task.
 SMALL_BAND, QUERY_ROWS = 2048, 1024
+#: Distinct vectors that bound each query's scores from below, whatever the table's size.
+SAMPLE_ROWS = 2048
+#: Pairs of vectors that one step multiplies.
+STEP_PAIRS = 16_384
+#: Share by which lengths of a band may differ while angles alone order inner products well enough for hashing.
+EVEN = 1e-3
 SEED = 7
 
 
-def signs(dims: int, tables: int) -> np.ndarray:
-    """(tables, 3, padded dims) of +1 and -1."""
+def signs(dims: int, tables: int, axes: int) -> np.ndarray:
+    """(tables, axes, 3, padded dims) of +1 and -1."""
     padded = 1 << max(1, (dims - 1).bit_length())
-    return np.random.default_rng(SEED).choice(np.array([-1.0, 1.0]), (tables, 3, padded))
+    return np.random.default_rng(SEED).choice(np.array([-1.0, 1.0]), (tables, axes, 3, padded))
+
+
+def axes_for(rows: int, dims: int) -> int:
+    """Axes of a bucket: two at least, and so many that a bucket holds 64 of the rows at most if they were spread evenly."""
+    return max(2, math.ceil(math.log(max(rows, 64) / 64) / math.log(2 << max(1, (dims - 1).bit_length()))))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -52,7 +69,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def rotated(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """Rows of x after one table's pseudo-rotation (up to scale)."""
+    """Rows of x after one pseudo-rotation (up to scale)."""
     y = np.zeros((len(x), sign.shape[1]))
     y[:, : x.shape[1]] = x
     for s in sign:
@@ -60,38 +77,88 @@ def rotated(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return y
 
 
-def buckets(x: np.ndarray, sign: np.ndarray, probes: int) -> np.ndarray:
-    """For each row its `probes` nearest signed axes, nearest first: 2 * axis, plus 1 if negative."""
-    y = rotated(x, sign)
-    size = np.abs(y)
-    probes = min(probes, y.shape[1])
-    top = np.argpartition(-size, probes - 1, axis=1)[:, :probes] if probes < y.shape[1] else np.tile(np.arange(y.shape[1]), (len(y), 1))
-    order = np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable")
-    top = np.take_along_axis(top, order, 1)
-    return 2 * top + (np.take_along_axis(y, top, 1) < 0)
+def own_buckets(x: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's first axis and its further ones as one number; an axis is twice its place, plus 1 if negative."""
+    out = np.zeros((len(sign), len(x)), np.int64)
+    for k, s in enumerate(sign):
+        y = rotated(x, s)
+        at = np.abs(y).argmax(1)
+        out[k] = 2 * at + (y[np.arange(len(x)), at] < 0)
+    rest = np.zeros(len(x), np.int64)
+    for further in out[1:]:
+        rest = rest * 2 * sign.shape[2] + further
+    return out[0], rest
+
+
+def probed_buckets(x: np.ndarray, sign: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the `probes` buckets nearest to each row: those that lack least in all rotated coordinates together."""
+    first = rest = lack = None
+    for s in sign:
+        y = rotated(x, s)
+        both = np.concatenate([y, -y], axis=1)
+        near = np.argsort(-both, axis=1, kind="stable")[:, : min(NEAREST_AXES, both.shape[1])]
+        value = np.take_along_axis(both, near, 1)
+        less, axis = value[:, :1] - value, np.where(near < y.shape[1], 2 * near, 2 * (near - y.shape[1]) + 1)
+        if lack is None:
+            first, rest, lack = axis, np.zeros_like(axis), less
+            continue
+        lack = (lack[:, :, None] + less[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(lack, axis=1, kind="stable")[:, :probes]
+        old, new = best // axis.shape[1], best % axis.shape[1]
+        lack = np.take_along_axis(lack, best, 1)
+        first, rest = np.take_along_axis(first, old, 1), np.take_along_axis(rest, old, 1) * 2 * sign.shape[2] + np.take_along_axis(axis, new, 1)
+    return first[:, :probes], rest[:, :probes]
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), dims)
 
 
-def _hash_task(dims: int, tables: int, probes: int, longest: dict[int, float] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows -> rows with an array of buckets per table. Candidates (longest of each band given) get one more
-    coordinate that makes all lengths of a band equal; a query's is 0, so angles order as inner products do."""
+CELL, PROBE = "array<struct<cell:int,rest:bigint>>", "array<struct<cell:int,rests:array<bigint>>>"
+
+
+def _hash_task(dims: int, tables: int, axes: int, longest: dict[int, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates with their cell and further axes in each table. Where the lengths of a band differ, longest has its
+    greatest, and one more coordinate makes all lengths equal; a query's is 0, so angles order as inner products do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = signs(dims + 1, tables)
+        sign = signs(dims + bool(longest), tables, axes)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, extra = matrix(b.column("v"), dims), np.zeros(b.num_rows)
-            if longest is not None:
+            x = matrix(b.column("v"), dims)
+            if longest:
                 x = x / np.array([longest[k] for k in b.column("band").to_pylist()])[:, None]
-                extra = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
-            x = np.hstack([x, extra[:, None]])
-            found = np.concatenate([buckets(x, s, probes) + t * 2 * sign.shape[2] for t, s in enumerate(sign)], axis=1)
-            lists = pa.ListArray.from_arrays(np.arange(len(x) + 1) * found.shape[1], found.ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "buckets"])
+                x = np.hstack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))[:, None]])
+            cells, rests = zip(*(own_buckets(x, s) for s in sign))
+            cells = np.stack(cells, 1) + np.arange(tables) * 2 * sign.shape[3]
+            each = pa.StructArray.from_arrays([pa.array(cells.ravel().astype(np.int32)), pa.array(np.stack(rests, 1).ravel())], ["cell", "rest"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(np.arange(len(x) + 1) * tables, each)], [*b.schema.names, "cells"])
+
+    return run
+
+
+def _probe_task(dims: int, tables: int, axes: int, probes: int, padded: bool, sample, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Queries with the cells they probe, the further axes in each, and a bound that their k-th best score reaches.
+
+    The bound is the k + 1-th best of the sample's distinct vectors, as one of these may be the query's own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, known = signs(dims + padded, tables, axes), sample.value
+        slack = 1e-12 * np.sqrt((known * known).sum(1)).max(initial=0.0)
+        for b in batches:
+            x = matrix(b.column("v"), dims)
+            bound = np.full(len(x), -np.inf)
+            if len(known) > k:
+                bound = -np.partition(-(x @ known.T), k, axis=1)[:, k] - slack * np.sqrt((x * x).sum(1))
+            wide = np.hstack([x, np.zeros((len(x), int(padded)))])
+            found: list[list[dict]] = [[] for _ in x]
+            for t, s in enumerate(sign):
+                for own, first, rest in zip(found, *probed_buckets(wide, s, probes)):
+                    order = np.argsort(first, kind="stable")
+                    cell, at = np.unique(first[order], return_index=True)
+                    own += [{"cell": int(c) + t * 2 * sign.shape[3], "rests": r} for c, r in zip(cell, np.split(rest[order], at[1:]))]
+            kind = pa.list_(pa.struct([("cell", pa.int32()), ("rests", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bound), pa.array(found, kind)], [*b.schema.names, "bound", "cells"])
 
     return run
 
@@ -105,13 +172,47 @@ def _best(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, k: int) -
     return order[rank < k]
 
 
+NOTHING = pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+
+def _score_cell(dims: int, k: int) -> Callable:
+    """One block of a cell with queries -> each query's k + 1 best of the vectors in buckets that it probes, as far as they reach its bound."""
+
+    def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(candidates) or not len(queries):
+            return NOTHING
+        candidates = candidates.sort_values("rest")
+        x = np.array(candidates["v"].tolist(), np.float64).reshape(-1, dims)
+        q = np.array(queries["v"].tolist(), np.float64).reshape(-1, dims)
+        rest, rep, ids, bound = candidates["rest"].to_numpy(), candidates["rep"].to_numpy(), queries["query_id"].to_numpy(), queries["bound"].to_numpy()
+        asked = np.concatenate(queries["rests"].tolist())
+        who = np.repeat(np.arange(len(q)), [len(r) for r in queries["rests"]])
+        begin, end = np.searchsorted(rest, asked), np.searchsorted(rest, asked, side="right")
+        who, begin, n = who[end > begin], begin[end > begin], (end - begin)[end > begin]
+        starts = np.cumsum(n) - n
+        out = []
+        for lo in range(0, int(n.sum()), STEP_PAIRS):
+            pair = np.arange(lo, min(lo + STEP_PAIRS, int(n.sum())))
+            at = np.searchsorted(starts, pair, side="right") - 1
+            row, col = who[at], begin[at] + pair - starts[at]
+            score = np.einsum("ij,ij->i", q[row], x[col])
+            ok = score >= bound[row]
+            out.append((ids[row][ok], rep[col][ok], score[ok]))
+        if not out:
+            return NOTHING
+        who, rep, score = (np.concatenate(c) for c in zip(*out))
+        best = _best(who, rep, score, k + 1)
+        return pd.DataFrame({"query_id": who[best], "rep": rep[best], "score": score[best]})
+
+    return run
+
+
 def _score_block(dims: int, k: int) -> Callable:
-    """One block of a bucket with its queries -> each query's best candidates in it."""
+    """One block of vectors with queries -> each query's k + 1 best in it (one more, for the query's own copy)."""
 
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(candidates) or not len(queries):
-            return none
+            return NOTHING
         x = np.array(candidates["v"].tolist(), np.float64).reshape(-1, dims)
         rep = candidates["rep"].to_numpy()
         out = []
@@ -119,7 +220,7 @@ def _score_block(dims: int, k: int) -> Callable:
             part = queries.iloc[at : at + 1024]
             q = np.array(part["v"].tolist(), np.float64).reshape(-1, dims)
             s = q @ x.T
-            n = min(k + 1, len(rep))  # one more, for the query's own copy
+            n = min(k + 1, len(rep))
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
             edge = np.take_along_axis(s, top, 1).min(1)
             row, col = np.nonzero(s >= edge[:, None])  # ties at the edge stay, then go by id
@@ -133,7 +234,7 @@ def _score_block(dims: int, k: int) -> Callable:
 
 def usable(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v): rows with an id and a non-null, non-zero vector whose components are all finite."""
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector) if dict(vectors.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = F.forall(v, lambda x: x == 0)
     return vectors.where(F.col(id_).isNotNull() & v.isNotNull() & ~bad & ~zero).select(F.col(id_).cast("long").alias("vec_id"), v.alias("v"))
@@ -141,6 +242,7 @@ def usable(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") -
 
 def _length(v: Column) -> Column:
     """Euclidean length, without overflow of the squares."""
+    v = v.cast("array<double>")
     most = F.array_max(F.transform(v, F.abs))
     return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
 
@@ -174,27 +276,37 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
     rep = settle(rep.withColumn("band", F.floor(F.log2("length") + 0.5)), "vectors")  # from 0.71 to 1.41 times a power of two
     asked = rows.where(F.col("vec_id") % stride == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"), F.count("*").alias("own"))
     asked = settle(asked, "queries")
-    bands = rep.groupBy("band").agg(F.max("length").alias("longest"), F.count("*").alias("vectors"), F.sum("n").alias("rows")).collect()  # about 2,100 at most
+    bands = rep.groupBy("band").agg(F.max("length").alias("longest"), F.min("length").alias("shortest"), F.count("*").alias("vectors"), F.sum("n").alias("rows")).collect()  # about 2,100 at most
     queries, total = asked.count(), sum(r.rows for r in bands)
     small = {r.band: r.vectors for r in bands if r.vectors <= SMALL_BAND}
-    hashed = rep.where(~F.col("band").isin(list(small))).select("rep", "v", "band").mapInArrow(_hash_task(dims, tables, 1, {r.band: r.longest for r in bands}), "rep long, v array<double>, band long, buckets array<int>")
-    hashed = hashed.select("rep", "v", "band", F.explode("buckets").alias("bucket"))
-    probing = asked.select("query_id", "v").mapInArrow(_hash_task(dims, tables, probes, None), "query_id long, v array<double>, buckets array<int>")
-    probing = probing.select("query_id", "v", F.explode("buckets").alias("bucket"))
-    sizes = hashed.groupBy("band", "bucket").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS)).select("band", "bucket", "blocks")
-    sizes = F.broadcast(settle(sizes, "buckets"))  # 2 * tables * padded dims rows a band at most
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    key = ["band", "bucket", "block"]
-    dealt = hashed.join(sizes, ["band", "bucket"]).select("band", "bucket", block.alias("block"), "rep", "v")
-    asked_of = probing.join(sizes, "bucket").select("band", "bucket", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), "query_id", "v")
-    found = dealt.groupBy(*key).cogroup(asked_of.groupBy(*key)).applyInPandas(_score_block(dims, k), "query_id long, rep long, score double").dropDuplicates(["query_id", "rep"])
+    large = [r for r in bands if r.band not in small]
+    longest = {r.band: r.longest for r in large} if any(r.shortest < r.longest * (1 - EVEN) for r in large) else {}
+    axes = axes_for(max((r.vectors for r in large), default=0), dims + bool(longest))
+    sample = rep.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("v").collect()
+    sample = spark.sparkContext.broadcast(np.array([r.v for r in sample], np.float64).reshape(-1, dims))
+    kind = dict(rep.dtypes)["v"]
+    hashed = rep.where(~F.col("band").isin(list(small))).select("rep", "v", "band").mapInArrow(_hash_task(dims, tables, axes, longest), f"rep long, v {kind}, band long, cells {CELL}")
+    hashed = hashed.select("rep", "v", "band", F.inline("cells"))
+    probing = asked.select("query_id", "v").mapInArrow(_probe_task(dims, tables, axes, probes * 3 ** (axes - 2), bool(longest), sample, k), f"query_id long, v {kind}, bound double, cells {PROBE}")
+    probing = probing.select("query_id", "v", "bound", F.inline("cells"))
+    # the tables' cells number 2 * tables * padded dims a band at most
+    blocks = settle(hashed.groupBy("band", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
+    parts = settle(probing.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts")), "parts")
+    sizes = F.broadcast(blocks.join(F.broadcast(parts), "cell"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = hashed.join(sizes, ["band", "cell"]).select("band", "cell", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), each("parts").alias("part"), "rep", "rest", "v")
+    asked_of = probing.join(sizes, "cell").select("band", "cell", each("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part"), "query_id", "bound", "rests", "v")
+    key = ["band", "cell", "block", "part"]
+    found = dealt.groupBy(*key).cogroup(asked_of.groupBy(*key)).applyInPandas(_score_cell(dims, k), "query_id long, rep long, score double").dropDuplicates(["query_id", "rep"])
     if small and queries:
         found = found.union(_every(rep.where(F.col("band").isin(list(small))), sum(small.values()), asked, queries, dims, k))
 
     def ranked(found: DataFrame) -> DataFrame:
+        """The k best rows of each query, in two steps, so that no task gathers all that was found for one query."""
+        top = lambda rows: F.slice(F.array_sort(rows), 1, k)
         ids = found.join(rep.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-        # what one query gathers is bounded: tables * probes * blocks best lists of k + 1
-        return ids.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+        some = ids.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(top(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
+        return some.groupBy("query_id").agg(top(F.flatten(F.collect_list("best"))).alias("best"))
 
     best = settle(ranked(found), "best")
     held = asked.join(best, "query_id", "left").where(F.coalesce(F.size("best"), F.lit(0)) < F.least(F.lit(k), F.lit(total) - F.col("own")))

@@ -50,3 +50,28 @@ def test_long_vectors_do_not_hide_others(spark, length):
     share = [len(set(want[q]) & set(got.get(q, []))) / 20 for q in want]
     assert all(len(got[q]) == 20 for q in want)
     assert np.mean(share) > 0.97 and min(share) > 0.7
+
+
+def test_hashing_saves_products():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    queries, products, hits = x[:100], 0, 0
+    truth = np.argsort(-(queries @ x[100:].T), axis=1)[:, :20]
+    met = np.zeros((100, len(x) - 100), bool)
+    for sign in nearest.signs(64, nearest.TABLES, nearest.axes_for(len(x), 64)):
+        cell, rest = nearest.own_buckets(x[100:], sign)
+        own = cell * 1000 + rest
+        for k, probed in enumerate(zip(*nearest.probed_buckets(queries, sign, nearest.PROBES))):
+            hit = np.isin(own, probed[0] * 1000 + probed[1])
+            products += int(hit.sum())
+            met[k] |= hit
+    assert products < 0.25 * 100 * len(x)
+    assert np.take_along_axis(met, truth, 1).mean() >= 0.9
+
+
+def test_ties_repeats_and_empty_tables(spark):
+    assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>, rank int")).count() == 0
+    rows = [(k, [1.0, 0.0]) for k in (3, 1, 2, 20, 40)] + [(2, [1.0, 0.0]), (20, [1.0, 0.0]), (7, [0.5, 0.5]), (8, [1.0]), (9, None), (None, [1.0, 1.0])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(20, 1, 1.0), (20, 2, 1.0), (20, 2, 1.0), (20, 3, 1.0), (40, 1, 1.0), (40, 2, 1.0), (40, 2, 1.0), (40, 3, 1.0)]
