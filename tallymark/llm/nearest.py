@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Tables, buckets that a query probes in each with two axes (three times as many with each further axis), and the stride of ids that are queries.
-TABLES, PROBES, QUERY_STRIDE = 12, 160, 20
+#: Tables, buckets that a query probes in each with two axes (three times as many with each further axis; more in tables
+#: of fewer vectors than PROBED_AT, whose nearest neighbours lie further off), and the stride of ids that are queries.
+TABLES, PROBES, QUERY_STRIDE = 12, 200, 20
+PROBED_AT = 50_000
 NEIGHBOURS = 20
 #: Of each rotation the nearest axes that probes combine.
 NEAREST_AXES = 32
@@ -111,7 +113,7 @@ def probed_buckets(x: np.ndarray, sign: np.ndarray, probes: int) -> tuple[np.nda
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), dims)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
 
 
 CELL, PROBE = "array<struct<cell:int,rest:bigint>>", "array<struct<cell:int,rests:array<bigint>>>"
@@ -172,7 +174,18 @@ def _best(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, k: int) -
     return order[rank < k]
 
 
-NOTHING = pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
+#: What a block tells of a query: its best vectors there with their scores.
+FOUND = "query_id long, reps array<bigint>, scores array<double>"
+NOTHING = pd.DataFrame({"query_id": np.zeros(0, np.int64), "reps": pd.Series([], dtype=object), "scores": pd.Series([], dtype=object)})
+
+
+def _lists(query: np.ndarray, rep: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
+    """One row for each query with its k best."""
+    best = _best(query, rep, score, k)
+    if not len(best):
+        return NOTHING
+    ids, at = np.unique(query[best], return_index=True)
+    return pd.DataFrame({"query_id": ids, "reps": pd.Series(np.split(rep[best], at[1:]), dtype=object), "scores": pd.Series(np.split(score[best], at[1:]), dtype=object)})
 
 
 def _score_cell(dims: int, k: int) -> Callable:
@@ -200,9 +213,7 @@ def _score_cell(dims: int, k: int) -> Callable:
             out.append((ids[row][ok], rep[col][ok], score[ok]))
         if not out:
             return NOTHING
-        who, rep, score = (np.concatenate(c) for c in zip(*out))
-        best = _best(who, rep, score, k + 1)
-        return pd.DataFrame({"query_id": who[best], "rep": rep[best], "score": score[best]})
+        return _lists(*(np.concatenate(c) for c in zip(*out)), k + 1)
 
     return run
 
@@ -224,9 +235,7 @@ def _score_block(dims: int, k: int) -> Callable:
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
             edge = np.take_along_axis(s, top, 1).min(1)
             row, col = np.nonzero(s >= edge[:, None])  # ties at the edge stay, then go by id
-            ids, sc = part["query_id"].to_numpy()[row], s[row, col]
-            best = _best(ids, rep[col], sc, k + 1)
-            out.append(pd.DataFrame({"query_id": ids[best], "rep": rep[col][best], "score": sc[best]}))
+            out.append(_lists(part["query_id"].to_numpy()[row], rep[col], s[row, col], k + 1))
         return pd.concat(out)
 
     return run
@@ -240,20 +249,26 @@ def usable(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") -
     return vectors.where(F.col(id_).isNotNull() & v.isNotNull() & ~bad & ~zero).select(F.col(id_).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def _length(v: Column) -> Column:
-    """Euclidean length, without overflow of the squares."""
-    v = v.cast("array<double>")
-    most = F.array_max(F.transform(v, F.abs))
-    return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+def _length_task(dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the Euclidean length of v, without overflow of the squares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column("v"), dims)
+            most = np.abs(x).max(axis=1, initial=0.0)
+            length = most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(length)], [*b.schema.names, "length"])
+
+    return run
 
 
 def _every(rep: DataFrame, n: int, asked: DataFrame, queries: int, dims: int, k: int) -> DataFrame:
-    """query_id, rep, score: each query's best of all n candidates, in tasks of bounded blocks of both."""
+    """Each query's best of all n candidates, in tasks of bounded blocks of both."""
     parts, blocks = -(-queries // QUERY_ROWS), -(-n // BLOCK_ROWS)
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     x = rep.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), each(parts).alias("part"), "rep", "v")
     q = asked.select(each(blocks).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), "query_id", "v")
-    return x.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInPandas(_score_block(dims, k), "query_id long, rep long, score double")
+    return x.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInPandas(_score_block(dims, k), FOUND)
 
 
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -272,7 +287,8 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
     # equal vectors: one candidate with its k + 1 smallest ids; partial lists are cut as they are merged
     rep = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"), F.count("*").alias("n"))
     rep = rep.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
-    rep = rep.select(F.col("ids")[0].alias("rep"), "ids", "v", "n", _length(F.col("v")).alias("length"))
+    kind = dict(rows.dtypes)["v"]
+    rep = rep.select(F.col("ids")[0].alias("rep"), "ids", "v", "n").mapInArrow(_length_task(dims), f"rep long, ids array<long>, v {kind}, n long, length double")
     rep = settle(rep.withColumn("band", F.floor(F.log2("length") + 0.5)), "vectors")  # from 0.71 to 1.41 times a power of two
     asked = rows.where(F.col("vec_id") % stride == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"), F.count("*").alias("own"))
     asked = settle(asked, "queries")
@@ -281,10 +297,10 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
     small = {r.band: r.vectors for r in bands if r.vectors <= SMALL_BAND}
     large = [r for r in bands if r.band not in small]
     longest = {r.band: r.longest for r in large} if any(r.shortest < r.longest * (1 - EVEN) for r in large) else {}
-    axes = axes_for(max((r.vectors for r in large), default=0), dims + bool(longest))
+    most = max((r.vectors for r in large), default=1)
+    axes, probes = axes_for(most, dims + bool(longest)), int(probes * max(1.0, (PROBED_AT / most) ** 0.5))
     sample = rep.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("v").collect()
     sample = spark.sparkContext.broadcast(np.array([r.v for r in sample], np.float64).reshape(-1, dims))
-    kind = dict(rep.dtypes)["v"]
     hashed = rep.where(~F.col("band").isin(list(small))).select("rep", "v", "band").mapInArrow(_hash_task(dims, tables, axes, longest), f"rep long, v {kind}, band long, cells {CELL}")
     hashed = hashed.select("rep", "v", "band", F.inline("cells"))
     probing = asked.select("query_id", "v").mapInArrow(_probe_task(dims, tables, axes, probes * 3 ** (axes - 2), bool(longest), sample, k), f"query_id long, v {kind}, bound double, cells {PROBE}")
@@ -297,16 +313,23 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
     dealt = hashed.join(sizes, ["band", "cell"]).select("band", "cell", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), each("parts").alias("part"), "rep", "rest", "v")
     asked_of = probing.join(sizes, "cell").select("band", "cell", each("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part"), "query_id", "bound", "rests", "v")
     key = ["band", "cell", "block", "part"]
-    found = dealt.groupBy(*key).cogroup(asked_of.groupBy(*key)).applyInPandas(_score_cell(dims, k), "query_id long, rep long, score double").dropDuplicates(["query_id", "rep"])
+    found = dealt.groupBy(*key).cogroup(asked_of.groupBy(*key)).applyInPandas(_score_cell(dims, k), FOUND)
     if small and queries:
         found = found.union(_every(rep.where(F.col("band").isin(list(small))), sum(small.values()), asked, queries, dims, k))
 
     def ranked(found: DataFrame) -> DataFrame:
-        """The k best rows of each query, in two steps, so that no task gathers all that was found for one query."""
-        top = lambda rows: F.slice(F.array_sort(rows), 1, k)
-        ids = found.join(rep.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-        some = ids.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(top(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
-        return some.groupBy("query_id").agg(top(F.flatten(F.collect_list("best"))).alias("best"))
+        """The k best rows of each query. Lists are merged in two steps, so that no task gathers all that was found for one query."""
+
+        def merged(lists: Column) -> Column:
+            by_rep = F.array_sort(F.flatten(F.collect_list(lists)))
+            once = F.filter(by_rep, lambda x, i: (i == 0) | (F.element_at(by_rep, F.greatest(i, F.lit(1)))["rep"] != x["rep"]))
+            return F.transform(F.slice(F.array_sort(F.transform(once, lambda x: F.struct(x["s"].alias("s"), x["rep"].alias("rep")))), 1, k + 1), lambda x: F.struct(x["rep"].alias("rep"), x["s"].alias("s")))
+
+        lists = found.select("query_id", F.zip_with("reps", "scores", lambda r, s: F.struct(r.alias("rep"), (-s).alias("s"))).alias("best"))
+        some = lists.groupBy("query_id", F.pmod(F.xxhash64("best"), F.lit(16)).alias("salt")).agg(merged(F.col("best")).alias("best"))
+        reps = some.groupBy("query_id").agg(merged(F.col("best")).alias("best")).select("query_id", F.inline("best"))
+        ids = reps.join(rep.select("rep", "ids"), "rep").select("query_id", "s", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        return ids.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "vec_id"))), 1, k).alias("best"))
 
     best = settle(ranked(found), "best")
     held = asked.join(best, "query_id", "left").where(F.coalesce(F.size("best"), F.lit(0)) < F.least(F.lit(k), F.lit(total) - F.col("own")))
