@@ -285,8 +285,8 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
     dims = rows.agg(F.min_by(F.size("v"), "vec_id")).first()[0] or 1
     rows = rows.where(F.size("v") == dims)
     # equal vectors: one candidate with its k + 1 smallest ids; partial lists are cut as they are merged
-    rep = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"), F.count("*").alias("n"))
-    rep = rep.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
+    rep = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"), F.count("*").alias("n"))
+    rep = rep.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"))
     kind = dict(rows.dtypes)["v"]
     rep = rep.select(F.col("ids")[0].alias("rep"), "ids", "v", "n").mapInArrow(_length_task(dims), f"rep long, ids array<long>, v {kind}, n long, length double")
     rep = settle(rep.withColumn("band", F.floor(F.log2("length") + 0.5)), "vectors")  # from 0.71 to 1.41 times a power of two
@@ -320,16 +320,16 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, stride: int = QUERY_STRIDE,
     def ranked(found: DataFrame) -> DataFrame:
         """The k best rows of each query. Lists are merged in two steps, so that no task gathers all that was found for one query."""
 
-        def merged(lists: Column) -> Column:
-            by_rep = F.array_sort(F.flatten(F.collect_list(lists)))
-            once = F.filter(by_rep, lambda x, i: (i == 0) | (F.element_at(by_rep, F.greatest(i, F.lit(1)))["rep"] != x["rep"]))
-            return F.transform(F.slice(F.array_sort(F.transform(once, lambda x: F.struct(x["s"].alias("s"), x["rep"].alias("rep")))), 1, k + 1), lambda x: F.struct(x["rep"].alias("rep"), x["s"].alias("s")))
+        def merged(rows: DataFrame, *by: str) -> DataFrame:
+            gathered = rows.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("all"))
+            once = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["rep"] != x["rep"]))
+            near = F.slice(F.sort_array(F.transform(once, lambda x: F.struct(x["s"].alias("s"), x["rep"].alias("rep")))), 1, k + 1)
+            return gathered.select(*by, F.transform(near, lambda x: F.struct(x["rep"].alias("rep"), x["s"].alias("s"))).alias("best"))
 
-        lists = found.select("query_id", F.zip_with("reps", "scores", lambda r, s: F.struct(r.alias("rep"), (-s).alias("s"))).alias("best"))
-        some = lists.groupBy("query_id", F.pmod(F.xxhash64("best"), F.lit(16)).alias("salt")).agg(merged(F.col("best")).alias("best"))
-        reps = some.groupBy("query_id").agg(merged(F.col("best")).alias("best")).select("query_id", F.inline("best"))
+        lists = found.select("query_id", F.pmod(F.xxhash64("reps"), F.lit(16)).alias("salt"), F.zip_with("reps", "scores", lambda r, s: F.struct(r.alias("rep"), (-s).alias("s"))).alias("best"))
+        reps = merged(merged(lists, "query_id", "salt"), "query_id").select("query_id", F.inline("best"))
         ids = reps.join(rep.select("rep", "ids"), "rep").select("query_id", "s", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-        return ids.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "vec_id"))), 1, k).alias("best"))
+        return ids.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "vec_id"))), 1, k).alias("best"))
 
     best = settle(ranked(found), "best")
     held = asked.join(best, "query_id", "left").where(F.coalesce(F.size("best"), F.lit(0)) < F.least(F.lit(k), F.lit(total) - F.col("own")))
