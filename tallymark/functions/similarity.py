@@ -65,7 +65,43 @@ def jaro_winkler(a: Column, b: Column, scale: float = 0.1) -> Column:
     return j + prefix * scale * (1 - j)
 
 
-MEASURES = {"levenshtein": levenshtein, "jaro": jaro, "jaro_winkler": jaro_winkler, "dice_sorensen": dice, "jaccard": jaccard}
+def _code_likeness(x: str, y: str) -> float:
+    if x == y:
+        return 1.0
+    same = [p == q for p, q in zip(x, y)]
+    prefix = same.index(False) if False in same else len(same)
+    return (0.6 * sum(same) + 0.4 * prefix) / max(len(x), len(y))
+
+
+def _code_batch(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None or q is None else _code_likeness(p, q) for p, q in zip(x, y)], dtype="float64")
+
+
+def cologne_similarity(a: Column, b: Column) -> Column:
+    """1 for equal Cologne codes, else by the places of the longer code: 0.6 for each equal one, 0.4 for each of the common prefix."""
+    return F.pandas_udf(_code_batch, "double")(cologne(a), cologne(b))
+
+
+def sounds_alike(a: Column, b: Column) -> Column:
+    """Both have one Cologne code."""
+    return cologne(a) == cologne(b)
+
+
+#: Spellings of German names that stand for one another.
+NAME_FORMS = {"schmidt": ("schmitt", "schmid"), "meier": ("meyer", "maier", "mayer")}
+
+
+def spellings(c: Column) -> Column:
+    """The distinct spellings of a name: lower case, umlauts written out, vowel pairs as umlauts, other forms of common names."""
+    low = F.lower(c)
+    out, back = low, low
+    for mark, pair in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        out = F.replace(out, F.lit(mark), F.lit(pair))
+        back = back if mark == "ß" else F.replace(back, F.lit(pair), F.lit(mark))
+    other = [F.when(F.contains(low, F.lit(name)), F.regexp_replace(low, f"^(.*?){name}", f"$1{form}")) for name, forms in NAME_FORMS.items() for form in forms]
+    return F.array_distinct(F.array_compact(F.array(low, out, back, *other)))
+
+
 
 
 def composite(parts: list[tuple[Column, float]]) -> Column:
@@ -137,3 +173,6 @@ def _cologne_batch(c: pd.Series) -> pd.Series:
 
 def cologne(c: Column) -> Column:
     return F.pandas_udf(_cologne_batch, "string")(german(c))
+
+
+MEASURES = {"levenshtein": levenshtein, "jaro": jaro, "jaro_winkler": jaro_winkler, "dice_sorensen": dice, "jaccard": jaccard, "soundex": soundex_similarity, "cologne_phonetic": cologne_similarity}

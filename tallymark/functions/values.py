@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: White space that trimming removes: the ASCII controls, space, no-break and other Unicode spaces, byte order mark.
 SPACE = r"[\u0009-\u000D\u0020\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -17,9 +18,31 @@ def family(kind: str) -> str:
     return {"string": "string", "boolean": "boolean", "timestamp": "time", "timestamp_ntz": "time", "date": "time"}.get(kind, kind)
 
 
+def named(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames uses, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def moment(c: Column, kind: str) -> Column:
+    """Microseconds since 1970: numbers are milliseconds, text that is no time is null."""
+    if family(kind) == "number":
+        return (c.cast("decimal(38,3)") * 1000).cast("bigint")
+    return F.unix_micros(c.cast("timestamp") if family(kind) == "time" else F.try_to_timestamp(c.cast("string")))
+
+
 def as_text(c: Column, kind: str = "string") -> Column:
-    """The text form: whole numbers without a fraction, all else as Spark casts it."""
-    if kind.startswith(("float", "double", "decimal")):
+    """The text form: whole numbers without a fraction, decimals exact without ending zeros, all else as Spark casts it."""
+    if kind.startswith("decimal"):
+        return F.when(c == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
+    if kind.startswith(("float", "double")):
         d = c.cast("double")
         return F.when((d == F.floor(d)) & (F.abs(d) < 1e15), d.cast("bigint").cast("string")).otherwise(d.cast("string"))
     return c.cast("string")
@@ -58,11 +81,37 @@ def money(c: Column, locale: str | None = None) -> Column:
     return F.regexp_extract(t, r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0).try_cast("double")
 
 
+#: The names, whatever their case, whose values are secrets.
+SECRET_NAMES = ("password", "pass", "token", "accesstoken", "apikey", "secret", "connectionstring", "uri", "authorization")
+HIDDEN = "[REDACTED]"
+
+
 def redact(c: Column) -> Column:
-    """Bearer tokens, credentials in URLs and values of secret-named keys become [REDACTED]."""
-    c = F.regexp_replace(c, r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/=-]+", "$1 [REDACTED]")
-    c = F.regexp_replace(c, r"(?i)([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@")
-    return F.regexp_replace(c, r"(?i)\b(password|passwd|secret|token|api_?key)(\s*[=:]\s*)\S+", "$1$2[REDACTED]")
+    """Text without bearer tokens of eight characters or more, and without passwords in URLs; user names stay."""
+    c = F.regexp_replace(c, r"\bBearer\s+[A-Za-z0-9._-]{8,}\b", f"Bearer {HIDDEN}")
+    return F.regexp_replace(c, r"(?i)([a-z][a-z0-9+.-]*://[^:\s/]+):[^@\s/]+@", f"$1:{HIDDEN}@")
+
+
+def redact_value(c: Column, kind: DataType) -> Column:
+    """The same at every depth of arrays, structs and maps; values of secret names are hidden whole."""
+    if isinstance(kind, StringType):
+        return redact(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: redact_value(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*(redact_field(c[f.name], f.name, f.dataType).alias(f.name) for f in kind)))
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType) and isinstance(kind.valueType, StringType):
+        return F.transform_values(c, lambda k, v: F.when(F.lower(k).isin(*SECRET_NAMES), HIDDEN).otherwise(redact(v)))
+    return c
+
+
+def redact_field(c: Column, name: str, kind: DataType) -> Column:
+    return F.lit(HIDDEN) if name.lower() in SECRET_NAMES else redact_value(c, kind)
+
+
+def redacted(df: DataFrame) -> DataFrame:
+    """Records without secrets."""
+    return df.select(*(redact_field(named(f.name), f.name, f.dataType).alias(f.name) for f in df.schema))
 
 
 def rounded(c: Column, digits: int = 2) -> Column:

@@ -7,26 +7,30 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import as_text
+from ..functions.values import as_text, free_name, named
 from .compare import last_of_each
 
 
 def against_snapshot(old: DataFrame, new: DataFrame, key: str, track: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Rows key, change (added, modified, deleted), changed (names, comma-joined) of keys that differ."""
+    """Rows key, change (added, modified, deleted), changed (names, comma-joined) of keys that differ.
+
+    Of rows with one key the last counts, in the given order or as the table is read.
+    """
     fields = track or [c for c in dict.fromkeys([*old.columns, *new.columns]) if c != key]
     fields = [f for f in fields if f in old.columns and f in new.columns]
 
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        out = df.withColumn("_key", F.coalesce(as_text(F.col(key), dict(df.dtypes)[key]), F.lit("null")))
-        out = last_of_each(out, F.col("_key"), order) if order else out
-        return out.select("_key", *fields, F.lit(True).alias(mark))
+    text, there = free_name("key_text", old, new), free_name("there", old, new)
+
+    def side(df: DataFrame) -> DataFrame:
+        out = df.withColumn(text, F.coalesce(as_text(named(key), dict(df.dtypes)[key]), F.lit("null")))
+        return last_of_each(out, [text], order).select(text, *(named(f) for f in fields), F.lit(True).alias(there))
 
-    a, b = side(old, "_old").alias("a"), side(new, "_new").alias("b")
-    joined = a.join(b, F.col("a._key") == F.col("b._key"), "full_outer")
-    changed = F.array_compact(F.array(*(F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields)))
-    change = F.when(F.col("a._old").isNull(), "added").when(F.col("b._new").isNull(), "deleted").when(F.size(changed) > 0, "modified")
+    a, b = side(old).alias("a"), side(new).alias("b")
+    joined = a.join(b, F.col(f"a.{text}") == F.col(f"b.{text}"), "full_outer")
+    changed = F.array_compact(F.array(*(F.when(~F.col(f"a.`{f}`").eqNullSafe(F.col(f"b.`{f}`")), F.lit(f)) for f in fields)))
+    change = F.when(F.col(f"a.{there}").isNull(), "added").when(F.col(f"b.{there}").isNull(), "deleted").when(F.size(changed) > 0, "modified")
     names = F.when(change == "modified", F.array_join(changed, ","))
-    return joined.select(F.coalesce(F.col("a._key"), F.col("b._key")).alias("key"), change.alias("change"), names.alias("changed")).where("change is not null")
+    return joined.select(F.coalesce(F.col(f"a.{text}"), F.col(f"b.{text}")).alias("key"), change.alias("change"), names.alias("changed")).where("change is not null")
 
 
 def since(df: DataFrame, field: str, moment: str, key: str, track: list[str]) -> DataFrame:
@@ -56,3 +60,22 @@ class Snapshots:
 
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
+
+    def _folder(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        at, fs = self._folder(f"{self._path(name)}/_SUCCESS")
+        return fs.exists(at)
+
+    def names(self) -> list[str]:
+        """Finished snapshots, sorted."""
+        at, fs = self._folder(self.root)
+        found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in found if self.exists(n))
+
+    def delete(self, name: str) -> bool:
+        """False if there was none."""
+        at, fs = self._folder(self._path(name))
+        return fs.delete(at, True)

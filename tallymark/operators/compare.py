@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import TRANSFORMS, as_number, as_text, family, trim
+from ..functions.values import TRANSFORMS, as_number, as_text, family, free_name, named, trim
 
 Comparator = Callable[[Column, Column], Column]
 
@@ -16,7 +16,7 @@ Comparator = Callable[[Column, Column], Column]
 COMPARATORS: dict[str, Comparator] = {
     "caseInsensitive": lambda a, b: F.lower(a.cast("string")) == F.lower(b.cast("string")),
     "numericTolerance": lambda a, b: F.abs(as_number(a) - as_number(b)) < 0.001,
-    "dateOnly": lambda a, b: F.to_date(a) == F.to_date(b),
+    "dateOnly": lambda a, b: F.to_date(F.try_to_timestamp(a.cast("string"))) == F.to_date(F.try_to_timestamp(b.cast("string"))),  # text that is no date equals nothing
     "trimmedString": lambda a, b: trim(a.cast("string")) == trim(b.cast("string")),
 }
 
@@ -52,11 +52,25 @@ class Comparison:
     def by_field(self) -> DataFrame:
         return self.differences.groupBy("field").agg(F.count("*").alias("n"))
 
+    def top_fields(self, n: int = 5) -> DataFrame:
+        """The fields that differ most often; ties by name."""
+        return self.by_field().orderBy(F.desc("n"), "field").limit(n)
 
-def last_of_each(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The last row of each key in the given order: repeated keys overwrite."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order)))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+def last_of_each(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The last row of each key in the given order, or in the order in which the table is read: repeated keys overwrite.
+
+    Rows are reduced before they are shuffled.
+    """
+    turn = free_name("turn", df)
+    if not order:
+        df = df.withColumn(turn, F.monotonically_increasing_id())
+    rows = F.struct(*(named(c) for c in df.columns))
+    last = df.groupBy(*(named(k) for k in keys)).agg(F.max_by(rows, F.struct(*(named(c) for c in order or [turn]))).alias(turn + "_row"))
+    return last.select(f"`{turn}_row`.*").drop(turn)
+
+
+DIFFERENCES = "array<struct<field:string,difference:string,source_value:string,target_value:string>>"
 
 
 def _field(p: FieldPair, kinds: tuple[dict, dict]) -> Column:
@@ -77,21 +91,27 @@ def _field(p: FieldPair, kinds: tuple[dict, dict]) -> Column:
 
 
 def compare(source: DataFrame, target: DataFrame, keys: list[tuple[str, str]], fields: list[FieldPair], target_order: list[str] | None = None) -> Comparison:
-    """Match rows by the text of their keys (null as empty) and compare field pairs.
+    """Match rows by the text of their keys and compare field pairs.
 
     Every source row is compared, also with a key that others have; of target rows with one key the
-    last in target_order counts (without an order keys must be unique, or any one counts).
+    last in target_order counts, without an order the last as the table is read. A single key that is null counts
+    as empty; among several, null and empty differ. Reported keys join their parts with |, a null part is \\N, and a
+    | or \\ within a part is escaped.
     """
     kinds = dict(source.dtypes), dict(target.dtypes)
-    text = lambda df, k, kind: F.coalesce(as_text(df[k], kind), F.lit(""))
-    s = source.withColumns({f"_k{i}": text(source, a, kinds[0][a]) for i, (a, _) in enumerate(keys)}).withColumn("_s", F.lit(1))
-    t = target.withColumns({f"_k{i}": text(target, b, kinds[1][b]) for i, (_, b) in enumerate(keys)}).withColumn("_t", F.lit(1))
-    on = [f"_k{i}" for i in range(len(keys))]
-    t = last_of_each(t, F.struct(*on), target_order) if target_order else t
-    joined = s.alias("s").join(t.alias("t"), [F.col(f"s.{k}") == F.col(f"t.{k}") for k in on], "full_outer")
-    found = F.array_compact(F.array(*(_field(p, kinds) for p in fields))) if fields else F.array()
-    status = F.when(F.col("t._t").isNull(), "source_only").when(F.col("s._s").isNull(), "target_only").when(F.size(found) == 0, "match").otherwise("difference")
-    key = F.concat_ws("|", *(F.coalesce(F.col(f"s.{k}"), F.col(f"t.{k}")) for k in on))
+    names = [free_name(f"key{i}", source, target) for i in range(len(keys))]
+    in_s, in_t = free_name("in_source", source, target), free_name("in_target", source, target)
+
+    def text(side: int, name: str) -> Column:
+        plain = as_text(named(name), kinds[side][name])
+        return F.coalesce(plain, F.lit("")) if len(keys) == 1 else F.coalesce(F.regexp_replace(plain, r"([|\\])", r"\\$1"), F.lit("\\N"))
+
+    s = source.withColumns({n: text(0, a) for n, (a, _) in zip(names, keys)} | {in_s: F.lit(1)})
+    t = last_of_each(target.withColumns({n: text(1, b) for n, (_, b) in zip(names, keys)}), names, target_order).withColumn(in_t, F.lit(1))
+    joined = s.alias("s").join(t.alias("t"), [F.col(f"s.{k}") == F.col(f"t.{k}") for k in names], "full_outer")
+    found = F.array_compact(F.array(*(_field(p, kinds) for p in fields))) if fields else F.from_json(F.lit("[]"), DIFFERENCES)
+    status = F.when(F.col(f"t.{in_t}").isNull(), "source_only").when(F.col(f"s.{in_s}").isNull(), "target_only").when(F.size(found) == 0, "match").otherwise("difference")
+    key = F.concat_ws("|", *(F.coalesce(F.col(f"s.{k}"), F.col(f"t.{k}")) for k in names))
     rows = joined.select(key.alias("key"), status.alias("status"), F.when(status == "difference", found).alias("differences"))
     differences = rows.where("status = 'difference'").select("key", F.inline("differences"))
     return Comparison(rows.select("key", "status", F.coalesce(F.size("differences"), F.lit(0)).alias("n_differences")), differences)

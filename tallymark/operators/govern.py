@@ -8,13 +8,17 @@ from fnmatch import fnmatchcase
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import named
+
 REDACTED = "[REDACTED]"
+#: Fixed value: how text begins that a spreadsheet runs.
+FORMULA = r"^[\t\r\n ]*[=+\-@]"
 
 
 def mask(df: DataFrame, fields: list[str], replacement: str = REDACTED) -> DataFrame:
     """Listed fields (trimmed, case ignored) show the replacement."""
     hidden = {f.strip().lower() for f in fields}
-    return df.select(*((F.lit(replacement).alias(c) if c.lower() in hidden else F.col(c)) for c in df.columns))
+    return df.select(*((F.lit(replacement).alias(c) if c.lower() in hidden else named(c)) for c in df.columns))
 
 
 def mask_differences(differences: DataFrame, fields: list[str], replacement: str = REDACTED) -> DataFrame:
@@ -25,7 +29,7 @@ def mask_differences(differences: DataFrame, fields: list[str], replacement: str
 
 def guard_formulas(df: DataFrame) -> DataFrame:
     """Text that a spreadsheet would run as a formula gets a leading quote."""
-    return df.select(*((F.when(F.col(c).rlike(r"^[\t\r\n ]*[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(F.col(c)).alias(c) if k == "string" else F.col(c)) for c, k in df.dtypes))
+    return df.select(*((F.when(named(c).rlike(FORMULA), F.concat(F.lit("'"), named(c))).otherwise(named(c)).alias(c) if k == "string" else named(c)) for c, k in df.dtypes))
 
 
 @dataclass

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..functions.values import as_text, family, money, rounded, trim
+from ..functions.values import as_text, family, free_name, moment, money, rounded, trim
 
 MAX_TEXT, MAX_PATTERN, KEY_CHARS = 10_000, 200, 256
 
@@ -30,6 +30,8 @@ class Rule:
             raise ValueError("a rule needs a name, both fields and a weight from 1 to 100")
         if self.operator not in ("equals", "equals_tolerance", "contains", "regex", "similarity", "date_range"):
             raise ValueError(f"unknown operator {self.operator}")
+        if self.operator == "similarity" and self.options.get("algorithm", "jaro_winkler") not in sim.MEASURES:
+            raise ValueError(f"unknown algorithm {self.options['algorithm']}")
 
 
 def _search_batch(subject: pd.Series, pattern: pd.Series) -> pd.Series:
@@ -66,11 +68,11 @@ def rule(r: Rule, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
         if not o.get("case_sensitive", False):
             x, y = F.lower(x), F.lower(y)
         how = o.get("algorithm", "jaro_winkler")
-        measure = sim.soundex_similarity if how == "soundex" else sim.MEASURES[how]
+        measure = sim.MEASURES[how]
         short = F.greatest(F.char_length(x), F.char_length(y)) <= MAX_TEXT
         out = F.when(short, measure(x, y) >= o.get("threshold", 0.85))
     else:
-        out = F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) <= o.get("days", 0) * 86_400_000_000
+        out = F.abs(moment(a, kinds[0]) - moment(b, kinds[1])) <= o.get("days", 0) * 86_400_000_000
     return F.coalesce(out, F.lit(False))
 
 
@@ -93,11 +95,11 @@ def _sides(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     return source.select(*(F.col(c).alias(f"s_{c}") for c in source.columns)), target.select(*(F.col(c).alias(f"t_{c}") for c in target.columns))
 
 
-def candidates(source: DataFrame, target: DataFrame, rules: list[Rule], block: tuple[str, str, str] | None = None) -> DataFrame:
+def candidates(source: DataFrame, target: DataFrame, rules: list[Rule], block: tuple | None = None) -> DataFrame:
     """All pairs that can match, with s_ and t_ columns.
 
     Required equals rules become join keys. Else a configured block (source field, target field,
-    how) is the key; sources without a key or whose bucket is empty meet all targets. Else a required
+    how, and for a prefix its length) is the key; sources without a key or whose bucket is empty meet all targets. Else a required
     tolerance or date rule is bucketed by its width: each target lies in three neighbouring
     buckets, so that no pair in the band is lost. Only without any of these do all meet all.
     """
@@ -113,18 +115,19 @@ def candidates(source: DataFrame, target: DataFrame, rules: list[Rule], block: t
             on.append(f"_k{i}")
         return s.join(t, on).drop(*on)
     if block:
-        s = s.withColumn("_key", block_key(F.col(f"s_{block[0]}"), block[2]))
-        t = t.withColumn("_key", block_key(F.col(f"t_{block[1]}"), block[2]))
-        there = t.select("_key").where("_key is not null").distinct()
-        lone = s.join(there, "_key", "left_anti").drop("_key")
-        return s.join(t, "_key").drop("_key").unionByName(lone.crossJoin(t.drop("_key")))
+        key = free_name("block", s, t)
+        s = s.withColumn(key, block_key(as_text(F.col(f"s_{block[0]}"), kinds[0][block[0]]), *block[2:]))
+        t = t.withColumn(key, block_key(as_text(F.col(f"t_{block[1]}"), kinds[1][block[1]]), *block[2:]))
+        there = t.select(key).where(F.col(key).isNotNull()).distinct()
+        lone = s.join(there, key, "left_anti").drop(key)
+        return s.join(t, key).drop(key).unionByName(lone.crossJoin(t.drop(key)))
     band = next((r for r in rules if r.required and (r.operator == "equals_tolerance" and r.options.get("tolerance", 0) > 0 or r.operator == "date_range" and r.options.get("days", 0) > 0)), None)
     if band is None:
         return s.crossJoin(t)
 
     def place(c: Column, kind: str) -> Column:
         if band.operator == "date_range":
-            return F.unix_micros(c.cast("timestamp")) / (band.options["days"] * 86_400_000_000)
+            return moment(c, kind) / (band.options["days"] * 86_400_000_000)
         return (c.cast("double") if family(kind) == "number" else money(c)) / (band.options["tolerance"] * (1 + 1e-9))
 
     s = s.withColumn("_b", F.floor(place(F.col(f"s_{band.source}"), kinds[0][band.source])))
@@ -133,7 +136,7 @@ def candidates(source: DataFrame, target: DataFrame, rules: list[Rule], block: t
     return s.join(t, "_b").drop("_b")
 
 
-def scored(source: DataFrame, target: DataFrame, rules: list[Rule], min_confidence: float = 50, block: tuple[str, str, str] | None = None) -> DataFrame:
+def scored(source: DataFrame, target: DataFrame, rules: list[Rule], min_confidence: float = 50, block: tuple | None = None) -> DataFrame:
     """Candidates that meet the required rules and the threshold, with confidence, matched and failed rule names."""
     if not rules:
         raise ValueError("at least one rule is needed")
@@ -175,3 +178,13 @@ def unmatched(side: DataFrame, key: str, matched: DataFrame, matched_key: str) -
     """Rows whose key text no match has."""
     used = matched.select(F.coalesce(F.col(matched_key).cast("string"), F.lit("unknown")).alias("_used")).distinct()
     return side.join(used, F.coalesce(F.col(key).cast("string"), F.lit("unknown")) == F.col("_used"), "left_anti")
+
+
+def summary(source: DataFrame, source_key: str, target: DataFrame, target_key: str, matches: DataFrame, matched: tuple[str, str]) -> DataFrame:
+    """One row: matched, unmatched_source, unmatched_target, match_rate (percent of source rows; 100 of none) and average confidence."""
+    one = matches.agg(F.count("*").alias("matched"), rounded(F.avg("confidence")).alias("average"))
+    lone = [unmatched(side, key, matches, m).agg(F.count("*").alias(name)) for side, key, m, name in ((source, source_key, matched[0], "unmatched_source"), (target, target_key, matched[1], "unmatched_target"))]
+    rows = source.agg(F.count("*").alias("rows"))
+    whole = one.crossJoin(F.broadcast(lone[0])).crossJoin(F.broadcast(lone[1])).crossJoin(F.broadcast(rows))  # one row each
+    rate = F.when(F.col("rows") == 0, 100.0).otherwise(rounded(F.col("matched") * 100.0 / F.col("rows")))
+    return whole.select("matched", "unmatched_source", "unmatched_target", rate.alias("match_rate"), "average")

@@ -68,9 +68,11 @@ def run(df: DataFrame, request: Request) -> DataFrame:
         kinds = dict(df.dtypes)
         keys = []
         for name, way in request.order_by:
+            if name not in kinds:
+                continue  # no row has the field, so it orders nothing
             c = F.coalesce(name, F.lit("")) if kinds[name] == "string" else F.col(name)
             keys.append(c.desc() if way == "desc" else c.asc())
-        out = out.orderBy(*keys)
+        out = out.orderBy(*keys) if keys else out
     if request.offset:
         out = out.offset(request.offset)
     if request.limit is not None:

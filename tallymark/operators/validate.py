@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import family, named
+
 #: Fixed patterns of the types that text can have, in the order in which they are tried.
 PATTERNS = (
     ("date", r"^\d{4}-\d{2}-\d{2}$"),
     ("datetime", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"),
     ("integer", r"^-?\d+$"),
-    ("number", r"^-?\d+\.\d+$"),
+    ("number", r"^-?\d+\.?\d*$"),
 )
 
 
@@ -21,15 +23,26 @@ def value_type(c: Column) -> Column:
     return out
 
 
+def typed(c: Column, kind: str) -> Column:
+    """The type of a value of a Spark type: the patterns are for text only, and a whole number of any type is an integer."""
+    if kind == "string":
+        return value_type(c)
+    if kind.startswith(("double", "float", "decimal")):
+        return F.when(F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")), "number").when(c == F.rint(c.cast("double")), "integer").otherwise("number")
+    names = (("boolean", "boolean"), ("timestamp", "datetime"), ("date", "datetime"), ("array", "array"), ("struct", "object"), ("map", "object"))
+    return F.lit(next((name for start, name in names if kind.startswith(start)), "integer" if family(kind) == "number" else "string"))
+
+
 def infer(df: DataFrame, order: list[str]) -> DataFrame:
-    """field, type, required, n_values: the most frequent type of the values that are not empty; ties go to the type seen first.
+    """field, type, required, n_values: the most frequent type of the values that are not null or empty text; ties go to the type seen first.
 
-    One pass: each row's fields are laid out as (field, text) and counted by field and type.
+    One pass: each row's fields are laid out as (field, type) and counted.
     """
-    texts = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in df.columns))
-    turn = F.struct(*order)
-    cells = df.select(turn.alias("turn"), F.inline(texts)).where("value is not null and value <> ''")
-    counts = cells.groupBy("field", value_type(F.col("value")).alias("type")).agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    empty = lambda c, k: F.col(c).isNull() | (F.col(c) == "") if k == "string" else F.col(c).isNull()
+    found = F.array(*(F.struct(F.lit(c).alias("field"), F.when(~empty(f"`{c}`", k), typed(named(c), k)).alias("type")) for c, k in df.dtypes))
+    turn = F.struct(*(named(c) for c in order))
+    cells = df.select(turn.alias("turn"), F.inline(found)).where("type is not null")
+    counts = cells.groupBy("field", "type").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
     rank = F.row_number().over(Window.partitionBy("field").orderBy(F.col("n").desc(), "first"))
     total = F.sum("n").over(Window.partitionBy("field"))
     rows = df.agg(F.count("*").alias("rows"))

@@ -73,7 +73,7 @@ query(
 )
 query("c_diffs", _DIFFS, lambda spark, d: _compared(_FIELDS)(spark, d).differences.select("key", "field", "difference"))
 query("c_diff_by_field", f"select field, count(*) as n from ({_DIFFS}) group by field", lambda spark, d: _compared(_FIELDS)(spark, d).by_field())
-query("c_top_fields", f"select field, count(*) as n from ({_DIFFS}) group by field order by n desc, field limit 2", lambda spark, d: _compared(_FIELDS)(spark, d).by_field().orderBy(F.desc("n"), "field").limit(2))
+query("c_top_fields", f"select field, count(*) as n from ({_DIFFS}) group by field order by n desc, field limit 2", lambda spark, d: _compared(_FIELDS)(spark, d).top_fields(2))
 for _name, _pair, _test in (
     ("c_cmp_case", FieldPair("c_name", "c_name", "caseInsensitive"), "lower(s.c_name) = lower(t.c_name)"),
     ("c_cmp_tol", FieldPair("c_acctbal", "c_acctbal", "numericTolerance"), "abs(s.c_acctbal - t.c_acctbal) < 0.001"),
@@ -89,7 +89,7 @@ query("c_cmp_dateonly", """select o_orderkey::varchar as key, case when o_orderk
 query("c_map_fields", "select c_custkey as id, upper(c_name) as name, c_acctbal from customer", lambda spark, d: mapped(_customers(spark, d).drop("c_mktsegment"), [FieldPair("c_custkey", "id"), FieldPair("c_name", "name", transform="uppercase")]))
 _LAST = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc, l_shipdate desc, l_extendedprice desc) as k from lineitem) where k = 1"
 _LINE_ORDER = ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-query("c_dup_last_wins", _LAST, lambda spark, d: last_of_each(table(spark, d, "lineitem"), F.struct("l_orderkey", "l_linenumber"), _LINE_ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+query("c_dup_last_wins", _LAST, lambda spark, d: last_of_each(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], _LINE_ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
 query(
     "c_composite_key",
     f"""with t as ({_LAST}), j as (select s.l_orderkey::varchar || '|' || s.l_linenumber::varchar as key, s.l_partkey = t.l_partkey and s.l_suppkey = t.l_suppkey as same from lineitem s join t on s.l_orderkey = t.l_orderkey and s.l_linenumber = t.l_linenumber)
@@ -128,3 +128,18 @@ query("h_snap_summary", f"select count(*) filter (change = 'added') as added, co
 _SINCE = "select event_id::varchar as key, 'modified' as change, 'value,props' as changed from events where ts > '2024-01-15'"
 query("h_ts", _SINCE, lambda spark, d: changes.since(table(spark, d, "events"), "ts", "2024-01-15 00:00:00", "event_id", ["value", "props"]))
 query("h_ts_summary", f"select 0::bigint as added, count(*) as modified, 0::bigint as deleted, count(*) as total from ({_SINCE})", lambda spark, d: changes.summary(changes.since(table(spark, d, "events"), "ts", "2024-01-15 00:00:00", "event_id", ["value", "props"])))
+
+
+def _decimal_keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Keys beyond what a double holds, and the same table with every third one moved by one."""
+    key = (F.lit("12345678901234567890").cast("decimal(20,0)") + F.col("o_orderkey")).cast("decimal(20,0)")
+    o = table(spark, d, "orders").select(key.alias("k"), "o_orderstatus", (F.col("o_orderkey") % 3 == 0).alias("moved"))
+    return o.select("k", "o_orderstatus"), o.select(F.when(F.col("moved"), F.col("k") + F.lit("500000000").cast("decimal(10,0)")).otherwise(F.col("k")).cast("decimal(20,0)").alias("k"), "o_orderstatus")
+
+
+query("c_decimal_key", "select case when o_orderkey % 3 = 0 then 'source_only' else 'match' end as status, count(*) as n from orders group by 1 union all select 'target_only', count(*) from orders where o_orderkey % 3 = 0",
+      lambda spark, d: compare(*_decimal_keys(spark, d), [("k", "k")], [FieldPair("o_orderstatus", "o_orderstatus")]).rows.groupBy("status").agg(F.count("*").alias("n")))
+query("c_dup_no_order", "select c_custkey::varchar as key, case when c_custkey % 4 = 0 then 'difference' else 'match' end as status, (case when c_custkey % 4 = 0 then 1 else 0 end)::int as n_differences from customer",
+      lambda spark, d: (lambda c: compare(c, c.withColumn("c_name", F.lit("older")).coalesce(1).union(c.withColumn("c_name", F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).otherwise(F.lit("newer"))).coalesce(1)), [("c_custkey", "c_custkey")], [FieldPair("c_name", "c_name")]).rows)(table(spark, d, "customer").select("c_custkey", "c_name")))
+query("c_null_key", "select case when c_custkey % 2 = 0 then 'source_only' else 'match' end as status, count(*) as n from customer group by 1 union all select 'target_only', count(*) from customer where c_custkey % 2 = 0",
+      lambda spark, d: (lambda c: compare(c.withColumn("part", F.when(F.col("c_custkey") % 2 != 0, F.lit("a"))), c.withColumn("part", F.when(F.col("c_custkey") % 2 != 0, F.lit("a")).otherwise(F.lit(""))), [("c_custkey", "c_custkey"), ("part", "part")], []).rows.groupBy("status").agg(F.count("*").alias("n")))(table(spark, d, "customer").select("c_custkey")))

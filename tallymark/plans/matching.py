@@ -62,21 +62,14 @@ _PAY = "select o_orderkey as pk, o_custkey as cust, o_totalprice + (o_orderkey %
 _INV = "select o_orderkey as ik, o_custkey as cust, o_totalprice as total, o_orderdate as dated, 'ord-' || o_orderkey::varchar as ref from orders"
 
 
-def _orders(spark: SparkSession, d: str, below: int | None) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.where(F.col("o_orderkey") < below) if below else o
-
-
-def _payments(spark: SparkSession, d: str, below: int | None = None) -> DataFrame:
+def _payments(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    o = _orders(spark, d, below)
-    return o.select(k.alias("pk"), F.col("o_custkey").alias("cust"), (F.col("o_totalprice") + (k % 3) * F.lit(0.005)).alias("amount"), (F.col("o_orderdate") + F.make_dt_interval((k % 10).cast("int"))).alias("booked"), F.concat(F.lit("ORD-"), k.cast("string")).alias("ref"))
+    return table(spark, d, "orders").select(k.alias("pk"), F.col("o_custkey").alias("cust"), (F.col("o_totalprice") + (k % 3) * F.lit(0.005)).alias("amount"), (F.col("o_orderdate") + F.make_dt_interval((k % 10).cast("int"))).alias("booked"), F.concat(F.lit("ORD-"), k.cast("string")).alias("ref"))
 
 
-def _invoices(spark: SparkSession, d: str, below: int | None = None) -> DataFrame:
+def _invoices(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    o = _orders(spark, d, below)
-    return o.select(k.alias("ik"), F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("dated"), F.concat(F.lit("ord-"), k.cast("string")).alias("ref"))
+    return table(spark, d, "orders").select(k.alias("ik"), F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("dated"), F.concat(F.lit("ord-"), k.cast("string")).alias("ref"))
 
 
 _CUST = Rule("cust", "cust", "cust", "equals", 40, True)
@@ -92,13 +85,13 @@ _RULES = {
 }
 
 
-def _edges(rules: list[Rule], minimum: float = 50, block=None, below: int | None = None):
-    return lambda spark, d: m.scored(_payments(spark, d, below), _invoices(spark, d, below), rules, minimum, block)
+def _edges(rules: list[Rule], minimum: float = 50, block=None):
+    return lambda spark, d: m.scored(_payments(spark, d), _invoices(spark, d), rules, minimum, block)
 
 
-def _assigned(spark: SparkSession, d: str, below: int | None = None) -> DataFrame:
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
     _checkpoints(spark)
-    edges = _edges([_CUST, Rule("amount", "amount", "total", "equals_tolerance", 60, True, {"tolerance": 0.006})], below=below)(spark, d)
+    edges = _edges([_CUST, Rule("amount", "amount", "total", "equals_tolerance", 60, True, {"tolerance": 0.006})])(spark, d)
     return m.assign(edges, "s_pk", "t_ik", "t_ik").select(F.col("s_pk").alias("pk"), F.col("t_ik").alias("ik"), "confidence")
 
 
@@ -116,37 +109,26 @@ _BLOCKED = Rule("ref", "ref", "ref", "equals", 100, True, {"case_sensitive": Fal
 _PAIR = "s_pk as pk", "t_ik as ik"
 
 
-def _reconciliations(end: str, below: int | None) -> None:
-    """The reconciliation queries over all orders, or over those with a smaller key; `end` ends their names."""
-    cut = f" where o_orderkey < {below}" if below else ""
-    pay, inv = _PAY + cut, _INV + cut
-    edges = lambda rules, minimum=50, block=None: _edges(rules, minimum, block, below)
-    payments, invoices, assigned = (lambda spark, d, f=f: f(spark, d, below) for f in (_payments, _invoices, _assigned))
-
-    for name, (rule, test) in _RULES.items():
-        query(name + end, f"select pk, ik, case when {test} then 100.0::double else 40.0::double end as confidence from ({pay}) p join ({inv}) i on p.cust = i.cust",
-              lambda spark, d, r=rule: edges([_CUST, r], 0)(spark, d).selectExpr(*_PAIR, "confidence"))
-    scored = f"""select pk, ik, floor((40 + (case when {_RULES['r_tol'][1]} then 60 else 0 end) + (case when {_RULES['r_date'][1]} then 25 else 0 end)) / 125.0::double * 100 * 100 + 0.5) / 100 as confidence,
- 'cust' || (case when {_RULES['r_tol'][1]} then ',amount' else '' end) || (case when {_RULES['r_date'][1]} then ',date' else '' end) as matched from ({pay}) p join ({inv}) i on p.cust = i.cust"""
-    query("r_confidence" + end, scored, lambda spark, d: edges(_ALL, 0)(spark, d).selectExpr(*_PAIR, "confidence", "matched"))
-    query("r_candidates" + end, f"select count(*) as pairs from ({pay}) p join ({inv}) i on p.cust = i.cust", lambda spark, d: m.candidates(payments(spark, d), invoices(spark, d), [_CUST]).agg(F.count("*").alias("pairs")))
-    query("r_band" + end, f"select pk, ik from ({pay}) p join ({inv}) i on abs(p.amount - i.total) <= 50", lambda spark, d: edges([_BAND])(spark, d).selectExpr(*_PAIR))
+for _name, (_rule, _test) in _RULES.items():
+    query(_name, f"select pk, ik, case when {_test} then 100.0::double else 40.0::double end as confidence from ({_PAY}) p join ({_INV}) i on p.cust = i.cust",
+          lambda spark, d, r=_rule: _edges([_CUST, r], 0)(spark, d).selectExpr(*_PAIR, "confidence"))
+_SCORED = f"""select pk, ik, floor((40 + (case when {_RULES['r_tol'][1]} then 60 else 0 end) + (case when {_RULES['r_date'][1]} then 25 else 0 end)) / 125.0::double * 100 * 100 + 0.5) / 100 as confidence,
+'cust' || (case when {_RULES['r_tol'][1]} then ',amount' else '' end) || (case when {_RULES['r_date'][1]} then ',date' else '' end) as matched from ({_PAY}) p join ({_INV}) i on p.cust = i.cust"""
+query("r_confidence", _SCORED, lambda spark, d: _edges(_ALL, 0)(spark, d).selectExpr(*_PAIR, "confidence", "matched"))
+query("r_candidates", f"select count(*) as pairs from ({_PAY}) p join ({_INV}) i on p.cust = i.cust", lambda spark, d: m.candidates(_payments(spark, d), _invoices(spark, d), [_CUST]).agg(F.count("*").alias("pairs")))
+query("r_band", f"select pk, ik from ({_PAY}) p join ({_INV}) i on abs(p.amount - i.total) <= 50", lambda spark, d: _edges([_BAND])(spark, d).selectExpr(*_PAIR))
 
-    # each payment has one invoice within the tolerance, so the plain join is the assignment
-    plain = f"select pk, ik, 100.0::double as confidence from ({pay}) p join ({inv}) i on p.cust = i.cust and abs(p.amount - i.total) <= 0.006"
-    query("r_assign" + end, None, assigned)
-    query("r_assign_single" + end, f"select * from ({plain})", assigned)
-    query("r_assign_chain" + end, None, lambda spark, d: (_checkpoints(spark), m.assign(edges(_ALL)(spark, d), "s_pk", "t_ik", "t_ik"))[1])
-    query("r_unmatched_src" + end, f"select pk from ({pay}) where pk not in (select pk from ({plain}))", lambda spark, d: m.unmatched(payments(spark, d), "pk", assigned(spark, d), "pk").select("pk"))
-    query("r_unmatched_tgt" + end, f"select ik from ({inv}) where ik not in (select ik from ({plain}))", lambda spark, d: m.unmatched(invoices(spark, d), "ik", assigned(spark, d), "ik").select("ik"))
-    query("r_summary" + end, f"select count(*) as matched, floor(avg(confidence) * 100 + 0.5) / 100 as average from ({plain})", lambda spark, d: assigned(spark, d).agg(F.count("*").alias("matched"), rounded(F.avg("confidence")).alias("average")))
+# each payment has one invoice within the tolerance, so the plain join is the assignment
+_PLAIN = f"select pk, ik, 100.0::double as confidence from ({_PAY}) p join ({_INV}) i on p.cust = i.cust and abs(p.amount - i.total) <= 0.006"
+query("r_assign", None, _assigned)
+query("r_assign_single", f"select * from ({_PLAIN})", _assigned)
+query("r_assign_chain", None, lambda spark, d: (_checkpoints(spark), m.assign(_edges(_ALL)(spark, d), "s_pk", "t_ik", "t_ik"))[1])
+query("r_unmatched_src", f"select pk from ({_PAY}) where pk not in (select pk from ({_PLAIN}))", lambda spark, d: m.unmatched(_payments(spark, d), "pk", _assigned(spark, d), "pk").select("pk"))
+query("r_unmatched_tgt", f"select ik from ({_INV}) where ik not in (select ik from ({_PLAIN}))", lambda spark, d: m.unmatched(_invoices(spark, d), "ik", _assigned(spark, d), "ik").select("ik"))
+query("r_summary", f"select count(*) as matched, floor(avg(confidence) * 100 + 0.5) / 100 as average from ({_PLAIN})", lambda spark, d: _assigned(spark, d).agg(F.count("*").alias("matched"), rounded(F.avg("confidence")).alias("average")))
 
 
-_reconciliations("", 2000)
-_reconciliations("_all", None)
-for _how, _sql in (("exact", "lower(p.ref) = lower(i.ref)"), ("prefix", "lower(p.ref) = lower(i.ref)")):
-    query(f"k_{_how}", f"select pk, ik from ({_PAY} where o_orderkey < 2000) p join ({_INV} where o_orderkey < 2000) i on {_sql} where pk < 300", lambda spark, d, h=_how: m.scored(_payments(spark, d, 2000).where("pk < 300"), _invoices(spark, d, 2000), [_BLOCKED], 50, ("ref", "ref", h)).selectExpr(*_PAIR))
-query("k_exact_all", f"select pk, ik from ({_PAY}) p join ({_INV}) i on lower(p.ref) = lower(i.ref)", lambda spark, d: _edges([_BLOCKED], block=("ref", "ref", "exact"))(spark, d).selectExpr(*_PAIR))
+query("k_exact", f"select pk, ik from ({_PAY}) p join ({_INV}) i on lower(p.ref) = lower(i.ref)", lambda spark, d: _edges([_BLOCKED], block=("ref", "ref", "exact"))(spark, d).selectExpr(*_PAIR))
 
 
 def _by_end(side: DataFrame, key: str) -> DataFrame:
@@ -154,6 +136,15 @@ def _by_end(side: DataFrame, key: str) -> DataFrame:
     return side.withColumn("code", F.reverse(F.lpad(F.col(key).cast("string"), 12, "0")))
 
 
-query("k_prefix_all", f"select pk, ik from ({_PAY}) p join ({_INV}) i on lower(p.ref) = lower(i.ref)", lambda spark, d: m.scored(_by_end(_payments(spark, d), "pk"), _by_end(_invoices(spark, d), "ik"), [_BLOCKED], 50, ("code", "code", "prefix")).selectExpr(*_PAIR))
+query("k_prefix", f"select pk, ik from ({_PAY}) p join ({_INV}) i on lower(p.ref) = lower(i.ref)", lambda spark, d: m.scored(_by_end(_payments(spark, d), "pk"), _by_end(_invoices(spark, d), "ik"), [_BLOCKED], 50, ("code", "code", "prefix", 5)).selectExpr(*_PAIR))
 query("k_soundex", f"select a.n_nationkey as i, b.s_suppkey as j from nation a join supplier b on {_soundex_sql('n_name')} = {_soundex_sql('s_name')} union all select a.n_nationkey, b.s_suppkey from nation a, supplier b where {_soundex_sql('n_name')} not in (select {_soundex_sql('s_name')} from supplier)",
       lambda spark, d: m.candidates(table(spark, d, "nation"), table(spark, d, "supplier"), [Rule("x", "n_name", "s_name", "contains")], ("n_name", "s_name", "soundex")).select(F.col("s_n_nationkey").alias("i"), F.col("t_s_suppkey").alias("j")))
+_DAYS = Rule("date", "booked", "dated", "date_range", 100, True, {"days": 1})
+query("r_date_band", f"select cust, count(*) as pairs from (select p.cust from ({_PAY}) p join ({_INV}) i on p.cust = i.cust and abs(epoch_us(p.booked) - epoch_us(i.dated)) <= 86400000000) group by cust",
+      lambda spark, d: m.scored(_payments(spark, d), _invoices(spark, d), [_CUST, _DAYS]).groupBy(F.col("s_cust").alias("cust")).agg(F.count("*").alias("pairs")))
+query("r_date_bad", f"select pk, ik from ({_PAY}) p join ({_INV}) i on pk = ik where pk % 4 <> 0 and pk % 10 <= 5",
+      lambda spark, d: m.scored(_payments(spark, d).withColumn("booked", F.when(F.col("pk") % 4 == 0, F.lit("no date")).otherwise(F.col("booked").cast("string"))), _invoices(spark, d), [Rule("id", "pk", "ik", "equals", 40, True), Rule("date", "booked", "dated", "date_range", 60, True, {"days": 5})]).selectExpr(*_PAIR))
+query("r_date_ms", f"select pk, ik from ({_PAY}) p join ({_INV}) i on pk = ik where pk % 10 <= 5",
+      lambda spark, d: m.scored(_payments(spark, d).withColumn("booked", F.unix_millis(F.col("booked").cast("timestamp"))), _invoices(spark, d), [Rule("id", "pk", "ik", "equals", 40, True), Rule("date", "booked", "dated", "date_range", 60, True, {"days": 5})]).selectExpr(*_PAIR))
+query("r_report", f"with a as ({_PLAIN}), n as (select count(*) as n from orders) select (select count(*) from a) as matched, (select count(*) from orders where o_orderkey not in (select pk from a)) as unmatched_source, (select count(*) from orders where o_orderkey not in (select ik from a)) as unmatched_target, floor((select count(*) from a) * 100.0::double / n * 100 + 0.5) / 100 as match_rate, 100.0::double as average from n",
+      lambda spark, d: m.summary(_payments(spark, d), "pk", _invoices(spark, d), "ik", _assigned(spark, d), ("pk", "ik")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import money, redact
+from ..functions.values import money, redacted
 from ..operators import audit, govern, request, validate
 from ..operators.request import Request
 from ..sources import files
@@ -66,7 +66,7 @@ def _event_texts(spark: SparkSession, d: str) -> DataFrame:
 with e as ({_TEXTS}),
 c as (select 'event_id' field, event_id v from e union all select 'ts', ts from e union all select 'event_type', event_type from e union all select 'amount', amount from e),
 t as (select field, case when regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') then 'date' when regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}') then 'datetime'
-  when regexp_matches(v, '^-?\\d+$') then 'integer' when regexp_matches(v, '^-?\\d+\\.\\d+$') then 'number' else 'string' end as type from c where v is not null and v <> ''),
+  when regexp_matches(v, '^-?\\d+$') then 'integer' when regexp_matches(v, '^-?\\d+\\.?\\d*$') then 'number' else 'string' end as type from c where v is not null and v <> ''),
 n as (select field, type, count(*) n from t group by all)
 select field, arg_max(type, n) as type, sum(n) = (select count(*) from e) as required, sum(n)::bigint as n_values from n group by field""")
 def v_infer_types(spark, d):
@@ -136,14 +136,16 @@ def g_csv_guard(spark, d):
     return govern.guard_formulas(table(spark, d, "customer").select("c_custkey", F.concat(lead, "c_name").alias("t")))
 
 
-@query("n_redact", """select event_id, regexp_replace(regexp_replace(regexp_replace(t, '\\b(bearer)\\s+[A-Za-z0-9._~+/=-]+', '\\1 [REDACTED]', 'gi'), '([a-z][a-z0-9+.-]*://)[^/\\s:@]+:[^/\\s@]+@', '\\1[REDACTED]@', 'gi'),
- '\\b(password|passwd|secret|token|api_?key)(\\s*[=:]\\s*)\\S+', '\\1\\2[REDACTED]', 'gi') as t from
- (select event_id, case event_id % 4 when 0 then 'Bearer abc.' || event_id::varchar when 1 then 'http://u:p' || event_id::varchar || '@host/x' when 2 then 'Token = s' || event_id::varchar || ' end' else props end as t from events)""")
+@query("n_redact", """select event_id, case event_id % 6 when 0 then case when length('abc.' || event_id::varchar) >= 8 then 'Bearer [REDACTED]' else 'Bearer abc.' || event_id::varchar end
+  when 1 then 'http://u:[REDACTED]@host/x' when 2 then 'see Bearer [REDACTED], ok' when 3 then 'bearer abcdefghij' when 4 then 'http://user@host' else props end as t,
+ case event_id % 3 when 0 then '[REDACTED]' when 1 then 'x' end as password_value, '[REDACTED]' as "accessToken" from events""")
 def n_redact(spark, d):
     i = F.col("event_id").cast("string")
-    k = F.col("event_id") % 4
-    t = F.when(k == 0, F.concat(F.lit("Bearer abc."), i)).when(k == 1, F.concat(F.lit("http://u:p"), i, F.lit("@host/x"))).when(k == 2, F.concat(F.lit("Token = s"), i, F.lit(" end"))).otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", redact(t).alias("t"))
+    texts = F.array(F.concat(F.lit("Bearer abc."), i), F.concat(F.lit("http://u:p"), i, F.lit("@host/x")), F.lit("see Bearer abcdefgh.x-1, ok"), F.lit("bearer abcdefghij"), F.lit("http://user@host"), F.col("props"))
+    k = F.col("event_id") % 3
+    secrets = F.when(k == 0, F.create_map(F.lit("Password"), i)).when(k == 1, F.create_map(F.lit("plain"), F.lit("x")))
+    e = table(spark, d, "events").select("event_id", F.element_at(texts, (F.col("event_id") % 6 + 1).cast("int")).alias("t"), F.struct(secrets.alias("inside")).alias("s"), F.lit("v").alias("accessToken"))
+    return redacted(e).select("event_id", "t", F.map_values("s.inside")[0].alias("password_value"), "accessToken")
 
 
 query("g_metrics", "select event_type, count(*) as calls, floor(sum(value) * 100 + 0.5) / 100 as seconds from events group by event_type")(
@@ -172,7 +174,11 @@ def _money_parsed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", money(t).alias("amount"))
 
 
-query("r_money_parse", "select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey + 0.5 when 1 then (o_orderkey // 1000)::double + (o_orderkey % 1000) / 1000.0 else o_orderkey + 0.25 end::double as amount from orders where o_orderkey between 1000 and 9999")(
-    lambda spark, d: _money_parsed(spark, d).where(F.col("o_orderkey").between(1000, 9999))
-)
-query("r_money_parse_all", "select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey + 0.5 when 1 then o_orderkey / 1000.0::double else o_orderkey + 0.25 end::double as amount from orders")(_money_parsed)
+query("r_money_parse", "select o_orderkey, case o_orderkey % 3 when 0 then o_orderkey + 0.5 when 1 then o_orderkey / 1000.0::double else o_orderkey + 0.25 end::double as amount from orders")(_money_parsed)
+
+
+@query("v_infer_typed", """select * from (values ('event_id', 'integer'), ('ts', 'datetime'), ('flag', 'boolean'), ('whole', 'integer'), ('large', 'integer'), ('value', 'number'), ('list', 'array'), ('dot', 'number')) t(field, type)""")
+def v_infer_typed(spark, d):
+    e = table(spark, d, "events")
+    made = e.select("event_id", "ts", (F.col("event_id") % 2 == 0).alias("flag"), F.floor("value").cast("double").alias("whole"), F.lit(1e20).alias("large"), (F.floor("value") + 0.5).alias("value"), F.array("user_id").alias("list"), F.concat(F.col("user_id").cast("string"), F.lit(".")).alias("dot"))
+    return validate.infer(made, ["event_id"]).select("field", "type")

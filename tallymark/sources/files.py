@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.govern import guard_formulas
@@ -68,6 +68,16 @@ def upserted(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFra
     return merged.unionByName(fresh, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
 
 
-def deduplicated(rows: DataFrame, key: str, order: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+def write_json(df: DataFrame, path: str, records_path: str | None = None, mode: str = "errorifexists") -> None:
+    """One JSON object per line; with a dot path each line holds a record under that path, so read_json of the path finds them again."""
+    body = F.struct("*")
+    parts = records_path.split(".") if records_path else []
+    if any(not p or p in UNSAFE for p in parts):
+        raise ValueError("the records path has an unsafe or empty part")
+    if not parts:
+        df.write.mode(mode).json(path)
+        return
+    nested = F.array(body)
+    for p in reversed(parts[1:]):
+        nested = F.struct(nested.alias(p))
+    df.select(nested.alias(parts[0])).write.mode(mode).json(path)

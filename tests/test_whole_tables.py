@@ -18,21 +18,21 @@ def orders(spark, tmp_path_factory):
     return path, [(k, c, t + k % 3 * 0.005, d + timedelta(days=k % 10)) for k, c, t, d in made], made
 
 
-def test_all_orders_are_reconciled(spark, orders):
+def test_orders_are_reconciled(spark, orders):
     path, pay, inv = orders
     run = lambda name: plans.QUERIES[name](spark, path).collect()
     same = [(p, i) for p in pay for i in inv if p[1] == i[1]]
-    assert run("r_candidates_all")[0].pairs == len(same)
-    assert sorted((r.pk, r.ik) for r in run("r_band_all")) == sorted((p[0], i[0]) for p in pay for i in inv if abs(p[2] - i[2]) <= 50)
+    assert run("r_candidates")[0].pairs == len(same)
+    assert sorted((r.pk, r.ik) for r in run("r_band")) == sorted((p[0], i[0]) for p in pay for i in inv if abs(p[2] - i[2]) <= 50)
     near = lambda p, i: abs(p[2] - i[2]) <= 0.006
     day = lambda p, i: abs(p[3] - i[3]) <= timedelta(days=5)
-    assert {r.pk: r.ik for r in run("r_assign_all")} == greedy([(p[0], i[0], 100.0) for p, i in same if near(p, i)])
+    assert {r.pk: r.ik for r in run("r_assign")} == greedy([(p[0], i[0], 100.0) for p, i in same if near(p, i)])
     edges = [(p[0], i[0], (40 + 60 * near(p, i) + 25 * day(p, i)) / 125 * 100) for p, i in same]
-    assert {r.s_pk: r.t_ik for r in run("r_assign_chain_all")} == greedy([e for e in edges if e[2] >= 50])
-    for name in ("k_exact_all", "k_prefix_all"):
+    assert {r.s_pk: r.t_ik for r in run("r_assign_chain")} == greedy([e for e in edges if e[2] >= 50])
+    for name in ("k_exact", "k_prefix"):
         assert sorted((r.pk, r.ik) for r in run(name)) == sorted((k, k) for k in KEYS)
 
 
-def test_all_amounts_are_parsed(spark, orders):
-    got = {r.o_orderkey: r.amount for r in plans.QUERIES["r_money_parse_all"](spark, orders[0]).collect()}
+def test_amounts_are_parsed(spark, orders):
+    got = {r.o_orderkey: r.amount for r in plans.QUERIES["r_money_parse"](spark, orders[0]).collect()}
     assert got == {k: pytest.approx([k + 0.5, k / 1000, k + 0.25][k % 3]) for k in KEYS}
