@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .common import is_held_out, small_batches
 
 #: The bounded training sample: about so many excerpts per language, each of so many characters at most.
-SAMPLE_DOCS, EXCERPT_CHARS = 600, 400
+SAMPLE_DOCS, EXCERPT_CHARS = 290, 400
+#: Languages that get a dictionary: the most frequent ones.
+MOST_LANGUAGES = 500
 #: Bytes of one dictionary, and of one block of text.
 DICTIONARY_BYTES, BLOCK = 112 << 10, 4 << 10
 LEVEL = 3
@@ -43,13 +45,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     The sample is drawn by a hash of the id at a rate that gives about SAMPLE_DOCS rows of each
     language, whatever the table's size; its excerpts (at most EXCERPT_CHARS characters from a
-    hashed place) come to the driver: some 240 kB per language.
+    hashed place) come to the driver: some 116 kB for each of MOST_LANGUAGES languages at most.
     """
     pick = F.xxhash64(F.lit("language"), F.col(doc_id), F.col(text))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~is_held_out(F.col(doc_id)))
-    counts = dict(docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang)).count().collect())  # one row per language
+    counts = dict(docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang)).count().orderBy(F.desc("count"), F.col(lang)).limit(MOST_LANGUAGES).collect())
     if not counts:
         return {}
+    rows = rows.where(F.col(lang).isin(list(counts)))
     rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / (0.75 * n)))))[F.col(lang)]
     place = F.pmod(F.shiftright(pick, 20), F.greatest(F.length(text) - EXCERPT_CHARS, F.lit(1))).cast("int") + 1
     drawn = rows.where(F.pmod(pick, F.lit(1 << 20)) < rate * (1 << 20))

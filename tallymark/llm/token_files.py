@@ -97,8 +97,11 @@ class FrameReader:
 
 
 def open_path(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path that Spark uses, for tasks that write whole files themselves."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
+    """The file system of a path that Spark uses, for tasks that write whole files themselves. Hadoop's names of S3 are s3 here."""
+    name, mark, rest = uri.partition("://")
+    if not mark:
+        return pafs.FileSystem.from_uri("file://" + os.path.abspath(uri))
+    return pafs.FileSystem.from_uri(f"{'s3' if name in ('s3a', 's3n') else name}://{rest}")
 
 
 def _write_task(folder: str, vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

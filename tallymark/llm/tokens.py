@@ -10,6 +10,7 @@ the string of an added token go to the library whole, which makes it that token'
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -75,6 +76,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        #: Only byte-level BPE with its usual pattern may be cut at spaces; other vocabularies get whole texts.
+        self.cuttable = parts["normalizer"] is None and parts["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.any = _Memo(self._any)  # any text from a start
@@ -110,7 +115,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
         inner, out = self.inner.__getitem__, []
         for t in texts:
-            if t and any(a in t for a in self.added):  # the library cuts these out before all else
+            if t and (not self.cuttable or any(a in t for a in self.added)):  # added tokens are cut out before all else
                 out.append(self._any(t))
                 continue
             chunks = (t or "").split(" ")

@@ -21,6 +21,8 @@ _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 _is_word = np.zeros(256, bool)
 _is_word[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
+#: Powers that a process keeps, 16 bytes each.
+KEPT_POWERS = 1 << 22
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -32,14 +34,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, n of each at least."""
-    if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 20)
+    """Powers of BASE and of its inverse modulo 2**64, n of each at least. Those for one very long text are not kept."""
+    made = _powers
+    if len(made.get("up", ())) < n:
+        made = {} if n > KEPT_POWERS else _powers
         for key, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            table = np.full(n, base, U)
+            table = np.full(max(n, 1 << 20), base, U)
             table[0] = 1
-            _powers[key] = np.cumprod(table, dtype=U)
-    return _powers["up"], _powers["down"]
+            made[key] = np.cumprod(table, dtype=U)
+    return made["up"], made["down"]
 
 
 class Words:

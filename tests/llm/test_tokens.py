@@ -12,3 +12,25 @@ def test_added_tokens_are_the_library_s():
     e = encoder("byte_bpe_50k.json")
     assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in fresh.encode_batch(texts, add_special_tokens=False)]
     assert 50256 in np.frombuffer(e.encode(texts[:1])[0], "<u4")
+
+
+def test_other_vocabularies_get_whole_texts(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "w.json"))
+    assert np.frombuffer(encoder(str(tmp_path / "w.json")).encode(["a b c", None])[0], "<u4").tolist() == [0, 1, 2]
+    assert encoder("byte_bpe_50k.json").cuttable
+
+
+def test_memos_are_bounded(monkeypatch):
+    from tallymark.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 500)
+    e = tokens.Encoder("byte_bpe_50k.json")
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(300)) for _ in range(20)]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in want]
+    assert all(len(m) <= 500 and len(m.old) <= 500 for m in (e.any, e.bare, e.inner))
