@@ -1,11 +1,11 @@
 """Token ids by the tokenizers library, with a per-process memo of chunks between single spaces.
 
 Byte-level BPE with the usual pattern never joins a letter with the single space that follows it,
-so a text may be cut before any space that stands between two non-space characters; each chunk is
-then encoded once per process by the library. In the same way a chunk of Latin letters that ends
-in sentence marks, or that holds a line break between two such words, is put together from its
-parts. Texts with other white space next to a space are cut at safe spaces only. Texts that hold
-the string of an added token go to the library whole, which makes it that token's id.
+so a text may be cut before any space that stands between two non-space characters. Chunks that are
+not known yet are joined by spaces and encoded by the library in one call; as only a chunk's first
+token can begin with a space, the ids are dealt back by the tokens that do. Texts with other white
+space next to a space are cut at safe spaces only. Texts that hold the string of an added token go
+to the library whole, which makes it that token's id.
 """
 
 from __future__ import annotations
@@ -14,18 +14,23 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable
+from itertools import chain
 
-#: Chunks that each of a process's three memos holds in each of two generations, about 230 bytes apiece. Two of them stay
-#: small (texts' first chunks, sentence marks), so a process holds about 100 MB at most.
-MEMO_CHUNKS = 200_000
+import numpy as np
+
+#: Chunks that each of the memo's two generations holds before it makes room, about 200 bytes apiece: a process holds
+#: about 150 MB at most, the chunks of one step included.
+MEMO_CHUNKS = 350_000
+#: Chunks of texts that are looked up, and joined for the library, in one step.
+STEP = 50_000
 #: Characters of the longest chunk that is remembered.
 LONGEST = 32
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $|\s | \s")
-#: A Latin word, then sentence marks, then at most one line break and a further word with marks.
-_WORD = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
-_SIMPLE = re.compile(rf"({_WORD})([.,;:!?]*)(?:\n({_WORD})([.,;:!?]*))?")
+#: White space but spaces and line breaks, of which most texts have none; a class alone is searched fast.
+_RARE = re.compile(r"[^\S \n]")
+#: Sentence marks, which are a piece of their own after a letter.
+_MARKS = ".,;:!?"
 _processes: dict[str, "Encoder"] = {}
 
 
@@ -38,6 +43,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _odd(t: str) -> bool:
+    """Whether a space stands at an end of a text or beside other white space."""
+    return t[0] == " " or t[-1] == " " or "  " in t or "\n " in t or " \n" in t or (_RARE.search(t) is not None and _ODD.search(t) is not None)
+
+
 def encoder(path: str) -> "Encoder":
     """This process's encoder for a vocabulary file."""
     if path not in _processes:
@@ -45,31 +55,6 @@ def encoder(path: str) -> "Encoder":
     return _processes[path]
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable letter that byte-level BPE writes for each byte: itself if printable, else the next from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return {b: chr(b if b in plain else next(others)) for b in range(256)}
-
-
-class _Memo(dict):
-    """Ids of chunks of one kind, found out by `find` when first asked for, in two generations: what the older one has not been asked for goes first."""
-
-    def __init__(self, find: Callable[[str], bytes]):
-        self.find, self.old = find, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.find(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= MEMO_CHUNKS:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,48 +63,89 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         parts = json.loads(self.tokenizer.to_str())
         split = parts["pre_tokenizer"] or {}
-        #: Only byte-level BPE with its usual pattern may be cut at spaces; other vocabularies get whole texts.
-        self.cuttable = parts["normalizer"] is None and parts["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.any = _Memo(self._any)  # any text from a start
-        self.bare = _Memo(lambda c: self._chunk(c, "", self.bare))
-        self.inner = _Memo(lambda c: self._chunk(c, " ", self.inner))
-
-    def _any(self, chunk: str) -> bytes:
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def _word(self, word: str, lead: str) -> bytes:
-        """A Latin word is one piece for the library's BPE model."""
-        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(lead + piece)]).tobytes()
-
-    def _chunk(self, chunk: str, space: str, words: "_Memo") -> bytes:
-        """A chunk that stands after `space`, a space or nothing; `words` are the chunks in the same place."""
-        m = _SIMPLE.fullmatch(chunk)
-        if not m:
-            return self._any(space + chunk)
-        first, marks, second, end = m.groups()
-        if first == chunk:
-            return self._word(first, self.letters[32] if space else "")
-        ids = words[first]
-        if marks:
-            ids += self.any[marks]
-        if second:
-            ids += self.any["\n"] + self.bare[second]
-            if end:
-                ids += self.any[end]
-        return ids
+        #: Only byte-level BPE with its usual pattern may be cut at spaces; other vocabularies get whole texts.
+        self.cuttable = (
+            parts["normalizer"] is None and parts["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+            and not split.get("add_prefix_space") and not any(c.isspace() for a in self.added for c in a)
+        )
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether a token begins with a space, which byte-level BPE writes as the letter 256 + 32.
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.leads[[i for t, i in vocabulary.items() if t.startswith(chr(288))]] = True
+        self.known, self.older, self.marks = {}, {}, {}
+
+    def _any(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that each stand after a space; none has a space in it or other white space at an end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(chunks):
+            raise ValueError("the vocabulary has tokens that hold a space inside")
+        whole, at = ids.tobytes(), (4 * starts).tolist()
+        return [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)])]
+
+    def _step(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        """Append the ids of chunks that stand after a space to those of their texts."""
+        if len(self.known) >= MEMO_CHUNKS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        plain, marked, long = {}, [], []
+        for c in set(chain.from_iterable(chunks for _, chunks in waiting)).difference(known):
+            if len(c) > LONGEST:
+                long.append(c)
+            if c in older:
+                known[c] = older[c]
+                continue
+            word = c.rstrip(_MARKS)
+            if word != c and word.isalpha():
+                marked.append((c, word))
+                if word in known or word in plain:
+                    continue
+                if word in older:
+                    known[word] = older[word]
+                    continue
+                if len(word) > LONGEST:
+                    long.append(word)
+                c = word
+            if c and " " not in c and not c[0].isspace() and not c[-1].isspace():
+                plain[c] = None
+            else:
+                known[c] = self._any(" " + c)
+        if plain:
+            known.update(zip(plain, self._joined(list(plain))))
+        for c, word in marked:
+            marks = c[len(word) :]
+            if marks not in self.marks:
+                if len(self.marks) >= STEP:
+                    self.marks.clear()
+                self.marks[marks] = self._any(marks)
+            known[c] = known[word] + self.marks[marks]
+        find = known.__getitem__
+        for i, chunks in waiting:
+            out[i].append(b"".join(map(find, chunks)))
+        for c in long:
+            known.pop(c, None)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
-        inner, out = self.inner.__getitem__, []
-        for t in texts:
-            if t and (not self.cuttable or any(a in t for a in self.added)):  # added tokens are cut out before all else
-                out.append(self._any(t))
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, size = [], 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not self.cuttable or any(a in t for a in self.added):  # added tokens are cut out before all else
+                out[i].append(self._any(t))
                 continue
-            chunks = (t or "").split(" ")
-            if t and _ODD.search(t):  # spaces beside other white space
-                chunks = _SAFE.split(t)
-            out.append(self.bare[chunks[0]] + b"".join(map(inner, chunks[1:])))
-        return out
+            chunks = _SAFE.split(t) if _odd(t) else t.split(" ")  # spaces beside other white space
+            out[i].append(self._any(chunks[0]))
+            for k in range(1, len(chunks), STEP):
+                waiting.append((i, chunks[k : k + STEP]))
+                size += len(waiting[-1][1])
+                if size >= STEP:
+                    self._step(waiting, out)
+                    waiting, size = [], 0
+        self._step(waiting, out)
+        return [b"".join(parts) for parts in out]

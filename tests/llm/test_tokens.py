@@ -28,9 +28,23 @@ def test_memos_are_bounded(monkeypatch):
     from tallymark.llm import tokens
 
     monkeypatch.setattr(tokens, "MEMO_CHUNKS", 500)
+    monkeypatch.setattr(tokens, "STEP", 100)
     e = tokens.Encoder("byte_bpe_50k.json")
     rng = np.random.default_rng(1)
-    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(300)) for _ in range(20)]
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 7)) + "," * (k % 2) for k in range(300)) for _ in range(20)]
     want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in want]
-    assert all(len(m) <= 500 and len(m.old) <= 500 for m in (e.any, e.bare, e.inner))
+    for _ in range(2):
+        assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in want]
+        assert all(len(m) <= 500 + 4 * 100 for m in (e.known, e.older))  # a step adds its chunks, and their words without marks
+
+
+def test_cuts_at_every_kind_of_white_space(monkeypatch):
+    from tallymark.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 50)
+    monkeypatch.setattr(tokens, "STEP", 20)
+    e = tokens.Encoder("byte_bpe_50k.json")
+    rng = np.random.default_rng(7)
+    parts = [" ", " ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\u3000", "\xa0", "\u200b", "word", "Été", "don't", "'s", ".", "...", "?!", "3.5", "日本", "🙂", "x" * 40, "x" * 40 + ","]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(2000)]
+    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
