@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+def iso_moment(text: str) -> str:
+    """An ISO date or moment in UTC without a zone; a day is its first moment. Anything else is a ValueError."""
+    try:
+        moment = datetime.fromisoformat(text)
+    except (TypeError, ValueError):
+        raise ValueError(f"{text!r} is no ISO date such as 2024-01-15 or 2024-01-15T18:00:00Z") from None
+    return (moment.astimezone(UTC).replace(tzinfo=None) if moment.tzinfo else moment).isoformat(" ")
+
+
 def matching(log: DataFrame, start: str | None = None, end: str | None = None, operations: list[str] | None = None, key: str | None = None, user: str | None = None) -> DataFrame:
     """Entries in [start, end] with one of the operations, of a record key and a user."""
     tests = [F.lit(True)]
-    tests += [F.col("ts") >= F.lit(start).cast("timestamp_ntz")] if start else []
-    tests += [F.col("ts") <= F.lit(end).cast("timestamp_ntz")] if end else []
+    tests += [F.col("ts") >= F.lit(iso_moment(start)).cast("timestamp_ntz")] if start else []
+    tests += [F.col("ts") <= F.lit(iso_moment(end)).cast("timestamp_ntz")] if end else []
     tests += [F.col("operation").isin(operations)] if operations else []
     tests += [F.col("record_key") == key] if key is not None else []
     tests += [F.col("user") == user] if user is not None else []
@@ -37,9 +47,26 @@ def retained(log: DataFrame, cutoff: str) -> DataFrame:
     return log.where(F.to_date("ts") >= F.lit(cutoff).cast("date"))
 
 
+def by_connector(log: DataFrame) -> DataFrame:
+    """Rows connector, n."""
+    return log.groupBy("connector").agg(F.count("*").alias("n"))
+
+
 def append(log: DataFrame, path: str) -> None:
-    """One folder per connector and day, so that queries of a range read its days only."""
-    log.withColumn("date", F.to_date("ts")).write.partitionBy("connector", "date").mode("append").parquet(path)
+    """JSON lines in one folder per connector and day, so that queries of a range read its days only."""
+    log.withColumn("date", F.to_date("ts")).write.partitionBy("connector", "date").mode("append").json(path)
+
+
+def read(spark: SparkSession, path: str, fields: str, connector: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Entries that append() wrote, of a connector and in [start, end]; only the days in between are read.
+
+    `fields` is the schema of a line, which has ts; lines that are no such JSON, or have no ts, are left out.
+    """
+    lines = spark.read.schema(f"{fields}, connector string, date date, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = lines.where(F.col("connector") == connector) if connector is not None else lines
+    lines = lines.where(F.col("date") >= F.lit(iso_moment(start)[:10]).cast("date")) if start else lines
+    lines = lines.where(F.col("date") <= F.lit(iso_moment(end)[:10]).cast("date")) if end else lines
+    return matching(lines.where(F.col("_bad").isNull() & F.col("ts").isNotNull()).drop("_bad", "date"), start, end)
 
 
 def _link_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

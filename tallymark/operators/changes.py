@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import as_text, free_name, named
+from . import request
 from .compare import last_of_each
 
 
@@ -54,9 +55,9 @@ class Snapshots:
     def _path(self, name: str) -> str:
         return f"{self.root}/" + reduce(lambda a, c: a + (c if c.isalnum() and c.isascii() or c in "_-" else "_"), name, "")
 
-    def save(self, name: str, df: DataFrame) -> None:
-        """Fails if the snapshot exists."""
-        df.write.mode("errorifexists").parquet(self._path(name))
+    def save(self, name: str, df: DataFrame, only: request.Request | None = None) -> None:
+        """All rows, or those of a request. Fails if the snapshot exists."""
+        (request.run(df, only) if only else df).write.mode("errorifexists").parquet(self._path(name))
 
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
@@ -79,3 +80,12 @@ class Snapshots:
         """False if there was none."""
         at, fs = self._folder(self._path(name))
         return fs.delete(at, True)
+
+
+def detect(df: DataFrame, key: str, track: list[str] | None = None, field: str | None = None, moment: str | None = None, snapshots: Snapshots | None = None, name: str | None = None) -> DataFrame:
+    """Changes after a moment if both field and moment are given, else against the named snapshot."""
+    if field and moment:
+        return since(df, field, moment, key, track if track is not None else [c for c in df.columns if c != key])
+    if snapshots and name:
+        return against_snapshot(snapshots.load(name), df, key, track)
+    raise ValueError("give a field and a moment, or a snapshot")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
-from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,23 +32,33 @@ def guard_formulas(df: DataFrame) -> DataFrame:
     return df.select(*((F.when(named(c).rlike(FORMULA), F.concat(F.lit("'"), named(c))).otherwise(named(c)).alias(c) if k == "string" else named(c)) for c, k in df.dtypes))
 
 
+#: A name in which * stands for any text, or a pattern that is searched for.
+Names = str | re.Pattern
+
+
+def named_by(names: Names, value: str) -> bool:
+    if isinstance(names, re.Pattern):
+        return names.search(value) is not None
+    return re.fullmatch(".*".join(map(re.escape, names.split("*"))), value, re.S) is not None
+
+
 @dataclass
 class Policy:
     """Deny beats allow; a non-empty allow list is exclusive; rules (tool, connector, allow) go in order; else the default."""
 
-    deny: list[str] = field(default_factory=list)
-    allow: list[str] = field(default_factory=list)
-    rules: list[tuple[str, str, bool]] = field(default_factory=list)
+    deny: list[Names] = field(default_factory=list)
+    allow: list[Names] = field(default_factory=list)
+    rules: list[tuple[Names, Names, bool]] = field(default_factory=list)
     default: bool = True
     writes: bool = True
 
     def decide(self, tool: str, connector: str, write: bool = False) -> bool:
-        listed = lambda names: any(fnmatchcase(tool, n) or fnmatchcase(connector, n) for n in names)
+        listed = lambda names: any(named_by(n, tool) or named_by(n, connector) for n in names)
         if listed(self.deny):
             return False
         if self.allow and not listed(self.allow):
             return False
         for t, c, yes in self.rules:
-            if fnmatchcase(tool, t) and fnmatchcase(connector, c):
+            if named_by(t, tool) and named_by(c, connector):
                 return yes and (self.writes or not write)
         return self.default and (self.writes or not write)

@@ -105,6 +105,7 @@ query("u_summary", f"select count(*) filter (operation = 'create') as n_create,
     lambda spark, d: audit.summary(audit.matching(_log(spark, d), "2024-01-10 00:00:00"))
 )
 query("u_retention", f"select id from ({_LOG}) where ts::date >= '2024-01-20'")(lambda spark, d: audit.retained(_log(spark, d), "2024-01-20").select("id"))
+query("u_connectors", "select event_type as connector, count(*) as n from events group by event_type")(lambda spark, d: audit.by_connector(table(spark, d, "events").withColumnRenamed("event_type", "connector")))
 query("u_windows", f"select time_bucket(interval '1 hour', ts) as window_start, operation, count(*) as n from ({_LOG}) group by all")(
     lambda spark, d: operation_counts(_log(spark, d)).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "operation", "n")
 )
