@@ -90,3 +90,25 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
         stop = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(begin, stop - begin)
         begin = stop
+
+
+#: Rows from which on a key may count as hot, however few partitions there are.
+FEW_ROWS = 1000
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, name: str) -> DataFrame:
+    """rows left-joined with `table`, whose keys are unique and whose other columns rows does not have.
+
+    Keys with more than a quarter of a partition's share of all rows, so at most four a partition, are broadcast with
+    what the table has of them; rows of other keys meet the table by a shuffle; rows without a key are not moved.
+    `rows` is read several times: settle it before.
+    """
+    limit = max(rows.count() // (4 * partitions(rows.sparkSession)), FEW_ROWS)
+    keyed, loose = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+    hot = settle(keyed.groupBy(key).count().where(F.col("count") > limit).select(key), f"{name}_hot")
+    if hot.isEmpty():
+        found = keyed.join(table, key, "left")
+    else:
+        known = settle(hot.join(table, key, "left"), f"{name}_known")
+        found = keyed.join(F.broadcast(known), key).unionByName(keyed.join(F.broadcast(hot), key, "left_anti").join(table, key, "left"))
+    return found.unionByName(loose, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, nearest, packing, pii, sharding, token_files, toxicity
+from . import exact_dedup, filter_audit, language_id, mixing, near_dedup, nearest, packing, pii, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,8 @@ QUERIES: dict[str, Query] = {
     "op7_hash_threshold_mixing": _on_documents(mixing.mix_digest),
     "op8_hypergeometric_sharding": _on_documents(sharding.shard_digest),
     "op9_cross_polytope_search": lambda spark, d: nearest.nearest(table(spark, d, "embeddings")),
+    "op11_permutation_trie_audit": lambda spark, d: filter_audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_seekable_token_frames": lambda spark, d: token_files.round_trip_digest(spark, table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op5_content_sort_dedup": exact_dedup.SQL, "op7_hash_threshold_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op11_permutation_trie_audit": filter_audit.SQL, "op5_content_sort_dedup": exact_dedup.SQL, "op7_hash_threshold_mixing": mixing.SQL}
