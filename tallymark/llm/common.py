@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows at most for what is run inside; then the setting is as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def freed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete settled tables that are read no more, and let Spark clean the shuffle files of what nothing refers to any longer."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -96,16 +120,20 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
 FEW_ROWS = 1000
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, name: str) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Keys with more than a quarter of a partition's share of all rows: at most four for each partition."""
+    limit = max(rows.count() // (4 * partitions(rows.sparkSession)), FEW_ROWS)
+    return settle(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > limit).select(key), f"{name}_hot")
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, name: str, hot: DataFrame | None = None) -> DataFrame:
     """rows left-joined with `table`, whose keys are unique and whose other columns rows does not have.
 
-    Keys with more than a quarter of a partition's share of all rows, so at most four a partition, are broadcast with
-    what the table has of them; rows of other keys meet the table by a shuffle; rows without a key are not moved.
-    `rows` is read several times: settle it before.
+    Hot keys are broadcast with what the table has of them; rows of other keys meet the table by a shuffle; rows
+    without a key are not moved. `rows` is read several times: settle it before.
     """
-    limit = max(rows.count() // (4 * partitions(rows.sparkSession)), FEW_ROWS)
     keyed, loose = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
-    hot = settle(keyed.groupBy(key).count().where(F.col("count") > limit).select(key), f"{name}_hot")
+    hot = hot_keys(rows, key, name) if hot is None else hot
     if hot.isEmpty():
         found = keyed.join(table, key, "left")
     else:
