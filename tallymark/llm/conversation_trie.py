@@ -178,13 +178,14 @@ def conversation_trie(conversations: DataFrame, bits: int = 64) -> DataFrame:
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     parents = nodes.select(F.struct("depth", F.col("f").alias("parent_f")).alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     found = looked_up(nodes, "parent", parents, "parents").join(below, ["depth", "f"])
-    top = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    sums = nodes.agg(F.count_if(F.col("depth") == 1).alias("n_children"), F.sum(F.col("n_children").isNull().cast("long")).alias("n_leaves"), F.sum((F.col("n_convs") - 1) * F.col("n_words")).alias("saved_tokens"))
-    root = F.broadcast(top)  # one row
-    found = found.join(root.select(F.col("conv_id").alias("root_id")), F.lit(True), "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "root_id"))
-    first = top.join(F.broadcast(sums), F.lit(True), "left").join(F.broadcast(ends.where("depth = 0").select("ends_sha256")), F.lit(True), "left")  # one row each
-    first = first.withColumns({"depth": F.lit(0).cast("long"), "parent_conv_id": F.lit(None).cast("long"), "n_leaves": F.coalesce("n_leaves", F.lit(1)), "saved_tokens": F.coalesce("saved_tokens", F.lit(0))})
-    out = first.select(*names).unionByName(found.select(*names))
+    first_id, n_convs = convs.agg(F.min("conv_id"), F.count("*")).first()
+    if not n_convs:
+        return found.select(*names)
+    found = found.withColumn("parent_conv_id", F.coalesce("parent_conv_id", F.lit(first_id)))
+    top = nodes.agg(F.count_if(F.col("depth") == 1), F.sum(F.col("n_children").isNull().cast("long")), F.sum((F.col("n_convs") - 1) * F.col("n_words"))).first()
+    bare = ends.where("depth = 0").select("ends_sha256").first()
+    root = convs.sparkSession.createDataFrame([(first_id, 0, None, n_convs, top[0], top[1] or 1, top[2] or 0, bare and bare[0])], ", ".join(f"{n} {'string' if n == 'ends_sha256' else 'long'}" for n in names))
+    out = root.unionByName(found.select(*names))
     return out.withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "ends_sha256": F.coalesce("ends_sha256", nothing)})
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, exact_dedup, filter_audit, language_id, mixing, near_dedup, nearest, packing, pii, sharding, token_files, toxicity
+from . import conversation_trie, exact_dedup, filter_audit, language_id, mixing, near_dedup, nearest, packing, pii, pitman_yor, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op7_hash_threshold_mixing": _on_documents(mixing.mix_digest),
     "op8_hypergeometric_sharding": _on_documents(sharding.shard_digest),
     "op9_cross_polytope_search": lambda spark, d: nearest.nearest(table(spark, d, "embeddings")),
+    "op13_pitman_yor_scores": _on_documents(pitman_yor.language_scores),
     "op12_prefix_fingerprint_trie": lambda spark, d: conversation_trie.conversation_trie(table(spark, d, "conversations")),
     "op11_permutation_trie_audit": lambda spark, d: filter_audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_seekable_token_frames": lambda spark, d: token_files.round_trip_digest(spark, table(spark, d, "documents")),

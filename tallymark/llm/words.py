@@ -21,6 +21,8 @@ _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 _is_word = np.zeros(256, bool)
 _is_word[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
+_is_not_space = np.ones(256, bool)
+_is_not_space[[32, *range(9, 14)]] = False
 #: Powers that a process keeps, 16 bytes each.
 KEPT_POWERS = 1 << 22
 _powers: dict[str, np.ndarray] = {}
@@ -67,17 +69,24 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def words(texts: pa.Array) -> Words:
+def spaced_words(texts: pa.Array) -> Words:
+    """Words as runs of all but white space (space, tab to carriage return); only A-Z are folded."""
+    return words(texts, _is_not_space, False)
+
+
+def words(texts: pa.Array, kept: np.ndarray = _is_word, latin: bool = True) -> Words:
+    """Runs of the bytes that `kept` marks; capitals are folded, those of Latin-1 if `latin`."""
     body, at = raw_bytes(texts)
     n = len(body)
     if not n:
         return Words(np.zeros(0, U), np.zeros(len(at), np.int64))
     low = _fold[body]
-    after_c3 = np.zeros(n, bool)
-    after_c3[1:] = body[:-1] == 0xC3
-    capital = after_c3 & (body >= 0x80) & (body <= 0x9E) & (body != 0x97)
-    low = np.where(capital, low + np.uint8(0x20), low)
-    inside = _is_word[body]
+    if latin:
+        after_c3 = np.zeros(n, bool)
+        after_c3[1:] = body[:-1] == 0xC3
+        capital = after_c3 & (body >= 0x80) & (body <= 0x9E) & (body != 0x97)
+        low = np.where(capital, low + np.uint8(0x20), low)
+    inside = kept[body]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edges = at[(at > 0) & (at < n)]
