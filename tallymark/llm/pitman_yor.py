@@ -10,7 +10,9 @@ probabilities of SAMPLES sweeps after BURN_IN are averaged for each token.
 Texts become blocks of some megabytes, as word numbers. What a block has to know of the corpus it asks for:
 its distinct keys (words, pairs of words) are dealt to buckets by hash, a bucket counts or looks up what all blocks ask of it, and answers
 go back to the blocks. A key comes from a block once, however frequent it is, so no bucket is hot, and
-nothing of the corpus is held whole anywhere. Words and pairs are known by 64-bit hashes.
+nothing of the corpus is held whole anywhere. A pair of two customers or more is seated by the first block that
+trains on it; buckets keep the restaurants of their words. In each sweep blocks ask for the restaurants of their words, seat
+their pairs, and tell the buckets how many tables these have. Words and pairs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, freed, gathered, hot_keys, looked_up, partitions, settle
+from .common import batches_of, freed, gathered, partitions, settle
 from .words import U, mix, spaced_words
 
 BURN_IN, SAMPLES = 1, 3
@@ -183,34 +185,12 @@ def _answers(group: list[tuple], values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([g[3] for g in group], pa.int32()), pa.array(vals, pa.binary())], ["block", "bucket", "vals"])
 
 
-def _ask_task(what: Callable[[Block, dict], tuple[np.ndarray, np.ndarray]], buckets: int) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        for row in _rows(batches):
-            yield _pieces(row["block"], *what(Block(row), row), buckets)
-
-    return run
-
-
-def _table_task(key_of: Callable[[np.ndarray], np.ndarray], buckets: int, rows: int = 1 << 19) -> Callable[[Batches], Batches]:
-    """Rows (key, values) of a table -> pieces without block."""
+def _ask_task(what: Callable[[dict], tuple[np.ndarray, np.ndarray]], buckets: int) -> Callable[[Batches], Batches]:
+    """Rows of blocks -> pieces of the keys they ask for, and what they say of them."""
 
     def run(batches: Batches) -> Batches:
-        held, n = [], 0
-
-        def made() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            keys = t.column("key").to_numpy().view(U)
-            values = np.array(t.column("vals").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(keys), -1)
-            return _pieces(None, key_of(keys), values, buckets)
-
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield made()
-                held, n = [], 0
-        if n:
-            yield made()
+        for row in _rows(batches):
+            yield _pieces(row["block"], *what(row), buckets)
 
     return run
 
@@ -240,32 +220,36 @@ def _gather(keys: np.ndarray, answers: list[dict] | None, buckets: int, width: i
     return out
 
 
-FACTS = "key long, word long, dish long, n long, s_context long, s_dish long"
+#: What each block keeps: of its words the facts (customers where it is the word's first block, dishes of one customer, and owned pairs by
+#: context and by dish), and the pairs it owns as numbers of its words.
+OWNED = "block long, words binary, facts binary, context binary, dish binary, customers binary, pairs binary, twos long"
+FACTS = 5
 
 
-def _facts_task(buckets: int) -> Callable[[Batches], Batches]:
-    """Blocks with their counts -> what they add to words, and the pairs of two customers or more that they own."""
+def _owned_task(buckets: int) -> Callable[[Batches], Batches]:
+    """Blocks with their counts -> what they add to the words, and the pairs of two customers or more that are theirs."""
 
     def run(batches: Batches) -> Batches:
         for row in _rows(batches):
             b = Block(row)
             count, owner = np.divmod(_gather(b.keys(), row["counts"], buckets)[:, 0], 2)
             v = len(b.vocab)
-            n = np.append(count[:v] * owner[:v], b.training)
             own, c = owner[v:] == 1, count[v:]
-            one, more = own & (c == 1), own & (c > 1)
-            of_context, of_dish = (np.bincount(x[one], minlength=v + 1) for x in (b.context, b.dish))
-            there = np.flatnonzero(n + of_context + of_dish)
-            w, none = len(there), np.full(len(there), None)
-            columns = [
-                np.concatenate([none, b.pair_keys()[more].view(np.int64)]), np.concatenate([b.words[there], b.words[b.context[more]]]).view(np.int64), np.concatenate([none, b.vocab[b.dish[more]].view(np.int64)]),
-                np.concatenate([n[there], c[more]]), np.concatenate([of_context[there], np.zeros(int(more.sum()), np.int64)]), np.concatenate([of_dish[there], np.zeros(int(more.sum()), np.int64)]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "word", "dish", "n", "s_context", "s_dish"])
+            one, more = own & (c == 1), np.flatnonzero(own & (c > 1))
+            sides = [np.bincount(x[which], minlength=v + 1) for which in (one, more) for x in (b.context, b.dish)]
+            facts = np.stack([np.append(count[:v] * owner[:v], b.training), *sides], axis=1)
+            values = [b.number, b.words.tobytes(), packed(facts), b.context[more].astype("<i4").tobytes(), b.dish[more].astype("<i4").tobytes(), packed(c[more]), b.pair_keys()[more].tobytes(), int((c[more] == 2).sum())]
+            yield _row(OWNED, values)
 
     return run
 
 
+def _row(ddl: str, *rows: list) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split(" ") for f in ddl.split(", ")))
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[t]) for k, t in enumerate(kinds)], list(names))
+
+
 def _times(n: int, key: np.uint64) -> np.uint64:
     return U(n * int(key) % (1 << 64))
 
@@ -305,75 +289,159 @@ def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, theta: f
     return tables
 
 
-def _seat_task(sweep: int, theta: float, discount: float) -> Callable[[Batches], Batches]:
-    """Rows with seed, customers, others and parent -> the same with t, their tables."""
+#: Rows of the buckets of words. kind 0: the restaurants of a bucket's words; 1: words that a block asks for, with what it adds to them.
+ROWS = "bucket int, kind int, block long, keys binary, vals binary"
+#: A restaurant: tokens of the word, dishes of one customer in it, restaurants where the word is such a dish, tables, customers in the parent, tables in the parent.
+STATE = 6
+TOTALS = "bucket int, keys binary, vals binary, distinct long, tokens long, texts long, ones long, once long, twice long, customers long, tables long"
+
+
+def _state_row(bucket: int, keys: np.ndarray, state: np.ndarray) -> list:
+    real, n, customers = keys != START, state[:, 0], state[:, 4]
+    sums = [int((real & (n > 0)).sum()), int(n[real].sum()), int(n[~real].sum()), int(state[:, 1].sum()), int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), int(state[:, 5].sum())]
+    return [bucket, keys.tobytes(), packed(state), *sums]
+
+
+def _told(group: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all blocks that ask a bucket, and the sums of what the blocks say of them."""
+    keys = [np.frombuffer(r["keys"], U) for r in group if r["kind"] == 1]
+    known, which = np.unique(np.concatenate([np.zeros(0, U), *keys]), return_inverse=True)
+    said = [unpacked(r["vals"]).reshape(len(k), -1) for r, k in zip((r for r in group if r["kind"] == 1), keys)]
+    sums = np.zeros((len(known), said[0].shape[1] if said else FACTS), np.int64)
+    if said:
+        np.add.at(sums, which, np.concatenate(said))
+    return known, sums
+
+
+def _open_task(batches: Batches) -> Batches:
+    """What blocks say of their words -> the restaurants at first: each dish at one table."""
+    for bucket, group in _groups(batches):
+        keys, f = _told(group)
+        customers = f[:, 2] + f[:, 4]
+        yield _row(TOTALS, _state_row(bucket, keys, np.stack([f[:, 0], f[:, 1], f[:, 2], f[:, 1] + f[:, 3], customers, customers > 0], axis=1)))
+
+
+def _close_task(sweep: int, tables: int, discount: float, uniform: float) -> Callable[[Batches], Batches]:
+    """Restaurants and what blocks say of their words' tables -> the restaurants after the sweep, the parent seated anew."""
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
-            c, others, parent = (b.column(n).to_numpy(zero_copy_only=False) for n in ("customers", "others", "parent"))
-            t = seat(c, others, parent, theta, discount, mix(b.column("seed").to_numpy(zero_copy_only=False).view(U) + _times(sweep, PAIR_KEY)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t)], [*b.schema.names, "t"])
+        for bucket, group in _groups(batches):
+            keys, sent = _told(group)
+            state = unpacked(group[0]["vals"]).reshape(-1, STATE)
+            customers = state[:, 2] + sent[:, 1]
+            seated = seat(customers, tables - state[:, 5], np.full(len(keys), uniform), THETA_0, discount, mix(keys + _times(sweep + 1, PAIR_KEY)))
+            yield _row(TOTALS, _state_row(bucket, keys, np.stack([state[:, 0], state[:, 1], state[:, 2], state[:, 1] + sent[:, 0], customers, seated], axis=1)))
 
     return run
 
 
-def _discount(ones: int, twos: int) -> float:
-    return min(max(ones / (ones + 2 * twos), LEAST_DISCOUNT), MOST_DISCOUNT) if ones + twos else 0.5
+def _groups(batches: Batches) -> Iterator[tuple[int, list[dict]]]:
+    bucket, group = None, []
+    for row in _rows(batches):
+        if row["bucket"] != bucket and group:
+            yield bucket, group
+            group = []
+        bucket = row["bucket"]
+        group.append(row)
+    if group:
+        yield bucket, group
+
+
+def _tell_task(batches: Batches) -> Batches:
+    """For each block's words the tables of their restaurants, their customers and their tables in the parent, of all given states in turn."""
+    for bucket, group in _groups(batches):
+        states = [r for r in group if r["kind"] == 0]
+        known = np.frombuffer(states[0]["keys"], U)
+        values = np.concatenate([unpacked(r["vals"]).reshape(-1, STATE)[:, 3:] for r in states], axis=1)
+        asked = [(r["block"], r["keys"], None, bucket) for r in group if r["kind"] == 1]
+        keys = np.concatenate([np.frombuffer(a[1], U) for a in asked])
+        yield _answers(asked, values[np.searchsorted(known, keys)])
+
+
+STEP_ROWS = "bucket int, block long, keys binary, vals binary"
+
+
+def _sweep_task(m: dict, sweep: int, buckets: int) -> Callable[[Batches], Batches]:
+    """Blocks with the restaurants of their words -> the tables of the pairs they own, and what these add to their words."""
+    customers, tables = m["totals"][-1]
+    nowhere = (THETA_0 + m["d0"] * tables) / (m["distinct"] + 1)
+
+    def run(batches: Batches) -> Batches:
+        for row in _rows(batches):
+            words, context, dish, c = np.frombuffer(row["words"], U), np.frombuffer(row["context"], "<i4"), np.frombuffer(row["dish"], "<i4"), unpacked(row["customers"])
+            of = _gather(words, row["told"], buckets, 3)
+            before = unpacked(row["t"]) if row["t"] else np.ones(len(c), np.int64)
+            parent = (of[:, 1] - m["d0"] * of[:, 2] + nowhere) / (THETA_0 + customers)
+            t = seat(c, of[context, 0] - before, parent[dish], THETA, m["d"], mix(np.frombuffer(row["pairs"], U) + _times(sweep, PAIR_KEY)))
+            sums = np.stack([np.bincount(x, weights=t, minlength=len(words)).astype(np.int64) for x in (context, dish)], axis=1)
+            yield _row(STEP_ROWS, [None, row["block"], None, packed(t)])
+            yield _pieces(row["block"], words, sums, buckets)
+
+    return run
 
 
 class Model:
-    """d, d0: discounts; words (word, n, context, vals) and pairs (key, vals) with the tables of all samples; totals of each sample."""
-
-    def __init__(self, facts: DataFrame):
-        spark = facts.sparkSession
-        words = facts.where("key is null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("s_context").alias("s_context"), F.sum("s_dish").alias("s_dish"))
-        pairs = settle(facts.where("key is not null").select("key", "word", "dish", F.col("n").alias("customers"), F.lit(1).cast("long").alias("t"), F.array().cast("array<long>").alias("vals")), "pairs")
-        at_first = self._summed(settle(words, "words"), pairs).withColumns({"t": (F.col("customers") > 0).cast("long"), "vals": F.array().cast("array<long>")})
-        words = settle(at_first, "words")
-        real = F.col("word") != int(START)
-        of = words.agg(F.count_if(real & (F.col("n") > 0)), F.sum(F.when(real, F.col("n"))), F.sum(F.when(~real, F.col("n"))), F.sum("s_context"), F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
-        self.distinct, self.tokens, self.texts = of[0], of[1] or 0, of[2] or 0
-        self.d, self.d0 = _discount(of[3] or 0, pairs.where("customers = 2").count()), _discount(of[4], of[5])
-        self.totals: list[tuple[int, int]] = []
-        hot = [hot_keys(pairs, c, c) for c in ("word", "dish")]
-        for sweep in range(BURN_IN + SAMPLES):
-            words, pairs = self._swept(words, pairs, hot, sweep)
-            freed(spark)
-        self.words, self.pairs = words, pairs
+    """d, d0: discounts; states: the restaurants after each sample; seats: the tables of the owned pairs in it; totals: customers and tables of the parent."""
+
+    def __init__(self, owned: DataFrame, buckets: int):
+        spark = owned.sparkSession
+        self.buckets, self.owned = buckets, owned
+        said = _ask_task(lambda row: (np.frombuffer(row["words"], U), unpacked(row["facts"]).reshape(-1, FACTS)), buckets)
+        with batches_of(spark, 4):
+            self.asked = settle(owned.mapInArrow(said, PIECES), "asked")
+            state = settle(self._by_bucket(_kind(self.asked, 1)).mapInArrow(_open_task, TOTALS), "state")
+            of = state.agg(*(F.sum(c) for c in ("distinct", "tokens", "texts", "ones", "once", "twice"))).first()
+            self.distinct, self.tokens, self.texts = (x or 0 for x in of[:3])
+            self.d, self.d0 = _discount(of[3] or 0, owned.agg(F.sum("twos")).first()[0] or 0), _discount(of[4] or 0, of[5] or 0)
+            self.states, self.seats, self.totals = [], [], [self._totals(state)]
+            seats = None
+            for sweep in range(BURN_IN + SAMPLES):
+                told = self._told([state], "told")
+                rows = _with(owned, told, "told")
+                rows = rows.join(seats, "block", "left") if seats is not None else rows.withColumn("t", F.lit(None).cast("binary"))
+                step = settle(rows.mapInArrow(_sweep_task({k: getattr(self, k) for k in ("d", "d0", "distinct", "totals")}, sweep, buckets), STEP_ROWS), "step")
+                seats = step.where("bucket is null").select("block", F.col("vals").alias("t"))
+                close = _close_task(sweep, self.totals[-1][1], self.d0, 1 / (self.distinct + 1))
+                state = settle(self._by_bucket(_kind(step.where("bucket is not null"), 1).unionByName(_kind(state, 0))).mapInArrow(close, TOTALS), "state")
+                self.totals.append(self._totals(state))
+                if sweep >= BURN_IN:
+                    self.states.append(state)
+                    self.seats.append(seats)
+                freed(spark, told)
+        self.totals = self.totals[-SAMPLES:]
+
+    def _by_bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(max(self.buckets, partitions(rows.sparkSession)), "bucket").sortWithinPartitions("bucket", "kind", "block")
+
+    def _told(self, states: list[DataFrame], name: str) -> DataFrame:
+        """(block, bucket, vals): what the states say of the words that blocks ask for."""
+        rows = _kind(self.asked.withColumn("vals", F.lit(None).cast("binary")), 1)
+        for k, state in enumerate(states):
+            rows = rows.unionByName(_kind(state, 0).withColumn("block", F.lit(k).cast("long")))
+        return settle(self._by_bucket(rows).mapInArrow(_tell_task, "block long, bucket int, vals binary"), name)
 
     @staticmethod
-    def _summed(words: DataFrame, pairs: DataFrame) -> DataFrame:
-        """words with `tables` of each word's restaurant, and the `customers` it is a dish for in the parent."""
-        own = pairs.groupBy("word").agg(F.sum("t").alias("t_context"))
-        sent = pairs.groupBy(F.col("dish").alias("word")).agg(F.sum("t").alias("t_dish"))
-        found = words.join(own, "word", "left").join(sent, "word", "left")
-        return found.withColumns({"tables": F.col("s_context") + F.coalesce("t_context", F.lit(0)), "customers": F.col("s_dish") + F.coalesce("t_dish", F.lit(0))}).drop("t_context", "t_dish")
-
-    def _sums(self, words: DataFrame) -> tuple[int, int]:
-        return tuple(x or 0 for x in words.agg(F.sum("customers"), F.sum("t")).first())
-
-    def _swept(self, words: DataFrame, pairs: DataFrame, hot: list[DataFrame], sweep: int) -> tuple[DataFrame, DataFrame]:
-        spark, keep = words.sparkSession, sweep >= BURN_IN
-        customers, tables = self._sums(words)
-        nowhere = (THETA_0 + self.d0 * tables) / (THETA_0 + customers) / (self.distinct + 1)
-        parent = (F.col("customers") - self.d0 * F.col("t")) / (THETA_0 + customers) + nowhere
-        with_context = looked_up(pairs, "word", words.select("word", "tables"), "contexts", hot[0])
-        ready = looked_up(settle(with_context, "contexts"), "dish", words.select(F.col("word").alias("dish"), parent.alias("parent")), "dishes", hot[1])
-        ready = ready.select("key", "word", "dish", "customers", "vals", F.col("key").alias("seed"), (F.col("tables") - F.col("t")).alias("others"), "parent")
-        with batches_of(spark, 1 << 16):
-            seated = ready.mapInArrow(_seat_task(sweep, THETA, self.d), f"{_ddl(ready)}, t long").select("key", "word", "dish", "customers", "t", F.concat("vals", F.array("t")).alias("vals") if keep else F.col("vals"))
-            pairs = settle(seated, "pairs")
-            fresh = self._summed(words.select("word", "n", "s_context", "s_dish", "vals", F.col("t").alias("before")), pairs)
-            ready = fresh.select("*", F.col("word").alias("seed"), (F.lit(tables) - F.col("before")).alias("others"), F.lit(1 / (self.distinct + 1)).alias("parent"))
-            seated = ready.mapInArrow(_seat_task(sweep, THETA_0, self.d0), f"{_ddl(ready)}, t long")
-            words = settle(seated.select("word", "n", "s_context", "s_dish", "tables", "customers", "t", F.concat("vals", F.array("tables", "customers", "t")).alias("vals") if keep else F.col("vals")), "words")
-        if keep:
-            self.totals.append(self._sums(words))
-        return words, pairs
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{c} {k}" for c, k in df.dtypes)
+    def _totals(state: DataFrame) -> tuple[int, int]:
+        return tuple(x or 0 for x in state.agg(F.sum("customers"), F.sum("tables")).first())
+
+    def told(self) -> DataFrame:
+        return self._told(self.states, "of_words")
+
+    def tables(self) -> DataFrame:
+        """(block, pairs, t0, t1, ...): the tables of owned pairs in each sample."""
+        rows = self.owned.select("block", "pairs")
+        for k, seats in enumerate(self.seats):
+            rows = rows.join(seats.withColumnRenamed("t", f"t{k}"), "block")
+        return rows
+
+
+def _kind(rows: DataFrame, kind: int) -> DataFrame:
+    block = F.col("block") if "block" in rows.columns else F.lit(None).cast("long")
+    return rows.select("bucket", F.lit(kind).alias("kind"), block.alias("block"), "keys", "vals")
+
+
+def _discount(ones: int, twos: int) -> float:
+    return min(max(ones / (ones + 2 * twos), LEAST_DISCOUNT), MOST_DISCOUNT) if ones + twos else 0.5
 
 
 def _score_task(m: dict, buckets: int) -> Callable[[Batches], Batches]:
@@ -384,7 +452,7 @@ def _score_task(m: dict, buckets: int) -> Callable[[Batches], Batches]:
             b = Block(row)
             v = len(b.vocab)
             count = _gather(b.keys(), row["counts"], buckets)[:, 0] // 2
-            of_word = _gather(mix(b.words ^ WORD_KEY), row["words"], buckets, 3 * SAMPLES).reshape(v + 1, SAMPLES, 3)
+            of_word = _gather(b.words, row["words"], buckets, 3 * SAMPLES).reshape(v + 1, SAMPLES, 3)
             n, c = np.append(count[:v], m["texts"]), count[v:]
             tables = np.ones((len(c), SAMPLES), np.int64)
             more = np.flatnonzero(c > 1)
@@ -414,36 +482,40 @@ def blocked(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def counted(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """What blocks have to know of the counts of their keys, and the facts that a model is made of."""
+    """What blocks have to know of the counts of their keys, and what each keeps for the model."""
     spark = blocks.sparkSession
+
+    def of_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        b = Block(row)
+        return b.keys(), b.counts()
+
     with batches_of(spark, 4):
-        counts = _exchanged(blocks.mapInArrow(_ask_task(lambda b, row: (b.keys(), b.counts()), buckets), PIECES), _count_task, buckets, "counts")
+        counts = _exchanged(blocks.mapInArrow(_ask_task(of_block, buckets), PIECES), _count_task, buckets, "counts")
         freed(spark)
-        facts = settle(_with(blocks, counts, "counts").mapInArrow(_facts_task(buckets), FACTS), "facts")
+        owned = settle(_with(blocks, counts, "counts").mapInArrow(_owned_task(buckets), OWNED), "owned")
     freed(spark)
-    return counts, facts
+    return counts, owned
 
 
-def scored(blocks: DataFrame, counts: DataFrame, model: Model, buckets: int) -> DataFrame:
+def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """The rows of all blocks' texts."""
-    spark = blocks.sparkSession
+    spark, buckets = blocks.sparkSession, model.buckets
     m = {k: getattr(model, k) for k in ("d", "d0", "distinct", "tokens", "texts", "totals")}
 
-    def multiple(b: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    def seated(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(row["pairs"], U), np.stack([unpacked(row[f"t{k}"]) for k in range(SAMPLES)], axis=1)
+
+    def multiple(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        b = Block(row)
         keys = b.pair_keys()[_gather(b.keys(), row["counts"], buckets)[len(b.vocab) :, 0] > 3]
         return keys, np.zeros(len(keys), np.int64)
 
-    def table(rows: DataFrame, key: str, key_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        with batches_of(spark, 1 << 16):
-            return settle(rows.select(F.col(key).alias("key"), "vals").mapInArrow(_table_task(key_of, buckets), PIECES), key)
-
-    known = table(model.words, "word", lambda w: mix(w ^ WORD_KEY)), table(model.pairs, "key", lambda k: k)
     with batches_of(spark, 4):
-        asked = blocks.mapInArrow(_ask_task(lambda b, row: (mix(b.words ^ WORD_KEY), np.zeros(len(b.words), np.int64)), buckets), PIECES)
-        words = _exchanged(asked.union(known[0]), _find_task(3 * SAMPLES), buckets, "of_words")
+        words = model.told()
+        known = model.tables().mapInArrow(_ask_task(seated, buckets), PIECES).withColumn("block", F.lit(None).cast("long"))
         asked = _with(blocks, counts, "counts").mapInArrow(_ask_task(multiple, buckets), PIECES)
-        pairs = _exchanged(asked.union(known[1]), _find_task(SAMPLES), buckets, "of_pairs")
-        freed(spark, *known)
+        pairs = _exchanged(asked.union(known), _find_task(SAMPLES), buckets, "of_pairs")
+        freed(spark)
         full = _with(_with(_with(blocks, counts, "counts"), words, "words"), pairs, "pairs")
         out = settle(full.mapInArrow(_score_task(m, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     freed(spark, words, pairs)
@@ -458,8 +530,8 @@ def language_scores(docs: DataFrame) -> DataFrame:
     piece of a block. Without training texts every probability is one. An empty table gives no rows; other columns are ignored.
     """
     blocks, buckets = blocked(docs)
-    counts, facts = counted(blocks, buckets)
-    model = Model(facts)
-    out = scored(blocks, counts, model, buckets)
-    freed(docs.sparkSession, blocks, counts, facts, model.words, model.pairs)
+    counts, owned = counted(blocks, buckets)
+    model = Model(owned, buckets)
+    out = scored(blocks, counts, model)
+    freed(docs.sparkSession, blocks, counts, owned, model.asked, *model.states, *model.seats)
     return out

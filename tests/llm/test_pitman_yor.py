@@ -42,10 +42,32 @@ def code(word):
 def fitted(spark, request):
     rows = corpus() if request.param == "prose" else ODD
     blocks, buckets = py.blocked(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA).repartition(3))
-    counts, facts = py.counted(blocks, buckets)
-    model = py.Model(facts)
-    got = py.scored(blocks, counts, model, buckets).collect()
-    return rows, model, model.words.collect(), model.pairs.collect(), got
+    counts, owned = py.counted(blocks, buckets)
+    model = py.Model(owned, buckets)
+    got = py.scored(blocks, counts, model).collect()
+    return rows, model, *tables(model, owned), got
+
+
+class Seen:
+    """A word's restaurant or a pair: vals hold the tables (and for words customers and tables in the parent) of each sample."""
+
+    def __init__(self, n, vals):
+        self.n = self.customers = n
+        self.vals = vals
+
+
+def tables(model, owned):
+    words, pairs = {}, {}
+    for k, state in enumerate(model.states):
+        for r in state.collect():
+            for w, v in zip(np.frombuffer(r["keys"], np.int64).tolist(), py.unpacked(r["vals"]).reshape(-1, py.STATE).tolist()):
+                words.setdefault(w, Seen(v[0], [])).vals.extend(v[3:])
+    seats = [{r.block: py.unpacked(r.t).tolist() for r in s.collect()} for s in model.seats]
+    for r in owned.collect():
+        w = np.frombuffer(r.words, np.int64).tolist()
+        for k, (u, d, c) in enumerate(zip(np.frombuffer(r.context, "<i4"), np.frombuffer(r.dish, "<i4"), py.unpacked(r.customers).tolist())):
+            pairs[w[u], w[d]] = Seen(c, [s[r.block][k] for s in seats])
+    return {w: s for w, s in words.items() if s.n or s.vals[0] or s.vals[1]}, pairs
 
 
 def test_counts_and_base_scores(fitted):
@@ -66,9 +88,8 @@ def test_seatings_and_scores(fitted):
         if not held(i):
             w = [start, *map(code, tokens(text))]
             seen.update(zip(w, w[1:]))
-    many = {(r.word, r.dish): r for r in pairs}
+    many, of = pairs, words
     assert {k: r.customers for k, r in many.items()} == {k: c for k, c in seen.items() if c > 1}
-    of = {r.word: r for r in words}
     sums = []
     for s in range(py.SAMPLES):
         t = {k: many[k].vals[s] if k in many else 1 for k in seen}
