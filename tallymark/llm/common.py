@@ -34,7 +34,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +61,13 @@ def _block_task(batches: Batches) -> Batches:
         own = np.ones(len(hashes), bool)
         own[ends] = False
         hashes[own] = w.hashes
-        vocab, tokens = np.unique(hashes, return_inverse=True)
+        vocab, tokens, often = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        vocab, tokens = vocab[order], rank[tokens]
         held = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        row = [number, b.column("doc_id").to_pylist(), held.tobytes(), sizes.astype("<i8").tobytes(), vocab.tobytes(), tokens.astype("<i4").tobytes(), len(tokens)]
+        row = [number, b.column("doc_id").to_pylist(), held.tobytes(), packed(sizes), vocab.tobytes(), packed(tokens), len(tokens)]
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["block", "docs", "held", "sizes", "vocab", "tokens", "n_tokens"])
         number += 1
@@ -73,8 +78,8 @@ class Block:
 
     def __init__(self, row: dict):
         self.number, self.docs = row["block"], row["docs"]
-        self.sizes, self.vocab = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["vocab"], U)
-        self.tokens = np.frombuffer(row["tokens"], "<i4").astype(np.int64)
+        self.sizes, self.vocab = unpacked(row["sizes"]), np.frombuffer(row["vocab"], U)
+        self.tokens = unpacked(row["tokens"])
         self.start = len(self.vocab)
         self.first = np.cumsum(self.sizes) - self.sizes
         held = np.frombuffer(row["held"], bool)
@@ -122,13 +127,16 @@ def _pieces(block: int | None, keys: np.ndarray, values: np.ndarray, buckets: in
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers from 0 on in one, two, four or eight bytes each; the first byte says how many."""
+    """Whole numbers from 0 on in one, two, four or eight bytes each, first all lowest bytes, and compressed; the first byte says how many."""
     width = np.min_scalar_type(int(values.max(initial=0))).itemsize
-    return bytes([width]) + np.ascontiguousarray(values).astype(f"<u{width}").tobytes()
+    raw = np.ascontiguousarray(values).astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    return bytes([width]) + zstandard.compress(raw.T.tobytes(), 1)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    width = raw[0]
+    planes = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _count_task(batches: Batches) -> Batches:
@@ -238,7 +246,7 @@ def _owned_task(buckets: int) -> Callable[[Batches], Batches]:
             one, more = own & (c == 1), np.flatnonzero(own & (c > 1))
             sides = [np.bincount(x[which], minlength=v + 1) for which in (one, more) for x in (b.context, b.dish)]
             facts = np.stack([np.append(count[:v] * owner[:v], b.training), *sides], axis=1)
-            values = [b.number, b.words.tobytes(), packed(facts), b.context[more].astype("<i4").tobytes(), b.dish[more].astype("<i4").tobytes(), packed(c[more]), b.pair_keys()[more].tobytes(), int((c[more] == 2).sum())]
+            values = [b.number, b.words.tobytes(), packed(facts), packed(b.context[more]), packed(b.dish[more]), packed(c[more]), b.pair_keys()[more].tobytes(), int((c[more] == 2).sum())]
             yield _row(OWNED, values)
 
     return run
@@ -368,7 +376,7 @@ def _sweep_task(m: dict, sweep: int, buckets: int) -> Callable[[Batches], Batche
 
     def run(batches: Batches) -> Batches:
         for row in _rows(batches):
-            words, context, dish, c = np.frombuffer(row["words"], U), np.frombuffer(row["context"], "<i4"), np.frombuffer(row["dish"], "<i4"), unpacked(row["customers"])
+            words, context, dish, c = np.frombuffer(row["words"], U), *(unpacked(row[c]) for c in ("context", "dish", "customers"))
             of = _gather(words, row["told"], buckets, 3)
             before = unpacked(row["t"]) if row["t"] else np.ones(len(c), np.int64)
             parent = (of[:, 1] - m["d0"] * of[:, 2] + nowhere) / (THETA_0 + customers)
@@ -397,17 +405,17 @@ class Model:
             seats = None
             for sweep in range(BURN_IN + SAMPLES):
                 told = self._told([state], "told")
-                rows = _with(owned, told, "told")
+                rows = _with(owned.drop("facts"), told, "told")
                 rows = rows.join(seats, "block", "left") if seats is not None else rows.withColumn("t", F.lit(None).cast("binary"))
                 step = settle(rows.mapInArrow(_sweep_task({k: getattr(self, k) for k in ("d", "d0", "distinct", "totals")}, sweep, buckets), STEP_ROWS), "step")
-                seats = step.where("bucket is null").select("block", F.col("vals").alias("t"))
+                last, seats = seats, settle(step.where("bucket is null").select("block", F.col("vals").alias("t")), "seats")
                 close = _close_task(sweep, self.totals[-1][1], self.d0, 1 / (self.distinct + 1))
-                state = settle(self._by_bucket(_kind(step.where("bucket is not null"), 1).unionByName(_kind(state, 0))).mapInArrow(close, TOTALS), "state")
+                past, state = state, settle(self._by_bucket(_kind(step.where("bucket is not null"), 1).unionByName(_kind(state, 0))).mapInArrow(close, TOTALS), "state")
                 self.totals.append(self._totals(state))
                 if sweep >= BURN_IN:
                     self.states.append(state)
                     self.seats.append(seats)
-                freed(spark, told)
+                freed(spark, told, step, *([past] if sweep <= BURN_IN else []), *([last] if last is not None and sweep <= BURN_IN else []))
         self.totals = self.totals[-SAMPLES:]
 
     def _by_bucket(self, rows: DataFrame) -> DataFrame:
@@ -512,10 +520,11 @@ def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
     with batches_of(spark, 4):
         words = model.told()
+        freed(spark, model.asked, *model.states)
         known = model.tables().mapInArrow(_ask_task(seated, buckets), PIECES).withColumn("block", F.lit(None).cast("long"))
         asked = _with(blocks, counts, "counts").mapInArrow(_ask_task(multiple, buckets), PIECES)
         pairs = _exchanged(asked.union(known), _find_task(SAMPLES), buckets, "of_pairs")
-        freed(spark)
+        freed(spark, model.owned, *model.seats)
         full = _with(_with(_with(blocks, counts, "counts"), words, "words"), pairs, "pairs")
         out = settle(full.mapInArrow(_score_task(m, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     freed(spark, words, pairs)
@@ -533,5 +542,5 @@ def language_scores(docs: DataFrame) -> DataFrame:
     counts, owned = counted(blocks, buckets)
     model = Model(owned, buckets)
     out = scored(blocks, counts, model)
-    freed(docs.sparkSession, blocks, counts, owned, model.asked, *model.states, *model.seats)
+    freed(docs.sparkSession, blocks, counts)
     return out

@@ -44,8 +44,8 @@ def fitted(spark, request):
     blocks, buckets = py.blocked(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA).repartition(3))
     counts, owned = py.counted(blocks, buckets)
     model = py.Model(owned, buckets)
-    got = py.scored(blocks, counts, model).collect()
-    return rows, model, *tables(model, owned), got
+    seen = tables(model, owned)  # scoring deletes what it needs no more
+    return rows, model, *seen, py.scored(blocks, counts, model).collect()
 
 
 class Seen:
@@ -65,7 +65,7 @@ def tables(model, owned):
     seats = [{r.block: py.unpacked(r.t).tolist() for r in s.collect()} for s in model.seats]
     for r in owned.collect():
         w = np.frombuffer(r.words, np.int64).tolist()
-        for k, (u, d, c) in enumerate(zip(np.frombuffer(r.context, "<i4"), np.frombuffer(r.dish, "<i4"), py.unpacked(r.customers).tolist())):
+        for k, (u, d, c) in enumerate(zip(*(py.unpacked(c).tolist() for c in (r.context, r.dish, r.customers)))):
             pairs[w[u], w[d]] = Seen(c, [s[r.block][k] for s in seats])
     return {w: s for w, s in words.items() if s.n or s.vals[0] or s.vals[1]}, pairs
 
