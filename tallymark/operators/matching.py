@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.values import as_text, family, free_name, moment, money, rounded, trim
+from .assignment import assign  # noqa: F401  (part of this module's interface)
+from .joins import Width, band_join, gram_join
 
 MAX_TEXT, MAX_PATTERN, KEY_CHARS = 10_000, 200, 256
 
@@ -95,45 +97,67 @@ def _sides(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     return source.select(*(F.col(c).alias(f"s_{c}") for c in source.columns)), target.select(*(F.col(c).alias(f"t_{c}") for c in target.columns))
 
 
+def _band(rules: list[Rule], kinds: tuple[dict, dict]) -> Width | None:
+    """The first required tolerance or date rule of some width."""
+    for r in rules:
+        if r.required and r.operator == "equals_tolerance" and r.options.get("tolerance", 0) > 0:
+            sides = [F.col(f"{p}_{c}").cast("double") if family(k[c]) == "number" else money(F.col(f"{p}_{c}")) for p, c, k in (("s", r.source, kinds[0]), ("t", r.target, kinds[1]))]
+            return Width(*sides, r.options["tolerance"])
+        if r.required and r.operator == "date_range" and r.options.get("days", 0) > 0:
+            return Width(moment(F.col(f"s_{r.source}"), kinds[0][r.source]).cast("double"), moment(F.col(f"t_{r.target}"), kinds[1][r.target]).cast("double"), r.options["days"] * 86_400_000_000)
+    return None
+
+
+#: Similarities whose threshold bounds which n-grams two texts must share.
+BY_GRAMS = {"levenshtein": "levenshtein", "dice_sorensen": "dice", "jaccard": "jaccard"}
+
+
 def candidates(source: DataFrame, target: DataFrame, rules: list[Rule], block: tuple | None = None) -> DataFrame:
     """All pairs that can match, with s_ and t_ columns.
 
-    Required equals rules become join keys. Else a configured block (source field, target field,
-    how, and for a prefix its length) is the key; sources without a key or whose bucket is empty meet all targets. Else a required
-    tolerance or date rule is bucketed by its width: each target lies in three neighbouring
-    buckets, so that no pair in the band is lost. Only without any of these do all meet all.
+    Required equals rules become join keys, as does a configured block (source field, target field,
+    how, and for a prefix its length); sources without a block key or whose bucket is empty meet all targets as if no block
+    were given. A required tolerance or date rule adds the bucket of its width to these keys, or is the key alone. Without any of these a required
+    similarity by n-grams is joined by rare grams, and one that is equality of codes by the codes. Only rules without any key
+    meet by a cross join.
     """
     s, t = _sides(source, target)
-    kinds = dict(source.dtypes), dict(target.dtypes)
-    exact = [r for r in rules if r.required and r.operator == "equals"]
-    if exact and not block:
-        on = []
-        for i, r in enumerate(exact):
-            case = r.options.get("case_sensitive", True)
-            s = s.withColumn(f"_k{i}", block_key(as_text(F.col(f"s_{r.source}"), kinds[0][r.source]), case_sensitive=case))
-            t = t.withColumn(f"_k{i}", block_key(as_text(F.col(f"t_{r.target}"), kinds[1][r.target]), case_sensitive=case))
-            on.append(f"_k{i}")
-        return s.join(t, on).drop(*on)
+    return _met(s, t, rules, (dict(source.dtypes), dict(target.dtypes)), block)
+
+
+def _met(s: DataFrame, t: DataFrame, rules: list[Rule], kinds: tuple[dict, dict], block: tuple | None) -> DataFrame:
+    band = _band(rules, kinds)
     if block:
         key = free_name("block", s, t)
-        s = s.withColumn(key, block_key(as_text(F.col(f"s_{block[0]}"), kinds[0][block[0]]), *block[2:]))
-        t = t.withColumn(key, block_key(as_text(F.col(f"t_{block[1]}"), kinds[1][block[1]]), *block[2:]))
-        there = t.select(key).where(F.col(key).isNotNull()).distinct()
-        lone = s.join(there, key, "left_anti").drop(key)
-        return s.join(t, key).drop(key).unionByName(lone.crossJoin(t.drop(key)))
-    band = next((r for r in rules if r.required and (r.operator == "equals_tolerance" and r.options.get("tolerance", 0) > 0 or r.operator == "date_range" and r.options.get("days", 0) > 0)), None)
-    if band is None:
-        return s.crossJoin(t)
-
-    def place(c: Column, kind: str) -> Column:
-        if band.operator == "date_range":
-            return moment(c, kind) / (band.options["days"] * 86_400_000_000)
-        return (c.cast("double") if family(kind) == "number" else money(c)) / (band.options["tolerance"] * (1 + 1e-9))
-
-    s = s.withColumn("_b", F.floor(place(F.col(f"s_{band.source}"), kinds[0][band.source])))
-    at = F.floor(place(F.col(f"t_{band.target}"), kinds[1][band.target]))
-    t = t.withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
-    return s.join(t, "_b").drop("_b")
+        keyed_s = s.withColumn(key, block_key(as_text(F.col(f"s_{block[0]}"), kinds[0][block[0]]), *block[2:]))
+        keyed_t = t.withColumn(key, block_key(as_text(F.col(f"t_{block[1]}"), kinds[1][block[1]]), *block[2:]))
+        lone = keyed_s.join(keyed_t.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").drop(key)
+        inside = band_join(keyed_s, keyed_t, [key], band) if band else keyed_s.join(keyed_t, key)
+        return inside.drop(key).unionByName(_met(lone, t, rules, kinds, None))
+    exact = [r for r in rules if r.required and r.operator == "equals"]
+    if exact:
+        on = []
+        for r in exact:
+            key, case = free_name("key", s, t), r.options.get("case_sensitive", True)
+            s = s.withColumn(key, block_key(as_text(F.col(f"s_{r.source}"), kinds[0][r.source]), case_sensitive=case))
+            t = t.withColumn(key, block_key(as_text(F.col(f"t_{r.target}"), kinds[1][r.target]), case_sensitive=case))
+            on.append(key)
+        return (band_join(s, t, on, band) if band else s.join(t, on)).drop(*on)
+    if band:
+        return band_join(s, t, [], band)
+    for r in rules:
+        how, least = r.options.get("algorithm", "jaro_winkler"), r.options.get("threshold", 0.85)
+        if not r.required or r.operator != "similarity" or least <= 0:
+            continue
+        x, y = as_text(F.col(f"s_{r.source}"), kinds[0][r.source]), as_text(F.col(f"t_{r.target}"), kinds[1][r.target])
+        if not r.options.get("case_sensitive", False):
+            x, y = F.lower(x), F.lower(y)
+        if how in BY_GRAMS and least <= 1:
+            return gram_join(s, t, x, y, BY_GRAMS[how], least)
+        if how == "soundex" and least >= 1:
+            key = free_name("key", s, t)
+            return s.withColumn(key, sim.soundex(x)).join(t.withColumn(key, sim.soundex(y)), key).drop(key)
+    return s.crossJoin(t)
 
 
 def scored(source: DataFrame, target: DataFrame, rules: list[Rule], min_confidence: float = 50, block: tuple | None = None) -> DataFrame:
@@ -152,28 +176,6 @@ def scored(source: DataFrame, target: DataFrame, rules: list[Rule], min_confiden
     return out.where(F.col("confidence") >= min_confidence).drop(*hits)
 
 
-def assign(edges: DataFrame, source_order: str, target_key: str, target_order: str, settle=None) -> DataFrame:
-    """One-to-one: sources in order each take their best free target (confidence, then target order).
-
-    All targets rank sources alike, so this is the stable matching that deferred acceptance finds:
-    sources propose to their best target that has not refused them, a target keeps the first source
-    in order. Rounds go on until none is refused. `settle` cuts lineage between rounds; the
-    default is checkpoint() into spark.checkpoint.dir.
-    """
-    settle = settle or (lambda df: df.checkpoint())
-    best = F.struct((-F.col("confidence")).alias("c"), F.col(target_order).alias("o"))
-    each = edges.groupBy(source_order, target_key).agg(F.min(best).alias("b")).select(source_order, target_key, F.col("b.c").alias("c"), F.col("b.o").alias("o"))
-    open_ = settle(each)
-    while True:
-        choice = open_.groupBy(source_order).agg(F.min(F.struct("c", "o", target_key)).alias("m")).select(source_order, F.col(f"m.{target_key}").alias(target_key), (-F.col("m.c")).alias("confidence"))
-        choice = settle(choice)
-        winner = choice.groupBy(target_key).agg(F.min(source_order).alias("_w"))
-        refused = settle(choice.join(winner, target_key).where(F.col(source_order) != F.col("_w")).select(source_order, target_key))
-        if refused.isEmpty():
-            return choice
-        open_ = settle(open_.join(refused, [source_order, target_key], "left_anti"))
-
-
 def unmatched(side: DataFrame, key: str, matched: DataFrame, matched_key: str) -> DataFrame:
     """Rows whose key text no match has."""
     used = matched.select(F.coalesce(F.col(matched_key).cast("string"), F.lit("unknown")).alias("_used")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,17 +92,17 @@ def _edges(rules: list[Rule], minimum: float = 50, block=None):
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    _checkpoints(spark)
     edges = _edges([_CUST, Rule("amount", "amount", "total", "equals_tolerance", 60, True, {"tolerance": 0.006})])(spark, d)
-    return m.assign(edges, "s_pk", "t_ik", "t_ik").select(F.col("s_pk").alias("pk"), F.col("t_ik").alias("ik"), "confidence")
+    return m.assign(edges, "s_pk", "t_ik", "t_ik", within="s_cust").select(F.col("s_pk").alias("pk"), F.col("t_ik").alias("ik"), "confidence")
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """checkpoint() needs a folder; the session's own setting counts, a new one is made only where it is unset (tests)."""
+    """checkpoint() needs a folder that all executors share; a new local one is made only where there is one machine and none is set (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallymark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="tallymark-"))
 
 
 _ALL = [_CUST, _RULES["r_tol"][0], Rule("date", "booked", "dated", "date_range", 25, options={"days": 5})]
@@ -120,9 +122,29 @@ query("r_band", f"select pk, ik from ({_PAY}) p join ({_INV}) i on abs(p.amount
 
 # each payment has one invoice within the tolerance, so the plain join is the assignment
 _PLAIN = f"select pk, ik, 100.0::double as confidence from ({_PAY}) p join ({_INV}) i on p.cust = i.cust and abs(p.amount - i.total) <= 0.006"
-query("r_assign", None, _assigned)
+
+
+def _greedy_sql(edges: str) -> str:
+    """Payments in order take their best free invoice: one more payment of each customer in each step of a recursion."""
+    return f"""
+with recursive e as ({edges}),
+turns as (select pk, cust, row_number() over (partition by cust order by pk) as n from (select distinct pk, cust from e)),
+walk as (select cust, 0::bigint as n, [-1]::bigint[] as used, null::bigint as pk, null::bigint as ik, null::double as confidence from (select distinct cust from e)
+  union all
+  select w.cust, t.n, case when x.ik is null then w.used else list_append(w.used, x.ik) end, t.pk, x.ik, x.confidence
+  from walk w join turns t on t.cust = w.cust and t.n = w.n + 1
+  join (select v.cust, arg_min(e.ik, (-e.confidence, e.ik)) filter (where not list_contains(v.used, e.ik)) as ik, arg_min(e.confidence, (-e.confidence, e.ik)) filter (where not list_contains(v.used, e.ik)) as confidence
+    from walk v join turns u on u.cust = v.cust and u.n = v.n + 1 join e on e.pk = u.pk group by v.cust) x on x.cust = w.cust)
+select pk, ik, confidence from walk where ik is not null"""
+
+
+query("r_assign", _greedy_sql(f"select pk, ik, p.cust as cust, 100.0::double as confidence from ({_PAY}) p join ({_INV}) i on p.cust = i.cust and abs(p.amount - i.total) <= 0.006"), _assigned)
 query("r_assign_single", f"select * from ({_PLAIN})", _assigned)
-query("r_assign_chain", None, lambda spark, d: (_checkpoints(spark), m.assign(_edges(_ALL)(spark, d), "s_pk", "t_ik", "t_ik"))[1])
+query("r_assign_chain", _greedy_sql(f"select pk, ik, cust, confidence from ({_SCORED.replace('select pk, ik,', 'select pk, ik, p.cust as cust,', 1)}) where confidence >= 50").replace("select pk, ik, confidence from walk", "select pk as s_pk, ik as t_ik, confidence from walk"),
+      lambda spark, d: m.assign(_edges(_ALL)(spark, d), "s_pk", "t_ik", "t_ik", within="s_cust"))
+# without an equality key: rounds, then components; a test compares it with sequential greedy
+_NEAR = Rule("amount", "amount", "total", "equals_tolerance", 100, True, {"tolerance": 5})
+query("r_assign_open", None, lambda spark, d: (_checkpoints(spark), m.assign(_edges([_NEAR])(spark, d), "s_pk", "t_ik", "t_ik"))[1])
 query("r_unmatched_src", f"select pk from ({_PAY}) where pk not in (select pk from ({_PLAIN}))", lambda spark, d: m.unmatched(_payments(spark, d), "pk", _assigned(spark, d), "pk").select("pk"))
 query("r_unmatched_tgt", f"select ik from ({_INV}) where ik not in (select ik from ({_PLAIN}))", lambda spark, d: m.unmatched(_invoices(spark, d), "ik", _assigned(spark, d), "ik").select("ik"))
 query("r_summary", f"select count(*) as matched, floor(avg(confidence) * 100 + 0.5) / 100 as average from ({_PLAIN})", lambda spark, d: _assigned(spark, d).agg(F.count("*").alias("matched"), rounded(F.avg("confidence")).alias("average")))
@@ -142,9 +164,35 @@ query("k_soundex", f"select a.n_nationkey as i, b.s_suppkey as j from nation a j
 _DAYS = Rule("date", "booked", "dated", "date_range", 100, True, {"days": 1})
 query("r_date_band", f"select cust, count(*) as pairs from (select p.cust from ({_PAY}) p join ({_INV}) i on p.cust = i.cust and abs(epoch_us(p.booked) - epoch_us(i.dated)) <= 86400000000) group by cust",
       lambda spark, d: m.scored(_payments(spark, d), _invoices(spark, d), [_CUST, _DAYS]).groupBy(F.col("s_cust").alias("cust")).agg(F.count("*").alias("pairs")))
+query("r_days", f"select p.booked::date as day, count(*) as pairs from ({_PAY}) p join ({_INV}) i on abs(epoch_us(p.booked) - epoch_us(i.dated)) <= 86400000000 group by day",
+      lambda spark, d: m.scored(_payments(spark, d), _invoices(spark, d), [_DAYS]).groupBy(F.to_date("s_booked").alias("day")).agg(F.count("*").alias("pairs")))
 query("r_date_bad", f"select pk, ik from ({_PAY}) p join ({_INV}) i on pk = ik where pk % 4 <> 0 and pk % 10 <= 5",
       lambda spark, d: m.scored(_payments(spark, d).withColumn("booked", F.when(F.col("pk") % 4 == 0, F.lit("no date")).otherwise(F.col("booked").cast("string"))), _invoices(spark, d), [Rule("id", "pk", "ik", "equals", 40, True), Rule("date", "booked", "dated", "date_range", 60, True, {"days": 5})]).selectExpr(*_PAIR))
 query("r_date_ms", f"select pk, ik from ({_PAY}) p join ({_INV}) i on pk = ik where pk % 10 <= 5",
       lambda spark, d: m.scored(_payments(spark, d).withColumn("booked", F.unix_millis(F.col("booked").cast("timestamp"))), _invoices(spark, d), [Rule("id", "pk", "ik", "equals", 40, True), Rule("date", "booked", "dated", "date_range", 60, True, {"days": 5})]).selectExpr(*_PAIR))
 query("r_report", f"with a as ({_PLAIN}), n as (select count(*) as n from orders) select (select count(*) from a) as matched, (select count(*) from orders where o_orderkey not in (select pk from a)) as unmatched_source, (select count(*) from orders where o_orderkey not in (select ik from a)) as unmatched_target, floor((select count(*) from a) * 100.0::double / n * 100 + 0.5) / 100 as match_rate, 100.0::double as average from n",
       lambda spark, d: m.summary(_payments(spark, d), "pk", _invoices(spark, d), "ik", _assigned(spark, d), ("pk", "ik")))
+
+#: A code for each part, and copies of the codes in other case, with other letters or with one more.
+_PARTS = "select p_partkey as k, to_base64(unhex(md5(p_partkey::varchar))) as text from part"
+_COPIES = f"select k, case when k % 3 = 0 then upper(text) when k % 3 = 1 then replace(text, 'a', 'e') else text || '.' end as text from ({_PARTS})"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.base64(F.unhex(F.md5(F.col("p_partkey").cast("string")))).alias("text"))
+
+
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    k, text = F.col("k"), F.col("text")
+    return _parts(spark, d).select("k", F.when(k % 3 == 0, F.upper(text)).when(k % 3 == 1, F.replace(text, F.lit("a"), F.lit("e"))).otherwise(F.concat(text, F.lit("."))).alias("text"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1) + 1), lambda k: substr({0}, k, 2)))"
+_TEXTS = f"(select k, lower(text) as a, {_GRAMS.format('lower(text)')} as g from ({{}}))"
+for _name, _how, _least, _test in (
+    ("r_gram_lev", "levenshtein", 0.9, "1 - levenshtein(p.a, i.a)::double / greatest(length(p.a), length(i.a)) >= 0.9"),
+    ("r_gram_dice", "dice_sorensen", 0.9, "2.0::double * len(list_intersect(p.g, i.g)) / (len(p.g) + len(i.g)) >= 0.9"),
+    ("r_gram_jaccard", "jaccard", 0.85, "len(list_intersect(p.g, i.g))::double / (len(p.g) + len(i.g) - len(list_intersect(p.g, i.g))) >= 0.85"),
+):
+    query(_name, f"select p.k as i, i.k as j from {_TEXTS.format(_PARTS)} p join {_TEXTS.format(_COPIES)} i on p.a = i.a or {_test}",
+          lambda spark, d, r=Rule("text", "text", "text", "similarity", 100, True, {"algorithm": _how, "threshold": _least}): m.scored(_parts(spark, d), _copies(spark, d), [r]).select(F.col("s_k").alias("i"), F.col("t_k").alias("j")))
