@@ -36,10 +36,10 @@ THETA, THETA_0 = 1.0, 1.0
 LEAST_DISCOUNT, MOST_DISCOUNT = 0.05, 0.95
 #: Keys in one bucket.
 BUCKET_KEYS = 2_000_000
-#: Customers seated one by one; beyond, 1 / STEP of those seated so far are seated at once.
-STEP = 64
+#: Customers seated one by one; beyond, 1 / STEP of those seated so far are seated at once, as its middle customer would be.
+STEP = 16
 START, END = U(1), U(2)
-WORD_KEY, PAIR_KEY = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+TURN_KEY, PAIR_KEY = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 Batches = Iterator[pa.RecordBatch]
 BLOCKS = "block long, docs array<long>, held binary, sizes binary, vocab binary, tokens binary, n_tokens long"
@@ -94,14 +94,12 @@ class Block:
     def pair_keys(self) -> np.ndarray:
         return mix(self.words[self.context] * PAIR_KEY + mix(self.vocab[self.dish]))
 
-    def keys(self) -> np.ndarray:
-        """Of all words, then of all pairs."""
-        return np.concatenate([mix(self.vocab ^ WORD_KEY), self.pair_keys()])
+    def word_counts(self) -> np.ndarray:
+        """How often the words occur in the block's training texts; of the start, how many these are."""
+        return np.append(np.bincount(self.tokens[self.trains], minlength=self.start), self.training)
 
-    def counts(self) -> np.ndarray:
-        """How often the keys occur in the block's training texts."""
-        words = np.bincount(self.tokens[self.trains], minlength=len(self.vocab))
-        return np.concatenate([words, np.bincount(self.pair_of[self.trains], minlength=len(self.context))])
+    def pair_counts(self) -> np.ndarray:
+        return np.bincount(self.pair_of[self.trains], minlength=len(self.context))
 
 
 def _rows(batches: Batches) -> Iterator[dict]:
@@ -111,38 +109,53 @@ def _rows(batches: Batches) -> Iterator[dict]:
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys' order by bucket, and where each bucket begins in it."""
-    bucket = (keys >> U(20)) % U(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
+    """The order of the keys, and where each bucket, a range of keys, begins in it."""
+    order = np.argsort(keys)
+    bounds = np.array([b * (1 << 64) // buckets for b in range(buckets)], U)
+    return order, np.append(np.searchsorted(keys[order], bounds), len(keys))
 
 
-def _pieces(block: int | None, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, block, keys, vals), the values in the least width that holds them."""
+def _pieces(block: int | None, keys: np.ndarray, values: np.ndarray, buckets: int, with_keys: bool = True) -> pa.RecordBatch:
+    """Rows (bucket, block, keys, vals)."""
     order, at = _dealt(keys, buckets)
     full = np.flatnonzero(np.diff(at)).tolist()
     cut = [order[at[b] : at[b + 1]] for b in full]
-    columns = [(full, pa.int32()), ([block] * len(full), pa.int64()), ([keys[c].tobytes() for c in cut], pa.binary()), ([packed(values[c]) for c in cut], pa.binary())]
+    own = [packed_keys(keys[c]) for c in cut] if with_keys else [None] * len(cut)
+    columns = [(full, pa.int32()), ([block] * len(full), pa.int64()), (own, pa.binary()), ([packed(values[c]) for c in cut], pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], ["bucket", "block", "keys", "vals"])
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the differences between neighbours."""
+    return packed(np.diff(keys, prepend=U(0)))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_values(raw), dtype=U)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers from 0 on in one, two, four or eight bytes each, first all lowest bytes, and compressed; the first byte says how many."""
-    width = np.min_scalar_type(int(values.max(initial=0))).itemsize
+    width = np.min_scalar_type(int(values.max())).itemsize if values.size else 1
     raw = np.ascontiguousarray(values).astype(f"<u{width}").view(np.uint8).reshape(-1, width)
     return bytes([width]) + zstandard.compress(raw.T.tobytes(), 1)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
+def _values(raw: bytes) -> np.ndarray:
     width = raw[0]
     planes = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return _values(raw).astype(np.int64)
 
 
 def _count_task(batches: Batches) -> Batches:
     """Buckets, one after the other: for each block's keys twice their count in the corpus, plus one where this block is the first to train on the key."""
     for group in _buckets(batches):
-        keys = np.concatenate([np.frombuffer(g[1], U) for g in group])
+        own = [unpacked_keys(g[1]) for g in group]
+        keys = np.concatenate(own)
         values = np.concatenate([unpacked(g[2]) for g in group])
         known, which = np.unique(keys, return_inverse=True)
         total = np.zeros(len(known), np.int64)
@@ -150,7 +163,7 @@ def _count_task(batches: Batches) -> Batches:
         owner = np.zeros(len(keys), np.int64)
         there = np.flatnonzero(values)
         owner[there[np.unique(which[there], return_index=True)[1]]] = 1
-        yield _answers(group, 2 * total[which] + owner)
+        yield _answers(group, [len(k) for k in own], 2 * total[which] + owner)
 
 
 def _find_task(width: int) -> Callable[[Batches], Batches]:
@@ -159,17 +172,18 @@ def _find_task(width: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for group in _buckets(batches):
             table = [(k, v) for b, k, v, _ in group if b is None]
-            known = np.concatenate([np.zeros(0, U), *(np.frombuffer(k, U) for k, _ in table)])
+            known = np.concatenate([np.zeros(0, U), *(unpacked_keys(k) for k, _ in table)])
             values = np.concatenate([np.zeros((0, width), np.int64), *(unpacked(v).reshape(-1, width) for _, v in table)])
             order = np.argsort(known)
             known, values = known[order], np.concatenate([values[order], np.zeros((1, width), np.int64)])
             asked = [g for g in group if g[0] is not None]
             if asked:
-                keys = np.concatenate([np.frombuffer(g[1], U) for g in asked])
+                own = [unpacked_keys(g[1]) for g in asked]
+                keys = np.concatenate(own)
                 at = np.searchsorted(known, keys)
                 known = np.append(known, U(0))
                 at[known[at] != keys] = len(known) - 1
-                yield _answers(asked, values[at])
+                yield _answers(asked, [len(k) for k in own], values[at])
 
     return run
 
@@ -187,9 +201,8 @@ def _buckets(batches: Batches) -> Iterator[list[tuple]]:
         yield group
 
 
-def _answers(group: list[tuple], values: np.ndarray) -> pa.RecordBatch:
-    ends = np.cumsum([len(g[1]) // 8 for g in group])
-    vals = [packed(v) for v in np.split(values, ends[:-1])]
+def _answers(group: list[tuple], sizes: list[int], values: np.ndarray) -> pa.RecordBatch:
+    vals = [packed(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
     return pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([g[3] for g in group], pa.int32()), pa.array(vals, pa.binary())], ["block", "bucket", "vals"])
 
 
@@ -240,13 +253,16 @@ def _owned_task(buckets: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for row in _rows(batches):
             b = Block(row)
-            count, owner = np.divmod(_gather(b.keys(), row["counts"], buckets)[:, 0], 2)
-            v = len(b.vocab)
-            own, c = owner[v:] == 1, count[v:]
-            one, more = own & (c == 1), np.flatnonzero(own & (c > 1))
+            keys, v = b.pair_keys(), len(b.vocab)
+            count, owner = np.divmod(_gather(keys, row["counts"], buckets)[:, 0], 2)
+            one, more = (owner == 1) & (count == 1), np.flatnonzero((owner == 1) & (count > 1))
             sides = [np.bincount(x[which], minlength=v + 1) for which in (one, more) for x in (b.context, b.dish)]
-            facts = np.stack([np.append(count[:v] * owner[:v], b.training), *sides], axis=1)
-            values = [b.number, b.words.tobytes(), packed(facts), packed(b.context[more]), packed(b.dish[more]), packed(c[more]), b.pair_keys()[more].tobytes(), int((c[more] == 2).sum())]
+            more = more[np.argsort(keys[more])]
+            order = np.argsort(b.words)
+            place = np.empty_like(order)
+            place[order] = np.arange(v + 1)
+            facts, c = np.stack([b.word_counts(), *sides], axis=1)[order], count[more]
+            values = [b.number, packed_keys(b.words[order]), packed(facts), packed(place[b.context[more]]), packed(place[b.dish[more]]), packed(c), packed_keys(keys[more]), int((c == 2).sum())]
             yield _row(OWNED, values)
 
     return run
@@ -263,7 +279,7 @@ def _times(n: int, key: np.uint64) -> np.uint64:
 
 
 def _uniform(seeds: np.ndarray, turn: int) -> np.ndarray:
-    return (mix(seeds + _times(turn, WORD_KEY)) >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+    return (mix(seeds + _times(turn, TURN_KEY)) >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
 def _successes(m: np.ndarray, q: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -289,7 +305,7 @@ def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, theta: f
         size = max(1, seated // STEP)
         t = tables[active]
         new = (theta + discount * (others[active] + t)) * parent[active]
-        q = new / (new + np.maximum(seated - discount * t, 1e-12))
+        q = new / (new + np.maximum(seated + (size - 1) / 2 - discount * t, 1e-12))
         own = mix(seeds[active] + _times(seated, PAIR_KEY))
         tables[active] += _uniform(own, 0) < q if size == 1 else _successes(np.minimum(size, customers[active] - seated), q, own)
         seated += size
@@ -307,12 +323,12 @@ TOTALS = "bucket int, keys binary, vals binary, distinct long, tokens long, text
 def _state_row(bucket: int, keys: np.ndarray, state: np.ndarray) -> list:
     real, n, customers = keys != START, state[:, 0], state[:, 4]
     sums = [int((real & (n > 0)).sum()), int(n[real].sum()), int(n[~real].sum()), int(state[:, 1].sum()), int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), int(state[:, 5].sum())]
-    return [bucket, keys.tobytes(), packed(state), *sums]
+    return [bucket, packed_keys(keys), packed(state), *sums]
 
 
 def _told(group: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """The words of all blocks that ask a bucket, and the sums of what the blocks say of them."""
-    keys = [np.frombuffer(r["keys"], U) for r in group if r["kind"] == 1]
+    keys = [unpacked_keys(r["keys"]) for r in group if r["kind"] == 1]
     known, which = np.unique(np.concatenate([np.zeros(0, U), *keys]), return_inverse=True)
     said = [unpacked(r["vals"]).reshape(len(k), -1) for r, k in zip((r for r in group if r["kind"] == 1), keys)]
     sums = np.zeros((len(known), said[0].shape[1] if said else FACTS), np.int64)
@@ -356,14 +372,15 @@ def _groups(batches: Batches) -> Iterator[tuple[int, list[dict]]]:
 
 
 def _tell_task(batches: Batches) -> Batches:
-    """For each block's words the tables of their restaurants, their customers and their tables in the parent, of all given states in turn."""
+    """For each block's words the tables of their restaurants, their customers and their tables in the parent, of all given states in turn, and last the tokens of the word."""
     for bucket, group in _groups(batches):
         states = [r for r in group if r["kind"] == 0]
-        known = np.frombuffer(states[0]["keys"], U)
-        values = np.concatenate([unpacked(r["vals"]).reshape(-1, STATE)[:, 3:] for r in states], axis=1)
+        known = unpacked_keys(states[0]["keys"])
+        state = [unpacked(r["vals"]).reshape(-1, STATE) for r in states]
+        values = np.concatenate([*(x[:, 3:] for x in state), state[0][:, :1]], axis=1)
         asked = [(r["block"], r["keys"], None, bucket) for r in group if r["kind"] == 1]
-        keys = np.concatenate([np.frombuffer(a[1], U) for a in asked])
-        yield _answers(asked, values[np.searchsorted(known, keys)])
+        own = [unpacked_keys(a[1]) for a in asked]
+        yield _answers(asked, [len(k) for k in own], values[np.searchsorted(known, np.concatenate(own))])
 
 
 STEP_ROWS = "bucket int, block long, keys binary, vals binary"
@@ -376,11 +393,11 @@ def _sweep_task(m: dict, sweep: int, buckets: int) -> Callable[[Batches], Batche
 
     def run(batches: Batches) -> Batches:
         for row in _rows(batches):
-            words, context, dish, c = np.frombuffer(row["words"], U), *(unpacked(row[c]) for c in ("context", "dish", "customers"))
-            of = _gather(words, row["told"], buckets, 3)
+            words, context, dish, c = unpacked_keys(row["words"]), *(unpacked(row[c]) for c in ("context", "dish", "customers"))
+            of = _gather(words, row["told"], buckets, 4)
             before = unpacked(row["t"]) if row["t"] else np.ones(len(c), np.int64)
             parent = (of[:, 1] - m["d0"] * of[:, 2] + nowhere) / (THETA_0 + customers)
-            t = seat(c, of[context, 0] - before, parent[dish], THETA, m["d"], mix(np.frombuffer(row["pairs"], U) + _times(sweep, PAIR_KEY)))
+            t = seat(c, of[context, 0] - before, parent[dish], THETA, m["d"], mix(unpacked_keys(row["pairs"]) + _times(sweep, PAIR_KEY)))
             sums = np.stack([np.bincount(x, weights=t, minlength=len(words)).astype(np.int64) for x in (context, dish)], axis=1)
             yield _row(STEP_ROWS, [None, row["block"], None, packed(t)])
             yield _pieces(row["block"], words, sums, buckets)
@@ -394,7 +411,7 @@ class Model:
     def __init__(self, owned: DataFrame, buckets: int):
         spark = owned.sparkSession
         self.buckets, self.owned = buckets, owned
-        said = _ask_task(lambda row: (np.frombuffer(row["words"], U), unpacked(row["facts"]).reshape(-1, FACTS)), buckets)
+        said = _ask_task(lambda row: (unpacked_keys(row["words"]), unpacked(row["facts"]).reshape(-1, FACTS)), buckets)
         with batches_of(spark, 4):
             self.asked = settle(owned.mapInArrow(said, PIECES), "asked")
             state = settle(self._by_bucket(_kind(self.asked, 1)).mapInArrow(_open_task, TOTALS), "state")
@@ -459,12 +476,13 @@ def _score_task(m: dict, buckets: int) -> Callable[[Batches], Batches]:
         for row in _rows(batches):
             b = Block(row)
             v = len(b.vocab)
-            count = _gather(b.keys(), row["counts"], buckets)[:, 0] // 2
-            of_word = _gather(b.words, row["words"], buckets, 3 * SAMPLES).reshape(v + 1, SAMPLES, 3)
-            n, c = np.append(count[:v], m["texts"]), count[v:]
+            keys = b.pair_keys()
+            c = _gather(keys, row["counts"], buckets)[:, 0] // 2
+            of_word = _gather(b.words, row["words"], buckets, 3 * SAMPLES + 1)
+            n, of_word = of_word[:, -1], of_word[:, :-1].reshape(v + 1, SAMPLES, 3)
             tables = np.ones((len(c), SAMPLES), np.int64)
             more = np.flatnonzero(c > 1)
-            tables[more] = _gather(b.pair_keys()[more], row["pairs"], buckets, SAMPLES)
+            tables[more] = _gather(keys[more], row["pairs"], buckets, SAMPLES)
             probability = np.zeros(len(c))
             for s, (customers, all_tables) in enumerate(m["totals"]):
                 parent = (of_word[:, s, 1] - m["d0"] * of_word[:, s, 2] + (THETA_0 + m["d0"] * all_tables) / (m["distinct"] + 1)) / (THETA_0 + customers)
@@ -472,8 +490,8 @@ def _score_task(m: dict, buckets: int) -> Callable[[Batches], Batches]:
                 own = np.where(c > 0, c - m["d"] * tables[:, s], 0.0) / (THETA + n[b.context])
                 probability += own + back[b.context] * parent[b.dish]
             score = np.log10(probability / SAMPLES)[b.pair_of]
-            base = np.log10((count[:v] + 0.5) / (m["tokens"] + 0.5 * (m["distinct"] + 1)))[b.tokens]
-            sums = [np.add.reduceat(x, b.first) for x in ((count[:v] > 0)[b.tokens].astype(np.int64), base, score)]
+            base = np.log10((n[:v] + 0.5) / (m["tokens"] + 0.5 * (m["distinct"] + 1)))[b.tokens]
+            sums = [np.add.reduceat(x, b.first) for x in ((n[:v] > 0)[b.tokens].astype(np.int64), base, score)]
             held = np.frombuffer(row["held"], bool)
             yield pa.RecordBatch.from_arrays([pa.array(b.docs, pa.int64()), pa.array(held), pa.array(b.sizes), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -495,7 +513,7 @@ def counted(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 
     def of_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
         b = Block(row)
-        return b.keys(), b.counts()
+        return b.pair_keys(), b.pair_counts()
 
     with batches_of(spark, 4):
         counts = _exchanged(blocks.mapInArrow(_ask_task(of_block, buckets), PIECES), _count_task, buckets, "counts")
@@ -508,14 +526,15 @@ def counted(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """The rows of all blocks' texts."""
     spark, buckets = blocks.sparkSession, model.buckets
-    m = {k: getattr(model, k) for k in ("d", "d0", "distinct", "tokens", "texts", "totals")}
+    m = {k: getattr(model, k) for k in ("d", "d0", "distinct", "tokens", "totals")}
 
     def seated(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(row["pairs"], U), np.stack([unpacked(row[f"t{k}"]) for k in range(SAMPLES)], axis=1)
+        return unpacked_keys(row["pairs"]), np.stack([unpacked(row[f"t{k}"]) for k in range(SAMPLES)], axis=1)
 
     def multiple(row: dict) -> tuple[np.ndarray, np.ndarray]:
         b = Block(row)
-        keys = b.pair_keys()[_gather(b.keys(), row["counts"], buckets)[len(b.vocab) :, 0] > 3]
+        keys = b.pair_keys()
+        keys = keys[_gather(keys, row["counts"], buckets)[:, 0] > 3]
         return keys, np.zeros(len(keys), np.int64)
 
     with batches_of(spark, 4):
