@@ -241,9 +241,9 @@ def _gather(keys: np.ndarray, answers: list[dict] | None, buckets: int, width: i
     return out
 
 
-#: What each block keeps: of its words the facts (customers where it is the word's first block, dishes of one customer, and owned pairs by
-#: context and by dish), and the pairs it owns as numbers of its words.
-OWNED = "block long, words binary, facts binary, context binary, dish binary, customers binary, pairs binary, twos long"
+#: What each block keeps: its words, and the pairs it owns as numbers of these. Rows with a bucket are pieces of what it says of its words.
+OWNED = "block long, words binary, context binary, dish binary, customers binary, pairs binary, twos long, bucket int, keys binary, vals binary"
+#: Of a word: tokens, dishes and contexts of one customer, owned pairs by context and by dish.
 FACTS = 5
 
 
@@ -262,8 +262,10 @@ def _owned_task(buckets: int) -> Callable[[Batches], Batches]:
             place = np.empty_like(order)
             place[order] = np.arange(v + 1)
             facts, c = np.stack([b.word_counts(), *sides], axis=1)[order], count[more]
-            values = [b.number, packed_keys(b.words[order]), packed(facts), packed(place[b.context[more]]), packed(place[b.dish[more]]), packed(c), packed_keys(keys[more]), int((c == 2).sum())]
-            yield _row(OWNED, values)
+            values = [b.number, packed_keys(b.words[order]), packed(place[b.context[more]]), packed(place[b.dish[more]]), packed(c), packed_keys(keys[more]), int((c == 2).sum())]
+            yield _row(OWNED, [*values, None, None, None])
+            told = _pieces(b.number, b.words[order], facts, buckets).to_pylist()
+            yield _row(OWNED, *([b.number, *[None] * 6, r["bucket"], r["keys"], r["vals"]] for r in told))
 
     return run
 
@@ -410,10 +412,9 @@ class Model:
 
     def __init__(self, owned: DataFrame, buckets: int):
         spark = owned.sparkSession
-        self.buckets, self.owned = buckets, owned
-        said = _ask_task(lambda row: (unpacked_keys(row["words"]), unpacked(row["facts"]).reshape(-1, FACTS)), buckets)
+        self.buckets, self.asked = buckets, owned.where("bucket is not null").select("bucket", "block", "keys", "vals")
+        self.owned = owned = owned.where("bucket is null").drop("bucket", "keys", "vals")
         with batches_of(spark, 4):
-            self.asked = settle(owned.mapInArrow(said, PIECES), "asked")
             state = settle(self._by_bucket(_kind(self.asked, 1)).mapInArrow(_open_task, TOTALS), "state")
             of = state.agg(*(F.sum(c) for c in ("distinct", "tokens", "texts", "ones", "once", "twice"))).first()
             self.distinct, self.tokens, self.texts = (x or 0 for x in of[:3])
@@ -421,10 +422,13 @@ class Model:
             self.states, self.seats, self.totals = [], [], [self._totals(state)]
             seats = None
             for sweep in range(BURN_IN + SAMPLES):
+                freed(spark)
                 told = self._told([state], "told")
-                rows = _with(owned.drop("facts"), told, "told")
+                freed(spark)
+                rows = _with(owned, told, "told")
                 rows = rows.join(seats, "block", "left") if seats is not None else rows.withColumn("t", F.lit(None).cast("binary"))
                 step = settle(rows.mapInArrow(_sweep_task({k: getattr(self, k) for k in ("d", "d0", "distinct", "totals")}, sweep, buckets), STEP_ROWS), "step")
+                freed(spark, told)
                 last, seats = seats, settle(step.where("bucket is null").select("block", F.col("vals").alias("t")), "seats")
                 close = _close_task(sweep, self.totals[-1][1], self.d0, 1 / (self.distinct + 1))
                 past, state = state, settle(self._by_bucket(_kind(step.where("bucket is not null"), 1).unionByName(_kind(state, 0))).mapInArrow(close, TOTALS), "state")
@@ -432,7 +436,7 @@ class Model:
                 if sweep >= BURN_IN:
                     self.states.append(state)
                     self.seats.append(seats)
-                freed(spark, told, step, *([past] if sweep <= BURN_IN else []), *([last] if last is not None and sweep <= BURN_IN else []))
+                freed(spark, step, *([past] if sweep <= BURN_IN else []), *([last] if last is not None and sweep <= BURN_IN else []))
         self.totals = self.totals[-SAMPLES:]
 
     def _by_bucket(self, rows: DataFrame) -> DataFrame:
@@ -539,7 +543,7 @@ def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
     with batches_of(spark, 4):
         words = model.told()
-        freed(spark, model.asked, *model.states)
+        freed(spark, *model.states)
         known = model.tables().mapInArrow(_ask_task(seated, buckets), PIECES).withColumn("block", F.lit(None).cast("long"))
         asked = _with(blocks, counts, "counts").mapInArrow(_ask_task(multiple, buckets), PIECES)
         pairs = _exchanged(asked.union(known), _find_task(SAMPLES), buckets, "of_pairs")
