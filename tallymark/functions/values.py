@@ -39,12 +39,16 @@ def moment(c: Column, kind: str) -> Column:
 
 
 def as_text(c: Column, kind: str = "string") -> Column:
-    """The text form: whole numbers without a fraction, decimals exact without ending zeros, all else as Spark casts it."""
+    """The text form: whole numbers without a fraction, decimals exact without ending zeros, powers of ten from 1e21 on and below 1e-6 only; all else as Spark casts it."""
     if kind.startswith("decimal"):
         return F.when(c == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
     if kind.startswith(("float", "double")):
         d = c.cast("double")
-        return F.when((d == F.floor(d)) & (F.abs(d) < 1e15), d.cast("bigint").cast("string")).otherwise(d.cast("string"))
+        size, plain = F.abs(d), d.cast("string")
+        whole = F.when(size < 1e15, d.cast("bigint").cast("string")).otherwise(d.try_cast("decimal(38,0)").cast("string"))
+        digits = F.regexp_replace(plain.try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+        short = F.regexp_replace(F.regexp_replace(plain, r"\.0E|E", "e"), r"e([0-9])", "e+$1")  # 1e+21, 1e-7
+        return F.when((d == F.rint(d)) & (size < 1e21), whole).when(~plain.contains("E"), plain).when((size >= 1e-6) & (size < 1e21), digits).otherwise(short)
     return c.cast("string")
 
 
@@ -84,12 +88,13 @@ def money(c: Column, locale: str | None = None) -> Column:
 #: The names, whatever their case, whose values are secrets.
 SECRET_NAMES = ("password", "pass", "token", "accesstoken", "apikey", "secret", "connectionstring", "uri", "authorization")
 HIDDEN = "[REDACTED]"
+#: The patterns of bearer tokens and of passwords in URLs.
+BEARER, URL_PASSWORD = r"\bBearer\s+[A-Za-z0-9._-]{8,}\b", r"(?i)([a-z][a-z0-9+.-]*://[^:\s/]+):[^@\s/]+@"
 
 
 def redact(c: Column) -> Column:
     """Text without bearer tokens of eight characters or more, and without passwords in URLs; user names stay."""
-    c = F.regexp_replace(c, r"\bBearer\s+[A-Za-z0-9._-]{8,}\b", f"Bearer {HIDDEN}")
-    return F.regexp_replace(c, r"(?i)([a-z][a-z0-9+.-]*://[^:\s/]+):[^@\s/]+@", f"$1:{HIDDEN}@")
+    return F.regexp_replace(F.regexp_replace(c, BEARER, f"Bearer {HIDDEN}"), URL_PASSWORD, f"$1:{HIDDEN}@")
 
 
 def redact_value(c: Column, kind: DataType) -> Column:
@@ -117,3 +122,13 @@ def redacted(df: DataFrame) -> DataFrame:
 def rounded(c: Column, digits: int = 2) -> Column:
     """Half up at a number of digits, by floor, so that other engines agree."""
     return F.floor(c * 10**digits + 0.5) / 10**digits
+
+
+def qualified(alias: str, name: str) -> Column:
+    """The column of just this name of an aliased frame."""
+    return F.col(f"{alias}.`" + name.replace("`", "``") + "`")
+
+
+def comparable(c: Column, kind: str) -> Column:
+    """Maps cannot be compared; their entries, sorted by key, as JSON can."""
+    return F.to_json(F.array_sort(F.map_entries(c))) if kind.startswith("map") else c

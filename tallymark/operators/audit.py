@@ -69,6 +69,52 @@ def read(spark: SparkSession, path: str, fields: str, connector: str | None = No
     return matching(lines.where(F.col("_bad").isNull() & F.col("ts").isNotNull()).drop("_bad", "date"), start, end)
 
 
+def _days(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(day, folder) of all days of all connectors; only names are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/connector=*/date=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted((s.getPath().getName().removeprefix("date="), s.getPath().toString()) for s in found)
+
+
+def drop_before(spark: SparkSession, path: str, cutoff: str) -> list[str]:
+    """Delete the folders of days before an ISO date, without reading any; returns the days. Folders whose day is no date stay."""
+    limit, gone = iso_moment(cutoff)[:10], []
+    for day, folder in _days(spark, path):
+        try:
+            early = iso_moment(day)[:10] < limit
+        except ValueError:
+            continue
+        if early:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            gone.append(day)
+    return sorted(set(gone))
+
+
+def compact(spark: SparkSession, path: str, before: str, file_bytes: int = 128 << 20) -> int:
+    """Write the many small files of each connector's day before an ISO date anew as few of about file_bytes; returns how many days that were.
+
+    Lines are copied as they are, broken ones too. The new files are complete in a folder beside the day before they take its place.
+    """
+    done, limit = 0, iso_moment(before)[:10]
+    for day, folder in _days(spark, path):
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        sizes = [s.getLen() for s in fs.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+        wanted = max(1, -(-sum(sizes) // file_bytes))
+        if day >= limit or len(sizes) <= wanted:
+            continue
+        parent, name = folder.rsplit("/", 1)
+        fresh, old = f"{parent}/_compact-{name}", f"{parent}/_old-{name}"
+        spark.read.text(folder).repartition(wanted).write.mode("overwrite").text(fresh)
+        paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, old)]
+        if not (fs.rename(at, paths[1]) and fs.rename(paths[0], at)):
+            raise OSError(f"{folder} could not be replaced; its lines are in {old}")
+        fs.delete(paths[1], True)
+        done += 1
+    return done
+
+
 def _link_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of whole chains, each in order -> the same with previous_hash and hash. Only the last hash is carried; null content makes all later hashes null."""
     at, last = "", ()

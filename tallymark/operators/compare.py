@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import TRANSFORMS, as_number, as_text, family, free_name, named, trim
+from ..functions.values import TRANSFORMS, as_number, as_text, comparable, family, free_name, named, qualified, trim
 
 Comparator = Callable[[Column, Column], Column]
 
@@ -75,8 +75,8 @@ DIFFERENCES = "array<struct<field:string,difference:string,source_value:string,t
 
 def _field(p: FieldPair, kinds: tuple[dict, dict]) -> Column:
     """The difference of one field pair, or null."""
-    a, b = F.col(f"s.{p.source}"), F.col(f"t.{p.target}")
     ka, kb = kinds[0][p.source], kinds[1][p.target]
+    a, b = comparable(qualified("s", p.source), ka), comparable(qualified("t", p.target), kb)
     x = TRANSFORMS[p.transform](a) if p.transform else a
     if p.transform:
         ka = {"parseDate": "timestamp", "parseNumber": "double"}.get(p.transform, "string")
@@ -119,5 +119,5 @@ def compare(source: DataFrame, target: DataFrame, keys: list[tuple[str, str]], f
 
 def mapped(df: DataFrame, pairs: list[FieldPair], strict: bool = False) -> DataFrame:
     """Fields renamed to their targets with their transforms; others stay unless strict."""
-    made = {p.source: (TRANSFORMS[p.transform](F.col(p.source)) if p.transform else F.col(p.source)).alias(p.target) for p in pairs}
-    return df.select(*(made.get(c, F.col(c)) for c in df.columns if c in made or not strict))
+    made = {p.source: (TRANSFORMS[p.transform](named(p.source)) if p.transform else named(p.source)).alias(p.target) for p in pairs}
+    return df.select(*(made.get(c, named(c)) for c in df.columns if c in made or not strict))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import as_text, family
+from ..functions.values import as_text, family, named
 
 OPERATORS = ("eq", "neq", "gt", "lt", "gte", "lte", "contains", "in")
 #: Names that no field may have.
@@ -40,7 +40,7 @@ def condition(df: DataFrame, name: str, op: str, v: object) -> Column:
         raise ValueError(f"{name} is not a field")
     if name not in df.columns:
         return F.lit(op == "neq" and v is not None or op == "eq" and v is None)
-    c, kind = F.col(name), dict(df.dtypes)[name]
+    c, kind = named(name), dict(df.dtypes)[name]
     if op == "eq":
         return _equal(c, kind, v)
     if op == "neq":
@@ -70,14 +70,14 @@ def run(df: DataFrame, request: Request) -> DataFrame:
         for name, way in request.order_by:
             if name not in kinds:
                 continue  # no row has the field, so it orders nothing
-            c = F.coalesce(name, F.lit("")) if kinds[name] == "string" else F.col(name)
+            c = F.coalesce(named(name), F.lit("")) if kinds[name] == "string" else named(name)
             keys.append(c.desc() if way == "desc" else c.asc())
         out = out.orderBy(*keys) if keys else out
     if request.offset:
         out = out.offset(request.offset)
     if request.limit is not None:
         out = out.limit(request.limit)
-    return out.select(*(c for c in request.select if c in df.columns)) if request.select is not None else out
+    return out.select(*(named(c) for c in request.select if c in df.columns)) if request.select is not None else out
 
 
 def total(df: DataFrame, request: Request) -> DataFrame:

@@ -52,7 +52,7 @@ def infer(df: DataFrame, order: list[str]) -> DataFrame:
 
 def validate(df: DataFrame, required: list[str]) -> DataFrame:
     """df with errors (names of required fields that are null or empty, comma-joined) and valid."""
-    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(c)) for c in required)))
+    missing = F.array_compact(F.array(*(F.when(named(c).isNull() | (named(c).cast("string") == ""), F.lit(c)) for c in required)))
     return df.withColumns({"errors": F.array_join(missing, ","), "valid": F.size(missing) == 0})
 
 

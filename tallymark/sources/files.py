@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import named, qualified
 from ..operators.govern import guard_formulas
 from ..operators.request import UNSAFE
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, quote: str = '"') -> DataFrame:
-    """Text columns; those whose values all are numbers become doubles. Dates stay text."""
-    df = spark.read.csv(path, sep=delimiter, header=header, quote=quote, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, quote: str = '"', multiline: bool = True) -> DataFrame:
+    """Text columns; those whose values all are numbers become doubles. Dates stay text.
+
+    Quotes are doubled inside quotes, and quoted texts may have line breaks; files without such breaks can be split if `multiline` is
+    off. Without a header the widest row counts; trailing columns without any value are left out then.
+    """
+    options = {"sep": delimiter, "header": header, "quote": quote, "escape": quote, "multiLine": multiline, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    if header:
+        df = spark.read.csv(path, **options)
+    else:
+        width = spark.read.text(path).agg(F.max(F.size(F.split("value", re.escape(delimiter))))).first()[0] or 0
+        df = spark.read.schema(", ".join(f"Column{i + 1} string" for i in range(width))).csv(path, **options) if width else spark.read.text(path).drop("value")
+    if unsafe := [c for c in df.columns if c in UNSAFE]:
+        raise ValueError(f"unsafe header names: {', '.join(unsafe)}")
     if not df.columns:
         return df
-    if not header:
-        df = df.toDF(*(f"Column{i + 1}" for i in range(len(df.columns))))
-    bad = df.agg(*(F.count_if(F.col(c).isNotNull() & (F.col(c) != "") & F.col(c).try_cast("double").isNull()).alias(c) for c in df.columns)).first()
-    return df.select(*((F.col(c).try_cast("double").alias(c) if bad[c] == 0 else F.col(c)) for c in df.columns))
+    counts = df.agg(*(F.count_if(test).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k, test in (("bad", named(c).isNotNull() & (named(c) != "") & named(c).try_cast("double").isNull()), ("full", named(c).isNotNull())))).first()
+    last = max((i for i in range(len(df.columns)) if header or counts[f"full{i}"]), default=-1)
+    return df.select(*((named(c).try_cast("double").alias(c) if counts[f"bad{i}"] == 0 else named(c)) for i, c in enumerate(df.columns) if i <= last))
 
 
 def read_json(spark: SparkSession, path: str, records_path: str | None = None) -> DataFrame:
@@ -39,7 +52,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    guard_formulas(df).write.mode(mode).csv(path, header=True)
+    guard_formulas(df).write.mode(mode).csv(path, header=True, escape='"')
 
 
 def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -48,23 +61,27 @@ def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _folded(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: of each field its last value that is there, in the given order."""
-    return rows.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rows.columns if c not in (key, order)))
+    return rows.groupBy(named(key)).agg(*(F.max_by(named(c), F.when(named(c).isNotNull(), named(order))).alias(c) for c in rows.columns if c not in (key, order)))
+
+
+def _absent(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    return rows.alias("n").join(table.select(named(key)).alias("t"), qualified("n", key) == qualified("t", key), "left_anti")
 
 
 def updated(table: DataFrame, rows: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(table with fields of matching rows merged, rows that match nothing)."""
     new = _folded(rows, key, order)
     own = [c for c in new.columns if c != key]
-    joined = table.alias("t").join(new.alias("n"), F.col(f"t.{key}") == F.col(f"n.{key}"), "left")
-    merged = joined.select(*((F.coalesce(f"n.{c}", f"t.{c}").alias(c) if c in own else F.col(f"t.{c}")) for c in table.columns))
-    return merged, rows.join(table.select(key), key, "left_anti")
+    joined = table.alias("t").join(new.alias("n"), qualified("t", key) == qualified("n", key), "left")
+    merged = joined.select(*((F.coalesce(qualified("n", c), qualified("t", c)).alias(c) if c in own else qualified("t", c)) for c in table.columns))
+    return merged, _absent(rows, table, key)
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
     """Matching rows merged, others added; rows without a key are added."""
-    keyed, loose = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull()).drop(order)
+    keyed, loose = rows.where(named(key).isNotNull()), rows.where(named(key).isNull()).drop(order)
     merged, _ = updated(table, keyed, key, order)
-    fresh = _folded(keyed, key, order).join(table.select(key), key, "left_anti")
+    fresh = _absent(_folded(keyed, key, order), table, key)
     return merged.unionByName(fresh, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
 
 
