@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, freed, gathered, partitions, settle
 from .words import U, mix, spaced_words
 
-BURN_IN, SAMPLES = 1, 3
+BURN_IN, SAMPLES = 1, 2
 #: Strengths of a context's restaurant and of the shared parent.
 THETA, THETA_0 = 1.0, 1.0
 #: Discounts are estimated from how many dishes have one and two customers, within these bounds.
@@ -158,8 +158,7 @@ def _count_task(batches: Batches) -> Batches:
         keys = np.concatenate(own)
         values = np.concatenate([unpacked(g[2]) for g in group])
         known, which = np.unique(keys, return_inverse=True)
-        total = np.zeros(len(known), np.int64)
-        np.add.at(total, which, values)
+        total = np.bincount(which, weights=values, minlength=len(known)).astype(np.int64)
         owner = np.zeros(len(keys), np.int64)
         there = np.flatnonzero(values)
         owner[there[np.unique(which[there], return_index=True)[1]]] = 1
@@ -333,10 +332,9 @@ def _told(group: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     keys = [unpacked_keys(r["keys"]) for r in group if r["kind"] == 1]
     known, which = np.unique(np.concatenate([np.zeros(0, U), *keys]), return_inverse=True)
     said = [unpacked(r["vals"]).reshape(len(k), -1) for r, k in zip((r for r in group if r["kind"] == 1), keys)]
-    sums = np.zeros((len(known), said[0].shape[1] if said else FACTS), np.int64)
-    if said:
-        np.add.at(sums, which, np.concatenate(said))
-    return known, sums
+    if not said:
+        return known, np.zeros((0, FACTS), np.int64)
+    return known, np.stack([np.bincount(which, weights=column, minlength=len(known)).astype(np.int64) for column in np.concatenate(said).T], axis=1)
 
 
 def _open_task(batches: Batches) -> Batches:
@@ -544,10 +542,11 @@ def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     with batches_of(spark, 4):
         words = model.told()
         freed(spark, *model.states)
-        known = model.tables().mapInArrow(_ask_task(seated, buckets), PIECES).withColumn("block", F.lit(None).cast("long"))
+        known = settle(model.tables().mapInArrow(_ask_task(seated, buckets), PIECES).withColumn("block", F.lit(None).cast("long")), "known")
+        freed(spark, model.owned, *model.seats)
         asked = _with(blocks, counts, "counts").mapInArrow(_ask_task(multiple, buckets), PIECES)
         pairs = _exchanged(asked.union(known), _find_task(SAMPLES), buckets, "of_pairs")
-        freed(spark, model.owned, *model.seats)
+        freed(spark, known)
         full = _with(_with(_with(blocks, counts, "counts"), words, "words"), pairs, "pairs")
         out = settle(full.mapInArrow(_score_task(m, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     freed(spark, words, pairs)
