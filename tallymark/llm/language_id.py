@@ -49,11 +49,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """
     pick = F.xxhash64(F.lit("language"), F.col(doc_id), F.col(text))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~is_held_out(F.col(doc_id)))
-    counts = dict(docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang)).count().orderBy(F.desc("count"), F.col(lang)).limit(MOST_LANGUAGES).collect())
+    counts = dict(rows.groupBy(F.col(lang)).count().orderBy(F.desc("count"), F.col(lang)).limit(MOST_LANGUAGES).collect())
     if not counts:
         return {}
     rows = rows.where(F.col(lang).isin(list(counts)))
-    rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / (0.75 * n)))))[F.col(lang)]
+    rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))))[F.col(lang)]
     place = F.pmod(F.shiftright(pick, 20), F.greatest(F.length(text) - EXCERPT_CHARS, F.lit(1))).cast("int") + 1
     drawn = rows.where(F.pmod(pick, F.lit(1 << 20)) < rate * (1 << 20))
     got = drawn.select(F.col(lang), pick, F.substring(F.col(text), place, F.lit(EXCERPT_CHARS))).collect()

@@ -268,3 +268,12 @@ def test_pipeline(spark):
             assert made.count() == docs.select(F.translate("text", exact_dedup.UPPER, exact_dedup.LOWER)).distinct().count()
         docs = corpus_pipeline.settle(made, name)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").agg(F.sum("length")).first()[0] == packing.pack(docs).agg(F.sum("length")).first()[0]
+
+
+def test_languages_are_learned_from_training_rows_only(spark):
+    """600 languages that only held-out rows have change nothing: dictionaries are those of the rest."""
+    held = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 4 == 2][:600]
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, ["the house of the river and the tree", "das haus an dem fluss und der baum"][i % 2] + f" {i}", ["en", "de"][i % 2], "s", 1) for i in free]
+    plain = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert set(plain) == {"en", "de"} and plain == language_id.fit(spark.createDataFrame(rows + [(i, f"text {i}", f"x{k:03d}", "s", 1) for k, i in enumerate(held) for _ in range(2)], SCHEMA))
