@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -74,8 +74,9 @@ def spans(text: Column, kind: str) -> Column:
     pattern = BASE.get(kind) or LOOSE[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("body"), g.alias("gap")))
-    parts = F.transform(parts, lambda p, i: F.struct(p["body"].alias("body"), F.char_length(p["gap"]).alias("gap"), F.right(p["gap"], F.lit(CONTEXT)).alias("left"), F.left(F.element_at(gaps, i + 2), F.lit(1)).alias("right")))
+    # whole arrays are zipped: an array named inside a function of its elements is made anew for each of them
+    parts = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("body"), F.char_length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("left")))
+    parts = F.zip_with(parts, F.slice(gaps, 2, F.size(found)), lambda p, g: F.struct(p["body"].alias("body"), p["gap"].alias("gap"), p["left"].alias("left"), F.left(g, F.lit(1)).alias("right")))
     return _placed(parts)
 
 
@@ -85,7 +86,8 @@ SPAN = "array<struct<start:bigint,end:bigint,body:string,left:string,right:strin
 def _placed(parts: Column) -> Column:
     """Running positions of spans. Two levels of steps, as appending to one long array is quadratic."""
     empty = F.from_json(F.lit("[]"), SPAN)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STEP).cast("int")), lambda b: F.slice(parts, b * STEP + 1, F.lit(STEP)))
+
+    blocks = F.get(F.transform(F.array(parts), lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / STEP).cast("int")), lambda b: F.slice(own, b * STEP + 1, F.lit(STEP)))), 0)
 
     def one(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
@@ -167,7 +169,7 @@ def gazetteer(each: DataFrame) -> list[str]:
 def votes(s: Column, listed: list[str]) -> list[Column]:
     """The four labelers' votes on a span."""
     strict = F.when(_per_kind(s["kind"], STRICT, s["body"]), 1).otherwise(-1)
-    known = F.array_contains(F.array(*(F.lit(x) for x in listed)), entry(s)) if listed else F.lit(False)
+    known = entry(s).isin(listed) if listed else F.lit(False)  # a hashed set
     gazetteer = F.when(known, 1).otherwise(-1)
     cue = F.when(s["left"].rlike(CUES_FOR), 1).when(s["left"].rlike(CUES_AGAINST), -1).otherwise(0)
     open_left = (s["left"] == "") | s["left"].rlike(r"[\s(\[<\"':,;=]$")
@@ -216,6 +218,29 @@ def _features(s: Column, v: list[Column]) -> Column:
     return F.array(*(F.concat(F.lit(f"{k}="), x.cast("string")) for k, x in values.items()))
 
 
+def added(rows: DataFrame) -> DataFrame:
+    """(row, added): of each row's loose spans those that meet no base span and no loose span that is likelier.
+
+    One sort per text finds how far base spans that start before a loose span's end reach. What is left falls into runs of
+    spans that overlap; only spans of one run are compared with each other.
+    """
+    numbers = F.concat(
+        F.transform("base_spans", lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("turn"), s["end"].alias("reach"), F.get(F.filter("loose", lambda x: F.lit(False)), 0).alias("s"))),
+        F.transform("loose", lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("reach"), s.alias("s"))),
+    )
+    events = rows.where(F.size("loose") > 0).select("row", F.inline(numbers))
+    so_far = Window.partitionBy("row").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    clear = events.withColumn("reach", F.max("reach").over(so_far)).where("s is not null and coalesce(reach, 0) <= s.start").select("row", "s")
+    before = Window.partitionBy("row").orderBy("s.start", "s.end", "s.order").rowsBetween(Window.unboundedPreceding, -1)
+    opens = clear.withColumn("opens", (F.coalesce(F.max("s.end").over(before), F.lit(0)) <= F.col("s.start")).cast("int"))
+    runs = opens.withColumn("run", F.sum("opens").over(Window.partitionBy("row").orderBy("s.start", "s.end", "s.order").rowsBetween(Window.unboundedPreceding, 0)))
+    meet = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    first = lambda x, y: F.struct(-x["probability"], x["start"], x["order"]) < F.struct(-y["probability"], y["start"], y["order"])
+    each = runs.groupBy("row", "run").agg(F.collect_list("s").alias("own"))
+    kept = each.select("row", F.filter("own", lambda s: ~F.exists("own", lambda o: meet(o, s) & first(o, s))).alias("own"))
+    return kept.groupBy("row").agg(F.flatten(F.collect_list("own")).alias("added"))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans: array of (start, order, kind, end, body, base, probability), sorted, of every whole text.
 
@@ -247,13 +272,11 @@ def find(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", F.array_sort(scored).alias("spans"))
     base = F.filter("spans", lambda s: s["base"])
     rows = rows.select("doc_id", "spans", base.alias("base_spans"))
-    meet = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    loose = F.filter("spans", lambda s: ~s["base"] & (s["probability"] >= KEEP_FROM) & ~F.exists("base_spans", lambda b: meet(b, s)))
-    rows = rows.select("doc_id", "spans", "base_spans", loose.alias("loose"))
-    before = lambda x, y: F.struct(-x["probability"], x["start"], x["order"]) < F.struct(-y["probability"], y["start"], y["order"])
-    added = F.filter("loose", lambda s: ~F.exists("loose", lambda o: meet(o, s) & before(o, s)))
-    stays = F.array_sort(F.concat("base_spans", added))
-    return rows.select("doc_id", stays.alias("spans"))
+    loose = F.filter("spans", lambda s: ~s["base"] & (s["probability"] >= KEEP_FROM))
+    rows = settle(rows.select("doc_id", "base_spans", loose.alias("loose"), F.monotonically_increasing_id().alias("row")), "scored")
+    full = rows.join(added(rows), "row", "left")
+    stays = F.array_sort(F.concat("base_spans", F.coalesce("added", F.slice("loose", 1, F.lit(0)))))
+    return full.select("doc_id", stays.alias("spans"))
 
 
 def _joined(spans_: Column) -> Column:
