@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -129,12 +129,17 @@ def _link_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_order"), batch.column("_body"), pa.array(before, pa.string()), pa.array(after, pa.string())], ["_key", "_order", "_body", "previous_hash", "hash"])
 
 
+def _chain_name(entries: DataFrame, chain: str) -> Column:
+    """Text that tells chains apart."""
+    return F.to_json(F.struct(chain)) if dict(entries.dtypes)[chain].startswith("struct") else F.col(chain).cast("string")
+
+
 def linked(entries: DataFrame, chain: str, order: str, body: str) -> DataFrame:
     """chain, order, body, previous_hash, hash with hash = sha256(previous_hash + newline + body), from the empty text on.
 
     A chain is one sequence, so one task hashes it; it is sorted on disk if need be and read in batches, whatever its length.
     """
-    key = entries.select(F.col(chain).alias("_key"), F.col(order).alias("_order"), F.col(body).cast("string").alias("_body"), F.col(chain).cast("string").alias("_chain"))
+    key = entries.select(F.col(chain).alias("_key"), F.col(order).alias("_order"), F.col(body).cast("string").alias("_body"), _chain_name(entries, chain).alias("_chain"))
     ready = key.repartition("_key").sortWithinPartitions("_key", "_order", "_body")
     kinds = StructType([f for f in key.schema.fields if f.name != "_chain"] + [StructField("previous_hash", StringType()), StructField("hash", StringType())])
     return ready.mapInArrow(_link_task, kinds).select(F.col("_key").alias(chain), F.col("_order").alias(order), F.col("_body").alias(body), "previous_hash", "hash")
@@ -145,3 +150,44 @@ def breaks(stored: DataFrame, chain: str, order: str, body: str) -> DataFrame:
     before = F.coalesce(F.lag("hash").over(Window.partitionBy(chain).orderBy(order)), F.lit(""))
     own = F.sha2(F.concat(F.col("previous_hash"), F.lit("\n"), F.col(body)).cast("binary"), 256)
     return stored.withColumn("_before", before).where(~F.col("previous_hash").eqNullSafe(F.col("_before")) | ~F.col("hash").eqNullSafe(own)).drop("_before")
+
+
+def segmented(entries: DataFrame, chain: str, segment: str, order: str, body: str) -> DataFrame:
+    """chain, segment, order, body, previous_hash, hash: like linked(), but each segment (a day, say) of a chain begins anew.
+
+    So segments are hashed by as many tasks as there are; heads() ties them together. Segments are in the order of their values.
+    """
+    part = F.struct(F.col(chain).alias("chain"), F.col(segment).alias("segment"))
+    out = linked(entries.select(part.alias("part"), order, body), "part", order, body)
+    return out.select(F.col("part.chain").alias(chain), F.col("part.segment").alias(segment), order, body, "previous_hash", "hash")
+
+
+def _digests(stored: DataFrame, chain: str, segment: str, order: str) -> DataFrame:
+    """One row per segment: how many entries it has, and the hash of its last one."""
+    last = stored.groupBy(chain, segment).agg(F.count("*").alias("n"), F.max_by("hash", order).alias("last_hash"))
+    return last.withColumn("digest", F.concat_ws(":", F.col("n").cast("string"), F.coalesce("last_hash", F.lit(""))))
+
+
+def heads(stored: DataFrame, chain: str, segment: str, order: str) -> DataFrame:
+    """chain, segment, n, last_hash, previous_hash, hash: one row per segment, chained by count and last hash. Keep it apart from the entries."""
+    own = _digests(stored, chain, segment, order)
+    tied = linked(own, chain, segment, "digest")
+    return tied.join(own.select(chain, segment, "n", "last_hash"), [chain, segment]).select(chain, segment, "n", "last_hash", "previous_hash", "hash")
+
+
+def segment_breaks(stored: DataFrame, kept: DataFrame, chain: str, segment: str, order: str, body: str) -> DataFrame:
+    """chain, segment, order, what: faults of stored segments, given the heads kept apart.
+
+    `entry`: an entry does not follow its predecessor or has other content; a window over one segment finds it, so one hot chain is
+    checked by as many tasks as it has segments. `segment`: a segment is missing, unknown, or its count or last hash is not the kept one (an
+    end cut off, above all). `head`: the kept heads do not follow each other.
+    """
+    part = stored.withColumn("part", F.struct(chain, segment))
+    entry = breaks(part, "part", order, body).select(chain, segment, F.col(order).cast("string").alias(order), F.lit("entry").alias("what"))
+    now = _digests(stored, chain, segment, order).select(F.col(chain).alias("c"), F.col(segment).alias("s"), F.col("digest").alias("now"))
+    then = kept.withColumn("digest", F.concat_ws(":", F.col("n").cast("string"), F.coalesce("last_hash", F.lit(""))))
+    both = then.join(now, then[chain].eqNullSafe(now["c"]) & then[segment].eqNullSafe(now["s"]), "full_outer").where(~F.col("digest").eqNullSafe(F.col("now")))
+    none = F.lit(None).cast("string").alias(order)
+    cut = both.select(F.coalesce(chain, "c").alias(chain), F.coalesce(segment, "s").alias(segment), none, F.lit("segment").alias("what"))
+    loose = breaks(then, chain, segment, "digest").select(chain, segment, none, F.lit("head").alias("what"))
+    return entry.unionByName(cut).unionByName(loose)

@@ -127,6 +127,17 @@ def w_chain_breaks(spark, d):
     return audit.breaks(tampered, "record_key", "id", "operation").select("id", "record_key")
 
 
+_DIGEST = "count(*)::varchar || ':' || list_reduce(list_prepend('', list(operation order by id)), lambda a, b: sha256(a || chr(10) || b))"
+
+
+@query("w_segment_heads", f"""select record_key, count(*) as n, list_reduce(list_prepend('', list(digest order by day)), lambda a, b: sha256(a || chr(10) || b)) as head
+from (select record_key, ts::date as day, {_DIGEST} as digest from ({_LOG}) group by all) group by record_key""")
+def w_segment_heads(spark, d):
+    log = _log(spark, d).withColumn("day", F.to_date("ts"))
+    heads = audit.heads(audit.segmented(log, "record_key", "day", "id", "operation"), "record_key", "day", "id")
+    return heads.groupBy("record_key").agg(F.count("*").alias("n"), F.max_by("hash", "day").alias("head"))
+
+
 query("g_mask", "select c_custkey, '[REDACTED]' as c_name, c_nationkey, '[REDACTED]' as c_acctbal, c_mktsegment from customer")(lambda spark, d: govern.mask(table(spark, d, "customer"), [" C_Name", "c_acctbal"]))
 
 
