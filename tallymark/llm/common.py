@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -62,8 +63,10 @@ def freed(spark: SparkSession, *tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, freed, gathered, partitions, settle
+from .common import batches_of, freed, gathered, partitions, scratch, settle
 from .words import U, mix, spaced_words
 
 BURN_IN, SAMPLES = 1, 2
@@ -240,8 +240,8 @@ def _gather(keys: np.ndarray, answers: list[dict] | None, buckets: int, width: i
     return out
 
 
-#: What each block keeps: its words, and the pairs it owns as numbers of these. Rows with a bucket are pieces of what it says of its words.
-OWNED = "block long, words binary, context binary, dish binary, customers binary, pairs binary, twos long, bucket int, keys binary, vals binary"
+#: What each block keeps, by kind. 0: its words, and the pairs it owns as numbers of these; 1: pieces of what it says of its words; 2: pieces of the pairs of several customers that it asks for.
+OWNED = "block long, words binary, context binary, dish binary, customers binary, pairs binary, twos long, bucket int, keys binary, vals binary, kind int"
 #: Of a word: tokens, dishes and contexts of one customer, owned pairs by context and by dish.
 FACTS = 5
 
@@ -262,9 +262,10 @@ def _owned_task(buckets: int) -> Callable[[Batches], Batches]:
             place[order] = np.arange(v + 1)
             facts, c = np.stack([b.word_counts(), *sides], axis=1)[order], count[more]
             values = [b.number, packed_keys(b.words[order]), packed(place[b.context[more]]), packed(place[b.dish[more]]), packed(c), packed_keys(keys[more]), int((c == 2).sum())]
-            yield _row(OWNED, [*values, None, None, None])
-            told = _pieces(b.number, b.words[order], facts, buckets).to_pylist()
-            yield _row(OWNED, *([b.number, *[None] * 6, r["bucket"], r["keys"], r["vals"]] for r in told))
+            yield _row(OWNED, [*values, None, None, None, 0])
+            asked = keys[count > 1]
+            for kind, pieces in ((1, _pieces(b.number, b.words[order], facts, buckets)), (2, _pieces(b.number, asked, np.zeros(len(asked), np.int64), buckets))):
+                yield _row(OWNED, *([b.number, *[None] * 6, r["bucket"], r["keys"], r["vals"], kind] for r in pieces.to_pylist()))
 
     return run
 
@@ -408,10 +409,9 @@ def _sweep_task(m: dict, sweep: int, buckets: int) -> Callable[[Batches], Batche
 class Model:
     """d, d0: discounts; states: the restaurants after each sample; seats: the tables of the owned pairs in it; totals: customers and tables of the parent."""
 
-    def __init__(self, owned: DataFrame, buckets: int):
-        spark = owned.sparkSession
-        self.buckets, self.asked = buckets, owned.where("bucket is not null").select("bucket", "block", "keys", "vals")
-        self.owned = owned = owned.where("bucket is null").drop("bucket", "keys", "vals")
+    def __init__(self, parts: list[DataFrame], buckets: int):
+        self.buckets, self.owned, self.asked, self.asked_pairs = buckets, parts[0].drop("bucket", "keys", "vals"), *(p.select("bucket", "block", "keys", "vals") for p in parts[1:])
+        owned, spark = self.owned, parts[0].sparkSession
         with batches_of(spark, 4):
             state = settle(self._by_bucket(_kind(self.asked, 1)).mapInArrow(_open_task, TOTALS), "state")
             of = state.agg(*(F.sum(c) for c in ("distinct", "tokens", "texts", "ones", "once", "twice"))).first()
@@ -509,7 +509,7 @@ def blocked(docs: DataFrame) -> tuple[DataFrame, int]:
     return blocks, int((blocks.agg(F.sum("n_tokens")).first()[0] or 0) // BUCKET_KEYS + partitions(spark))
 
 
-def counted(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+def counted(blocks: DataFrame, buckets: int) -> tuple[DataFrame, list[DataFrame]]:
     """What blocks have to know of the counts of their keys, and what each keeps for the model."""
     spark = blocks.sparkSession
 
@@ -520,9 +520,17 @@ def counted(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     with batches_of(spark, 4):
         counts = _exchanged(blocks.mapInArrow(_ask_task(of_block, buckets), PIECES), _count_task, buckets, "counts")
         freed(spark)
-        owned = settle(_with(blocks, counts, "counts").mapInArrow(_owned_task(buckets), OWNED), "owned")
+        path = scratch(spark, "owned")
+        _with(blocks, counts, "counts").mapInArrow(_owned_task(buckets), OWNED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     freed(spark)
-    return counts, owned
+    return counts, [_folder(spark, f"{path}/kind={k}", OWNED.removesuffix(", kind int")) for k in range(3)]
+
+
+def _folder(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The rows below a path, none where no row was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(ddl).parquet(path) if there else spark.createDataFrame([], ddl)
 
 
 def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
@@ -533,20 +541,13 @@ def scored(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     def seated(row: dict) -> tuple[np.ndarray, np.ndarray]:
         return unpacked_keys(row["pairs"]), np.stack([unpacked(row[f"t{k}"]) for k in range(SAMPLES)], axis=1)
 
-    def multiple(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        b = Block(row)
-        keys = b.pair_keys()
-        keys = keys[_gather(keys, row["counts"], buckets)[:, 0] > 3]
-        return keys, np.zeros(len(keys), np.int64)
-
     with batches_of(spark, 4):
         words = model.told()
-        freed(spark, *model.states)
+        freed(spark, model.asked, *model.states)
         known = settle(model.tables().mapInArrow(_ask_task(seated, buckets), PIECES).withColumn("block", F.lit(None).cast("long")), "known")
         freed(spark, model.owned, *model.seats)
-        asked = _with(blocks, counts, "counts").mapInArrow(_ask_task(multiple, buckets), PIECES)
-        pairs = _exchanged(asked.union(known), _find_task(SAMPLES), buckets, "of_pairs")
-        freed(spark, known)
+        pairs = _exchanged(model.asked_pairs.union(known), _find_task(SAMPLES), buckets, "of_pairs")
+        freed(spark, known, model.asked_pairs)
         full = _with(_with(_with(blocks, counts, "counts"), words, "words"), pairs, "pairs")
         out = settle(full.mapInArrow(_score_task(m, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     freed(spark, words, pairs)

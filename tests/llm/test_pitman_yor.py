@@ -63,7 +63,7 @@ def tables(model, owned):
             for w, v in zip(py.unpacked_keys(r["keys"]).view(np.int64).tolist(), py.unpacked(r["vals"]).reshape(-1, py.STATE).tolist()):
                 words.setdefault(w, Seen(v[0], [])).vals.extend(v[3:])
     seats = [{r.block: py.unpacked(r.t).tolist() for r in s.collect()} for s in model.seats]
-    for r in owned.where("bucket is null").collect():
+    for r in owned[0].collect():
         w = py.unpacked_keys(r.words).view(np.int64).tolist()
         for k, (u, d, c) in enumerate(zip(*(py.unpacked(c).tolist() for c in (r.context, r.dish, r.customers)))):
             pairs[w[u], w[d]] = Seen(c, [s[r.block][k] for s in seats])
