@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import as_text, family, named
+from ..functions.values import as_text, family, free_name, named
 
 OPERATORS = ("eq", "neq", "gt", "lt", "gte", "lte", "contains", "in")
 #: Names that no field may have.
@@ -22,6 +22,8 @@ class Request:
     order_by: list[tuple[str, str]] = field(default_factory=list)
     offset: int | None = None
     limit: int | None = None
+    #: A collation such as UNICODE or de, by which texts are ordered; without one by code points.
+    locale: str | None = None
 
 
 def _value_family(v: object) -> str:
@@ -62,7 +64,10 @@ def matching(df: DataFrame, where: list[tuple[str, str, object]]) -> DataFrame:
 
 
 def run(df: DataFrame, request: Request) -> DataFrame:
-    """where, then order, then page, then project, so that order may use a field that is not selected."""
+    """where, then order, then page, then project, so that order may use a field that is not selected.
+
+    Rows that order alike stay as the table is read, so pages of one request neither overlap nor leave a gap.
+    """
     out = matching(df, request.where)
     if request.order_by:
         kinds = dict(df.dtypes)
@@ -71,8 +76,10 @@ def run(df: DataFrame, request: Request) -> DataFrame:
             if name not in kinds:
                 continue  # no row has the field, so it orders nothing
             c = F.coalesce(named(name), F.lit("")) if kinds[name] == "string" else named(name)
+            c = F.collate(c, request.locale) if request.locale and kinds[name] == "string" else c
             keys.append(c.desc() if way == "desc" else c.asc())
-        out = out.orderBy(*keys) if keys else out
+        turn = free_name("turn", out)
+        out = out.withColumn(turn, F.monotonically_increasing_id()).orderBy(*keys, turn).drop(turn) if keys else out
     if request.offset:
         out = out.offset(request.offset)
     if request.limit is not None:

@@ -113,3 +113,17 @@ def test_names_with_dots(spark):
     rows = spark.createDataFrame([(2, "y", 1), (3, "z", 2)], "`i.d` long, `a.b` string, turn int")
     assert sorted((r["i.d"], r["a.b"]) for r in files.upserted(df, rows, "i.d", "turn").collect()) == [(1, "x"), (2, "y"), (3, "z")]
     assert govern.mask(df, ["A.B"]).first()["a.b"] == "[REDACTED]"
+
+
+def test_order_by_locale_and_stable_ties(spark, tmp_path):
+    """Ties stay as the table is read, over all pages; texts follow a collation if asked."""
+    rows = [(k, k % 3, None if k % 7 == 0 else "x") for k in range(200)]
+    spark.createDataFrame(rows, "id long, g long, t string").repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    read = [tuple(r) for r in df.collect()]
+    want = sorted(sorted(read, key=lambda r: r[2] or ""), key=lambda r: -r[1])
+    pages = [tuple(r) for k in range(0, 200, 30) for r in request.run(df, Request(order_by=[("g", "desc"), ("t", "asc")], offset=k, limit=30)).collect()]
+    assert pages == want
+    words = spark.createDataFrame([(w,) for w in ("Zug", "b", "ä", "a", "zug", "z", "A")], "w string")
+    assert [r.w for r in request.run(words, Request(order_by=[("w", "asc")], locale="de")).collect()] == ["a", "A", "ä", "b", "z", "zug", "Zug"]
+    assert [r.w for r in request.run(words, Request(order_by=[("w", "asc")])).collect()] == ["A", "Zug", "a", "b", "z", "zug", "ä"]
