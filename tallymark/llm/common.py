@@ -22,6 +22,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage: spark.checkpoint.dir, or a new one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
