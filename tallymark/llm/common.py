@@ -34,10 +34,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tallymark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,7 +65,7 @@ def freed(spark: SparkSession, *tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    for _ in range(2):  # what the first round lets go of may hold more
+    for _ in range(1 if spark.sparkContext.master.startswith("local[") else 2):  # what the first round lets go of may hold more
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.2)

@@ -18,6 +18,7 @@ their pairs, and tell the buckets how many tables these have. Words and pairs ar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, freed, gathered, partitions, scratch, settle
+from . import common
+from .common import batches_of, freed, gathered, partitions, scratch
 from .words import U, mix, spaced_words
 
 BURN_IN, SAMPLES = 1, 2
@@ -45,6 +47,9 @@ Batches = Iterator[pa.RecordBatch]
 BLOCKS = "block long, docs array<long>, held binary, sizes binary, vocab binary, tokens binary, n_tokens long"
 
 
+settle = partial(common.settle, codec="zstd")
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 modulo 5. A null id counts as empty text and is never held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
