@@ -356,8 +356,10 @@ def _close_task(sweep: int, tables: int, discount: float, uniform: float) -> Cal
 
     def run(batches: Batches) -> Batches:
         for bucket, group in _groups(batches):
-            keys, sent = _told(group)
-            state = unpacked(group[0]["vals"]).reshape(-1, STATE)
+            keys, state = unpacked_keys(group[0]["keys"]), unpacked(group[0]["vals"]).reshape(-1, STATE)
+            said, sums = _told(group)
+            sent = np.zeros((len(keys), 2), np.int64)
+            sent[np.searchsorted(keys, said)] = sums[:, :2]
             customers = state[:, 2] + sent[:, 1]
             seated = seat(customers, tables - state[:, 5], np.full(len(keys), uniform), THETA_0, discount, mix(keys + _times(sweep + 1, PAIR_KEY)))
             yield _row(TOTALS, _state_row(bucket, keys, np.stack([state[:, 0], state[:, 1], state[:, 2], state[:, 1] + sent[:, 0], customers, seated], axis=1)))
@@ -406,7 +408,8 @@ def _sweep_task(m: dict, sweep: int, buckets: int) -> Callable[[Batches], Batche
             t = seat(c, of[context, 0] - before, parent[dish], THETA, m["d"], mix(unpacked_keys(row["pairs"]) + _times(sweep, PAIR_KEY)))
             sums = np.stack([np.bincount(x, weights=t, minlength=len(words)).astype(np.int64) for x in (context, dish)], axis=1)
             yield _row(STEP_ROWS, [None, row["block"], None, packed(t)])
-            yield _pieces(row["block"], words, sums, buckets)
+            there = np.flatnonzero(sums.any(axis=1))
+            yield _pieces(row["block"], words[there], sums[there], buckets)
 
     return run
 
