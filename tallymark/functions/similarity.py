@@ -119,7 +119,13 @@ def soundex(c: Column) -> Column:
 
 
 def soundex_similarity(a: Column, b: Column) -> Column:
-    x, y = soundex(a), soundex(b)
+    """Codes are bound by a transform, so that each is made once, not once for each of its uses."""
+    codes = F.transform(F.array(F.struct(soundex(a).alias("x"), soundex(b).alias("y"))), lambda c: code_similarity(c["x"], c["y"]))
+    return F.get(codes, 0)
+
+
+def code_similarity(x: Column, y: Column) -> Column:
+    """The share of equal places of two soundex codes."""
     return F.when(x == y, 1.0).otherwise(sum((F.when(F.substring(x, k, 1) == F.substring(y, k, 1), 1).otherwise(0) for k in range(1, 5)), F.lit(0)) / 4)
 
 
