@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -42,6 +42,27 @@ def band_join(s: DataFrame, t: DataFrame, on: list[str], band: Width) -> DataFra
     return s.join(t, [*on, place]).drop(place)
 
 
+def band_counts(s: DataFrame, t: DataFrame, x: Column, y: Column, width: int) -> DataFrame:
+    """(value, pairs): for each distinct whole number x of s, how many pairs its rows have with rows of t whose y is `width` off at most.
+
+    No pair is made: each y opens at y - width and closes after y + width, and a running sum tells how many are open at x.
+    Sums run inside stretches of the line that are longer than a band; a band that reaches into the next stretch opens there
+    again. Rows of equal numbers are one. Values without pairs and nulls are left out.
+    """
+    span = 2 * width + 1
+    stretch = lambda c: c - F.pmod(c, F.lit(span))
+    counted = lambda df, c: df.select(c.cast("long").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    event = lambda at, of, place, delta, rows: F.struct(of.alias("stretch"), at.alias("at"), F.lit(place).alias("place"), delta.alias("delta"), rows.alias("rows"))
+    v, n, none = F.col("v"), F.col("n"), F.lit(0).cast("long")
+    first, last = v - F.lit(width), v + F.lit(width)
+    again = F.when(stretch(last) > stretch(first), event(stretch(last), stretch(last), 0, n, none))
+    bands = counted(t, y).select(F.explode(F.array(event(first, stretch(first), 0, n, none), again, event(last, stretch(last), 2, -n, none))).alias("e")).where("e is not null")
+    asked = counted(s, x).select(event(v, stretch(v), 1, none, n).alias("e"))
+    open_ = F.sum("delta").over(Window.partitionBy("stretch").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0))
+    found = bands.union(asked).select("e.*").withColumn("open", open_).where("place = 1 and open > 0")
+    return found.select(F.col("at").alias("value"), (F.col("open") * F.col("rows")).alias("pairs"))
+
+
 def gram_classes(*texts: DataFrame) -> Column:
     """A text of SLOTS characters: how frequent, in powers of two, the grams of the texts (frames of one column `text`) are that hash to each slot."""
     grams = texts[0]

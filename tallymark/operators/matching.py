@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions.values import as_text, family, free_name, moment, money, rounded, trim
 from .assignment import assign  # noqa: F401  (part of this module's interface)
-from .joins import Width, band_join, gram_join
+from .joins import Width, band_counts, band_join, gram_join
 
 MAX_TEXT, MAX_PATTERN, KEY_CHARS = 10_000, 200, 256
 
@@ -176,6 +177,14 @@ def scored(source: DataFrame, target: DataFrame, rules: list[Rule], min_confiden
     return out.where(F.col("confidence") >= min_confidence).drop(*hits)
 
 
+def counted(source: DataFrame, target: DataFrame, r: Rule) -> DataFrame:
+    """(moment, pairs): how many pairs of a date rule the source rows of each moment have, counted without making them."""
+    if r.operator != "date_range":
+        raise ValueError("pairs are counted for date rules only")
+    found = band_counts(source, target, moment(F.col(r.source), dict(source.dtypes)[r.source]), moment(F.col(r.target), dict(target.dtypes)[r.target]), math.floor(r.options.get("days", 0) * 86_400_000_000))
+    return found.select(F.timestamp_micros("value").alias("moment"), "pairs")
+
+
 def unmatched(side: DataFrame, key: str, matched: DataFrame, matched_key: str) -> DataFrame:
     """Rows whose key text no match has."""
     used = matched.select(F.coalesce(F.col(matched_key).cast("string"), F.lit("unknown")).alias("_used")).distinct()

@@ -1,8 +1,14 @@
 """Reconciliation whose work must not grow with the number of pairs."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from tallymark import plans
 from tallymark.functions import similarity as sim
+from tallymark.operators import joins, matching
+from tallymark.operators.matching import Rule
 
 
 def test_soundex_codes_are_made_once_for_a_pair(spark):
@@ -13,3 +19,30 @@ def test_soundex_codes_are_made_once_for_a_pair(spark):
     assert [r.s for r in alike.collect()] == [1.0, 0.0, 0.75, 0.0, 1.0]
     plan = alike._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(.)\\1+") <= 2
+
+
+@pytest.mark.parametrize("days", [0, 1, 2.5])
+def test_pairs_of_a_date_band_are_counted_without_being_made(spark, days):
+    rng = random.Random(4)
+    made = lambda: [(k, rng.choice([None, rng.randint(-9, 9) * 86_400_000, rng.randint(-900_000_000, 900_000_000)])) for k in range(200)]
+    left, right = made(), made()
+    a, b = (spark.createDataFrame(x, "id long, ms long") for x in (left, right))
+    r = Rule("date", "ms", "ms", "date_range", 100, True, {"days": days})
+    got = {x.at: x.pairs for x in matching.counted(a, b, r).select(F.unix_millis("moment").alias("at"), "pairs").collect()}
+    want = {}
+    for _, p in left:
+        n = sum(p is not None and q is not None and abs(p - q) <= days * 86_400_000 for _, q in right)
+        if n:
+            want[p] = want.get(p, 0) + n
+    assert got == want and (days == 0 or len(want) > 50)
+
+
+def test_days_of_a_crowd_are_counted(spark, tmp_path):
+    """40,000 orders of two days have about 10**9 pairs, which did not end in minutes."""
+    spark.range(40_000).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "1.0d as o_totalprice", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 2 as int)) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = plans.QUERIES["r_days"](spark, str(tmp_path)).collect()
+    booked, dated = {}, {0: 20_000, 1: 20_000}
+    for k in range(40_000):
+        booked[k % 2 + k % 10] = booked.get(k % 2 + k % 10, 0) + 1
+    want = {d: n * sum(dated.get(d + e, 0) for e in (-1, 0, 1)) for d, n in booked.items()}
+    assert {r.day.toordinal() - 738886: r.pairs for r in got} == {d: n for d, n in want.items() if n}
