@@ -1,11 +1,12 @@
 """Joins by nearness that lose no pair: numeric bands inside equality keys, and n-gram sets by rare prefixes.
 
 Both turn a condition into equality of keys, so that Spark can shuffle by them: a band into neighbouring buckets of its own
-width, a set similarity into the few grams of which two similar texts must share one.
+width, a set similarity into sets of a few rare grams of which two similar texts must share one.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,43 +91,77 @@ def least_common(measure: str, n: Column, length: Column, threshold: float) -> C
     return n - GRAM * F.floor(length * (1 - threshold) / threshold + 1e-9)
 
 
-#: Grams that prefixes longer by SHARED - 1 must have in common; a text of fewer grams in common at least needs these only.
-SHARED = 4
+#: Grams that make one key, and keys a text has at most where it has keys of more than one gram.
+SHARED, KEYS = 4, 128
+
+
+def shared_grams(least: Column, spare: Column) -> Column:
+    """How many grams a text's keys are made of: as many as KEYS allows, `least` at most."""
+    out = F.lit(1)
+    for k in range(2, SHARED + 1):
+        most = max(m for m in range(KEYS) if math.comb(m + k, k) <= KEYS)
+        out = F.when((least >= k) & (spare <= most), k).otherwise(out)
+    return out
+
+
+def gram_keys(ranked: Column, spare: Column, k: int) -> Column:
+    """The hashes of all sets of k of the first spare + k grams, each in the order of the grams."""
+    grams = F.slice(ranked, 1, spare + k)
+    sets = F.transform(grams, lambda g, i: F.struct(i.alias("last"), F.xxhash64(F.lit(k), g).alias("hash")))
+    for _ in range(k - 1):
+        longer = lambda c: F.transform(F.slice(grams, c["last"] + 2, F.size(grams)), lambda g, i: F.struct((c["last"] + 1 + i).alias("last"), F.xxhash64(c["hash"], g).alias("hash")))  # noqa: B023, E731
+        sets = F.flatten(F.transform(sets, longer))
+    return F.transform(sets, lambda c: c["hash"])
 
 
 def gram_join(s: DataFrame, t: DataFrame, x: Column, y: Column, measure: str, threshold: float) -> DataFrame:
     """Pairs of which the texts x and y can be similar by `threshold` or more: a superset without any loss.
 
     Grams are ordered from rare to frequent. Of two texts with `least` grams in common, their first n - least + k share k
-    at least. Rows meet by their first n - least + 1, a pair is kept at the first gram that both have there, and only if
-    the longer prefixes share SHARED. Texts so short that edits could take all their grams (levenshtein only) meet those of
+    at least. Distinct texts, known by a hash, meet by a set of k grams there, so that few unlike ones do; k is the
+    smaller one of what both allow, and a text has keys of fewer grams than it allows only if there are texts of fitting size that
+    need them. Texts so short that edits could take all their grams (levenshtein only) meet those of
     fitting length instead. Null texts meet nothing.
     """
-    names = {c: free_name(c, s, t) for c in ("text", "first", "more", "least", "gram", "size")}
-    of = lambda c, tag: F.col(f"{names[c]}_{tag}")
+    names = {c: free_name(c, s, t) for c in ("text", "known")}
+    of = lambda c, tag: F.col(f"{names.get(c, c)}_{tag}")
     classes = gram_classes(s.select(x.alias("text")), t.select(y.alias("text")))
+    ratio = threshold / (2 - threshold) if measure == "dice" else threshold
+    fits = lambda p, q: F.least(p, q) >= F.greatest(p, q) * ratio - 1e-9
 
-    def side(df: DataFrame, c: Column, tag: str) -> DataFrame:
+    def whole(df: DataFrame, c: Column, tag: str) -> DataFrame:
         own = df.withColumn(f"{names['text']}_{tag}", c).where(of("text", tag).isNotNull())
-        ranked = F.array_sort(F.transform(sim.ngrams(of("text", tag), GRAM), lambda g: F.struct(F.substring(classes, _slot(g) + 1, F.lit(1)).alias("n"), g.alias("g"))))
-        own = own.withColumn(f"{names['more']}_{tag}", F.transform(ranked, lambda r: r["g"]))
-        n = F.size(of("more", tag))
-        own = own.withColumn(f"{names['size']}_{tag}", n).withColumn(f"{names['least']}_{tag}", least_common(measure, n, F.char_length(of("text", tag)), threshold).cast("int"))
-        length = of("size", tag) - of("least", tag)
-        cut = lambda k: F.when(of("least", tag) > 0, F.slice(of("more", tag), 1, length + k))
-        return own.withColumn(f"{names['first']}_{tag}", cut(1)).withColumn(f"{names['more']}_{tag}", cut(F.least(F.lit(SHARED), of("least", tag))))
-
-    a, b = side(s, x, "s"), side(t, y, "t")
-    extra = [f"{names[c]}_{tag}" for c in ("text", "first", "more", "least", "size") for tag in "st"]
-    gram, long = names["gram"], {tag: F.char_length(of("text", tag)) if measure == "levenshtein" else of("size", tag) for tag in "st"}
-    ratio = threshold / (2 - threshold) if measure == "dice" else threshold
-    fits = F.least(long["s"], long["t"]) >= F.greatest(long["s"], long["t"]) * ratio - 1e-9
-    once = F.col(gram) == F.get(F.array_intersect(of("first", "s"), of("first", "t")), 0)
-    enough = F.size(F.array_intersect(of("more", "s"), of("more", "t"))) >= F.least(F.lit(SHARED), of("least", "s"), of("least", "t"))
-    met = a.withColumn(gram, F.explode(of("first", "s"))).join(b.withColumn(gram, F.explode(of("first", "t"))), gram).where(fits & once & enough).drop(gram, *extra)
+        return own.withColumn(f"{names['known']}_{tag}", F.xxhash64(of("text", tag)))
+
+    def sized(rows: DataFrame, tag: str) -> DataFrame:
+        own = rows.select(of("text", tag).alias("text"), of("known", tag).alias("known")).distinct()
+        own = own.withColumn("grams", sim.ngrams(F.col("text"), GRAM)).withColumn("n", F.size("grams"))
+        own = own.withColumn("least", least_common(measure, F.col("n"), F.char_length("text"), threshold).cast("int"))
+        own = own.withColumn("spare", F.col("n") - F.col("least")).withColumn("k", shared_grams(F.col("least"), F.col("spare")))
+        return own.withColumn("long", F.char_length("text") if measure == "levenshtein" else F.col("n"))
+
+    def keyed(own: DataFrame, others: list, tag: str) -> DataFrame:
+        ranked = F.array_sort(F.transform("grams", lambda g: F.struct(F.substring(classes, _slot(g) + 1, F.lit(1)).alias("n"), g.alias("g"))))
+        own = own.where("least > 0").withColumn("ranked", F.transform(ranked, lambda r: r["g"]))
+        lower = {r.k: (F.col("long") * ratio - 1e-9 <= r.high) & (F.col("long") + 1e-9 >= r.low * ratio) for r in others}
+        keys = lambda k: F.when((F.col("k") == k) | ((F.col("k") > k) & lower.get(k, F.lit(False))), gram_keys(F.col("ranked"), F.col("spare"), k))
+        leveled = lambda k: F.transform(keys(k), lambda h: F.struct(F.lit(k).alias("level"), h.alias("key")))
+        each = own.select("known", "k", "long", F.explode(F.flatten(F.array_compact(F.array(*(leveled(k) for k in range(1, SHARED + 1)))))).alias("m"))
+        return each.select("m.level", "m.key", *(F.col(c).alias(f"{c}_{tag}") for c in ("known", "k", "long")))
+
+    a, b = whole(s, x, "s"), whole(t, y, "t")
+    each = {"s": sized(a, "s"), "t": sized(b, "t")}
+    sizes = {tag: df.where("least > 0").groupBy("k").agg(F.min("long").alias("low"), F.max("long").alias("high")).collect() for tag, df in each.items()}
+    met = keyed(each["s"], sizes["t"], "s").join(keyed(each["t"], sizes["s"], "t"), ["level", "key"])
+    met = met.where((F.col("level") == F.least("k_s", "k_t")) & fits(F.col("long_s"), F.col("long_t")))
+    pairs = met.select(*(F.col(f"known_{tag}").alias(f"{names['known']}_{tag}") for tag in "st")).distinct()
+    extra = [f"{names[c]}_{tag}" for c in names for tag in "st"]
+    found = a.join(pairs, extra[2]).join(b, extra[3]).drop(*extra)
     if measure != "levenshtein":
-        return met
+        return found
     size = free_name("length", a, b)
-    reach = F.sequence(F.ceil(long["t"] * threshold - 1e-9), F.floor(long["t"] / threshold + 1e-9))
-    short = a.withColumn(size, long["s"].cast("long")).join(b.withColumn(size, F.explode(reach)), size)
-    return met.unionByName(short.where((of("least", "s") <= 0) | (of("least", "t") <= 0)).drop(size, *extra))
+    long = lambda tag: F.char_length(of("text", tag))
+    least = lambda tag: least_common(measure, F.size(sim.ngrams(of("text", tag), GRAM)), long(tag), threshold)
+    reach = F.sequence(F.ceil(long("t") * threshold - 1e-9), F.floor(long("t") / threshold + 1e-9))
+    by_size = lambda p, q: p.withColumn(size, long("s").cast("long")).join(q.withColumn(size, F.explode(reach)), size).drop(size, *extra)
+    return found.unionByName(by_size(a.where(least("s") <= 0), b)).unionByName(by_size(a.where(least("s") > 0), b.where(least("t") <= 0)))

@@ -46,3 +46,15 @@ def test_days_of_a_crowd_are_counted(spark, tmp_path):
         booked[k % 2 + k % 10] = booked.get(k % 2 + k % 10, 0) + 1
     want = {d: n * sum(dated.get(d + e, 0) for e in (-1, 0, 1)) for d, n in booked.items()}
     assert {r.day.toordinal() - 738886: r.pairs for r in got} == {d: n for d, n in want.items() if n}
+
+
+@pytest.mark.parametrize("algorithm,threshold", [("levenshtein", 0.9), ("dice_sorensen", 0.9), ("jaccard", 0.85)])
+def test_gram_join_of_texts_of_one_length_grows_with_the_texts(spark, algorithm, threshold):
+    """Unlike texts of one length hardly meet: all of them met by length before, or by one frequent gram."""
+    texts = spark.range(3000).select("id", F.base64(F.unhex(F.md5(F.col("id").cast("string")))).alias("text"))
+    s, t = (texts.select(*(F.col(c).alias(f"{p}_{c}") for c in texts.columns)) for p in "st")
+    pairs = joins.gram_join(s, t, F.col("s_text"), F.col("t_text"), matching.BY_GRAMS[algorithm], threshold)
+    assert 3000 <= pairs.count() < 3100
+    joined = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "level#" in joined and "gram#" not in joined, "texts meet by sets of grams, not by single ones"
+    assert sum(r.s_id == r.t_id for r in pairs.collect()) == 3000
