@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.values import as_text, family, free_name, moment, money, rounded, trim
-from .assignment import assign  # noqa: F401  (part of this module's interface)
+from .assignment import assign, assign_near
 from .joins import Width, band_counts, band_join, gram_join
 
 MAX_TEXT, MAX_PATTERN, KEY_CHARS = 10_000, 200, 256
@@ -177,6 +177,23 @@ def scored(source: DataFrame, target: DataFrame, rules: list[Rule], min_confiden
     return out.where(F.col("confidence") >= min_confidence).drop(*hits)
 
 
+def assigned_near(source: DataFrame, source_key: str, target: DataFrame, target_key: str, r: Rule) -> DataFrame:
+    """The assignment by one required tolerance rule alone, in the order of both keys: s_ and t_ key and confidence, as `assign` gives it for `scored`.
+
+    No pair is made, as all are equally good. Keys that several rows have need their pairs, so these are made then.
+    """
+    if r.operator != "equals_tolerance" or not r.required:
+        raise ValueError("one required tolerance rule is needed")
+    names = f"s_{source_key}", f"t_{target_key}"
+    if any(not side.groupBy(key).count().where("count > 1").isEmpty() for side, key in ((source, source_key), (target, target_key))):
+        return assign(scored(source, target, [r]), *names, names[1])
+    sides = []
+    for side, key, field, name in ((source, source_key, r.source, "_source"), (target, target_key, r.target, "_target")):
+        at = F.col(field).cast("double") if family(dict(side.dtypes)[field]) == "number" else money(F.col(field))
+        sides.append(side.select(F.col(key).alias(name), at.alias("_at")).where(~F.isnan("_at") & (F.abs("_at") < float("inf"))))
+    return assign_near(*sides, r.options.get("tolerance", 0)).select(F.col("_source").alias(names[0]), F.col("_target").alias(names[1]), F.lit(100.0).alias("confidence"))
+
+
 def counted(source: DataFrame, target: DataFrame, r: Rule) -> DataFrame:
     """(moment, pairs): how many pairs of a date rule the source rows of each moment have, counted without making them."""
     if r.operator != "date_range":
