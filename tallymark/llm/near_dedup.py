@@ -6,14 +6,12 @@ bucket. Two texts share a bucket only if they agree on the shingles and on their
 edit similarity, not just set overlap.
 
 Candidates. Texts of equal words are one node from the start. In each bucket the smallest id is the
-pivot, and each member is compared with it. Where a bucket then still holds several classes, members
-outside its largest class are compared with all members of other classes, if they are CROWD at most.
-Members of more crowded buckets (texts with one passage in common, above all) are freed of what they share
-with the bucket's pivot in runs of five words; two-word shingles of the rest, picked one by one and joined to the pivot,
-are their next buckets. Then they get buckets of whole texts in fresh
-orders, of four picks, then of eight, and the same is done with these. What is crowded with eight picks
-is compared in turns of about TURN representatives, until each member has met all of other classes.
-So a text meets a bounded number of others in each step, and none is left out.
+pivot, and each member is compared with it, first with the pivot it shares most buckets with. Pairs of one class are compared no more.
+Where a bucket then still holds several classes, members outside its largest class are compared with all members of other
+classes, if the bucket has CROWD members at most. Members of larger buckets (texts with one passage in common, above all) meet by their rarest
+words: texts of L words at most that are similar share L less a fifth of L words at least, repeats counted, so that of
+any order of all words the first one they share is among the first fifth and one more of each. The order is
+from rare to frequent. So no pair of a bucket is left out, however large it is, and few unlike ones are compared.
 
 Verification. Word-level edit distance inside the band that a similarity of SIMILARITY allows, with one
 bit for each diagonal of the band: 1 - distance / longer length.
@@ -27,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, free_name, partitions, settle, small_batches
@@ -35,16 +33,13 @@ from .words import U, Words, mix, occurrences, shingles, words
 
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
-#: Random orders and picks in each, for all texts and then for members of crowded buckets.
-LEVELS = ((80, 2), (32, 4), (16, 8))
-#: Orders, picks and words of a shingle for what members of crowded buckets do not share with the pivot. A pair of
-#: similarity 0.83 that shares 70 % with many others has a similarity of 0.43 in its rest, where few shingles of five words survive.
-REST, REST_WORDS, REST_SALT = (48, 1), 2, 1 << 16
-#: Words of rests that are sketched at once.
-REST_BLOCK = 1 << 19
-#: Members outside a bucket's largest class up to which they meet all others at once.
+#: Random orders, and picks in each.
+ORDERS = (80, 2)
+#: Members up to which those of a bucket meet each other at once; in larger ones they meet by rare words.
 CROWD = 32
-#: Representatives of a crowded bucket of the deepest level that its members meet in one turn.
+#: Slots of the table that tells how frequent words are.
+SLOTS = 1 << 17
+#: Texts outside the largest class of one rare word that one task compares with all of that word.
 TURN = 128
 #: Ids up to which the list of candidate documents is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -55,17 +50,17 @@ OCCURRENCE = U(0x9E3779B97F4A7C15)
 PLACE_BITS = 28
 
 
-def sketch(w: Words, orders: tuple[int, int] = LEVELS[0], salt: int = 0, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def sketch(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """For each text that has words: its number, and its bucket in each order."""
-    tables, picked = orders
-    s = shingles(w, size)
+    tables, picked = ORDERS
+    s = shingles(w, SHINGLE_WORDS)
     own = np.flatnonzero(s.counts)
     keys = np.zeros((len(own), tables), np.int64)
     if not len(own):
         return own, keys
     label = mix(s.hashes + occurrences(s).astype(U) * OCCURRENCE)
     starts = s.bounds[:-1][own]
-    seeds = mix(np.arange(1, 2 * tables + 1, dtype=U) * U(0xD1B54A32D192ED03) + U(salt << 32)) | U(1)
+    seeds = mix(np.arange(1, 2 * tables + 1, dtype=U) * U(0xD1B54A32D192ED03)) | U(1)
     place, low = np.arange(len(label), dtype=U), U((1 << PLACE_BITS) - 1)
     at = np.zeros((len(own), picked), np.int64)
     for t in range(tables):
@@ -113,17 +108,41 @@ def _token_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cut, pa.binary())], ["id", "tokens"])
 
 
-def _deeper_task(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Token strings -> their buckets in the orders of a deeper level."""
+def _labelled(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For all words of some token strings: the number of the string, and a hash of the word and its occurrence."""
+    each = [np.frombuffer(x, "<u4") for x in tokens.to_pylist()]
+    w = Words(mix(np.concatenate(each).astype(U)), np.concatenate([[0], np.cumsum([len(x) for x in each])]))
+    return np.repeat(np.arange(len(each)), w.counts), mix(w.hashes + occurrences(w).astype(U) * OCCURRENCE)
 
+
+def _slot_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token strings -> how many words are hashed to each slot."""
+    n = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for b in blocks(batch, "tokens"):
+            n += np.bincount((_labelled(b.column("tokens"))[1] % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+    used = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["slot", "n"])
+
+
+def rare_words(tokens: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, from rare to frequent slots, of which similar texts share one: their number for each token string, and their hashes."""
+    owner, label = _labelled(tokens)
+    counts = np.bincount(owner, minlength=len(tokens))
+    order = np.lexsort((label, often[(label % U(SLOTS)).astype(np.int64)], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = np.minimum(((1 - SIMILARITY) * counts + 1e-9).astype(np.int64) + 1, counts)
+    return first, label[order][place < np.repeat(first, counts)].view(np.int64)
+
+
+def _rare_task(often: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "tokens"):
-                each = [np.frombuffer(x, "<u4") for x in b.column("tokens").to_pylist()]
-                counts = np.array([len(x) for x in each], np.int64)
-                own, keys = sketch(Words(mix(np.concatenate(each).astype(U)), np.concatenate([[0], np.cumsum(counts)])), LEVELS[level], level)
-                lists = pa.ListArray.from_arrays(np.arange(len(own) + 1) * keys.shape[1], keys.ravel())
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(own)), pa.array(counts[own]), lists], ["id", "n_words", "keys"])
+                counts, keys = rare_words(b.column("tokens"), often)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]), keys)
+                lengths = np.array([len(x) // 4 for x in b.column("tokens").to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lengths), lists], ["id", "n_words", "keys"])
 
     return run
 
@@ -139,38 +158,6 @@ def rest(known: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.cumsum(step)[:-1] == 0]
 
 
-def _rest_rows(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
-    """(pivot, id, words, rest) -> the buckets of the rests, each with its pivot."""
-    counts = np.array([len(r) for _, _, _, r in held], np.int64)
-    body = mix(np.concatenate([r for _, _, _, r in held]).astype(U)) if held else np.zeros(0, U)
-    own, keys = sketch(Words(body, np.concatenate([[0], np.cumsum(counts)])), REST, REST_SALT, REST_WORDS)
-    if len(own):
-        pivots = np.array([held[k][0] for k in own], np.int64).view(U)
-        keys = mix(keys.view(U) + mix(pivots)[:, None]).view(np.int64)
-    lists = pa.ListArray.from_arrays(np.arange(len(own) + 1) * keys.shape[1], keys.ravel())
-    return pa.RecordBatch.from_arrays([pa.array([held[k][1] for k in own], pa.int64()), pa.array([held[k][2] for k in own], pa.int64()), lists], ["id", "n_words", "keys"])
-
-
-def _rest_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows (a, run, b, tokens) as for alignment -> buckets of what b does not share with a."""
-    at, known, held, size = None, np.zeros(0, U), [], 0
-    for batch in batches:
-        for a, run, b, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "run", "b", "tokens"))):
-            text = np.frombuffer(tokens, "<u4")
-            if b is None:
-                own = shingles(Words(text.astype(U), np.array([0, len(text)])), SHINGLE_WORDS).hashes
-                known = np.union1d(known, own) if at == (a, run) else np.unique(own)
-                at = (a, run)
-                continue
-            held.append((a, b, len(text), rest(known, text)))
-            size += len(held[-1][3])
-            if size > REST_BLOCK or len(held) >= REST_BLOCK >> 6:
-                yield _rest_rows(held)
-                held, size = [], 0
-    if held:
-        yield _rest_rows(held)
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Words in common, repeats counted."""
     if not len(a) or not len(b):
@@ -316,23 +303,24 @@ class _Classes:
         self.tested: DataFrame | None = None
 
     def test(self, pairs: DataFrame, name: str) -> None:
-        """Align the pairs (a, b), a below b, that have not been aligned yet, and join classes along the links."""
-        fresh = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti") if self.tested is not None else pairs
+        """Align the pairs (a, b), a below b, of different classes that have not been aligned yet, and join classes along the links."""
+        of = lambda c: self.labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
+        apart = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("a", "b")
+        fresh = apart.join(self.tested.select("a", "b"), ["a", "b"], "left_anti") if self.tested is not None else apart
         found = verified(fresh, self.texts, name)
         self.tested = self.tested.union(found) if self.tested is not None else found
-        of_a, of_b = (self.labels.select(F.col("id").alias(f"id_{c}"), F.col("label").alias(f"of_{c}")) for c in "ab")
-        same = found.where("same").join(of_a, F.col("a") == F.col("id_a")).join(of_b, F.col("b") == F.col("id_b")).where("of_a <> of_b")
+        same = found.where("same").join(of("a"), "a").join(of("b"), "b")
         moved = components(same.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).withColumnRenamed("id", "label")
         self.labels = settle(self.labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
 
     def mixed(self, shared: DataFrame) -> DataFrame:
-        """(key, id, n_words, pivot, label, main, outside) of the buckets with several classes: main is the largest, `outside` counts the members of others.
+        """`shared` with (label, main, outside, n) for the buckets with several classes: main is the largest, `outside` counts the members of others, n all.
 
         Buckets of one class, however large, go by an aggregate.
         """
-        members = shared.join(self.labels, "id").select("key", "id", "n_words", "pivot", "label")
+        members = shared.join(self.labels, "id")
         sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+        main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("n")).where("outside > 0")
         return settle(members.join(main, "key"), "mixed")
 
 
@@ -344,6 +332,29 @@ def _across(outside: DataFrame, members: DataFrame) -> DataFrame:
     return x.join(y, near).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
+def _by_rare_words(crowd: DataFrame, found: _Classes) -> DataFrame:
+    """Pairs (a, b) of different classes among the ids of `crowd` that can be similar: a superset without any loss.
+
+    `first` marks for each id and each class it meets the partner that shares most rare words. The rows of a rare word outside its largest class are dealt to turns, each of which all rows of the word go to.
+    """
+    own = settle(found.texts.join(crowd, "id", "left_semi"), "crowd_tokens")
+    often = np.zeros(SLOTS, np.int64)
+    for r in own.mapInArrow(_slot_task, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        often[r.slot] = r.n
+    nodes = settle(own.mapInArrow(_rare_task(often.astype(np.uint32)), "id long, n_words long, keys array<long>"), "rare_words")
+    members = nodes.select("id", "n_words", F.posexplode("keys").alias("place", "key"))
+    rows = found.mixed(members).withColumn("after", F.col("n_words") - F.col("place"))
+    turns = F.ceil(F.col("outside") / TURN)
+    x = rows.where("label <> main").select("key", F.pmod(F.xxhash64("id", "key"), turns).alias("turn"), *(F.col(c).alias(f"{c}_i") for c in ("id", "label", "n_words", "after")))
+    y = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)).alias("turn"), *(F.col(c).alias(f"{c}_j") for c in ("id", "label", "n_words", "after")))
+    longer = F.greatest("n_words_i", "n_words_j")
+    # words before the first one that two texts share are not shared, so those from there on must be enough
+    met = x.join(y, ["key", "turn"]).where((F.col("label_i") != F.col("label_j")) & (F.least("after_i", "after_j") >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9)))
+    met = met.groupBy("id_i", "label_j", "id_j").agg(F.count("*").alias("common"))
+    first = F.row_number().over(Window.partitionBy("id_i", "label_j").orderBy(F.desc("common"), "id_j")) == 1
+    return settle(met.select(F.least("id_i", "id_j").alias("a"), F.greatest("id_i", "id_j").alias("b"), first.alias("first")), "by_rare_words")
+
+
 def _near(n: Column, m: Column) -> Column:
     """The distance is the difference of lengths at least."""
     return F.least(n, m) >= F.greatest(n, m) * SIMILARITY
@@ -357,10 +368,10 @@ def _shared(nodes: DataFrame) -> DataFrame:
 
 
 def _with_pivots(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the pivots of buckets with members whose length allows similarity."""
-    pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "n_words").distinct()
+    """Pairs (a, b) of the pivots of buckets with members whose length allows similarity, and how many buckets they share."""
+    pairs = shared.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"), "n_words").agg(F.count("*").alias("buckets"))
     pivots = shared.where("id = pivot").select("pivot", F.col("n_words").alias("n_pivot")).distinct()
-    return pairs.join(pivots, F.col("a") == F.col("pivot")).where(_near(F.col("n_words"), F.col("n_pivot"))).select("a", "b")
+    return pairs.join(pivots, F.col("a") == F.col("pivot")).where(_near(F.col("n_words"), F.col("n_pivot"))).select("a", "b", "buckets")
 
 
 def _once(texts: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -378,28 +389,17 @@ def _classes(every: DataFrame, known: DataFrame, sketches: DataFrame) -> DataFra
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = settle(known.join(wanted, known["doc_id"] == ids["id"], "left_semi").mapInArrow(_token_task, "id long, tokens binary"), "tokens")
     found = _Classes(ids, _once(texts, sketches))
-    found.test(_with_pivots(shared), "pivots")
-    for level in range(len(LEVELS)):
-        mixed = found.mixed(shared)
-        outside = mixed.where("label <> main")
-        if level == len(LEVELS) - 1:
-            turns = F.ceil(F.col("outside") / TURN)
-            for turn in range(mixed.agg(F.max(turns)).first()[0] or 0):
-                found.test(_across(outside.where((turns > turn) & (F.pmod(F.xxhash64("id", "key"), turns) == turn)), mixed), f"turn{turn}")
-            break
-        calm = F.col("outside") <= CROWD
-        found.test(_across(outside.where(calm), mixed.where(calm)), f"level{level}")
-        crowd = settle(mixed.where(~calm).select("id").distinct(), "crowd")
-        if crowd.isEmpty():
-            break
-        if level == 0:
-            owners = mixed.where(~calm).where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-            rests = _side_by_side(owners, found.texts, "rests").mapInArrow(_rest_task, "id long, n_words long, keys array<long>")
-            parts = found.mixed(_shared(settle(rests, "rests")))
-            few = parts.where(calm)
-            found.test(_across(few.where("label <> main"), few), "rests")
-        deeper = found.texts.join(crowd, "id", "left_semi").mapInArrow(_deeper_task(level + 1), "id long, n_words long, keys array<long>")
-        shared = _shared(settle(deeper, "deeper"))
+    pivots = settle(_with_pivots(shared), "with_pivots")
+    found.test(pivots.groupBy("b").agg(F.max_by("a", F.struct("buckets", -F.col("a"))).alias("a")).select("a", "b"), "first_pivots")
+    found.test(pivots.select("a", "b"), "pivots")
+    mixed = found.mixed(shared)
+    few = mixed.where(F.col("n") <= CROWD)
+    found.test(_across(few.where("label <> main"), few), "few")
+    crowd = settle(mixed.where(F.col("n") > CROWD).select("id").distinct(), "crowd")
+    if not crowd.isEmpty():
+        met = _by_rare_words(crowd, found)
+        found.test(met.where("first").select("a", "b"), "first_of_crowds")
+        found.test(met.select("a", "b"), "crowds")
     return found.labels
 
 

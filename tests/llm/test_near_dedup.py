@@ -119,3 +119,17 @@ def test_components(spark, links):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def test_no_pair_of_a_crowded_bucket_is_left_out(spark):
+    """240 texts of 300 words share 210; pairs are just similar, so that the rest has few words in common: orders of whole texts and rests missed some."""
+    rng = np.random.default_rng(9)
+    passage = " ".join(map(word, rng.integers(0, 10**9, 210)))
+    docs = []
+    for _ in range(120):
+        a = rng.integers(0, 10**9, 90)
+        b = a.copy()
+        b[rng.choice(90, 60, replace=False)] = rng.integers(0, 10**9, 60)
+        docs += [(len(docs) + k, passage + " " + " ".join(map(word, own))) for k, own in enumerate((a, b))]
+    got = classes(spark, docs)
+    assert all(got[k] == k - k % 2 for k in got)
