@@ -149,7 +149,7 @@ def _pack_task(vocabulary: str, size: int) -> Callable[[Iterator[pa.RecordBatch]
         packer, encode = _Packer(size, TaskContext.get().partitionId()), encoder(vocabulary).encode
         end = np.array([END_ID], "<u4").tobytes()
         for b in gathered(batches, "text"):
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text"))):
                 packer.add(doc_id, ids + end)
             yield from packer.batches()
         packer.close(True)

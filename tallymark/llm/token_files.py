@@ -116,7 +116,7 @@ def _write_task(folder: str, vocabulary: str) -> Callable[[Iterator[pa.RecordBat
         with fs.open_output_stream(draft) as out:
             writer = FrameWriter(out)
             for b in gathered(batches, "text"):
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text"))):
                     writer.add(doc_id, ids + end)
             writer.close()
         fs.move(draft, f"{base}/{name}")

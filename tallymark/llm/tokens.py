@@ -5,7 +5,8 @@ so a text may be cut before any space that stands between two non-space characte
 not known yet are joined by spaces and encoded by the library in one call; as only a chunk's first
 token can begin with a space, the ids are dealt back by the tokens that do. Texts with other white
 space next to a space are cut at safe spaces only. Texts that hold the string of an added token go
-to the library whole, which makes it that token's id.
+to the library whole, which makes it that token's id. Cutting, telling the distinct chunks of a block
+and putting their ids together are Arrow's work; Python sees each distinct chunk of a block once.
 """
 
 from __future__ import annotations
@@ -14,23 +15,26 @@ import json
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that each of the memo's two generations holds before it makes room, about 200 bytes apiece: a process holds
 #: about 150 MB at most, the chunks of one step included.
 MEMO_CHUNKS = 350_000
-#: Chunks of texts that are looked up, and joined for the library, in one step.
+#: Distinct chunks that are looked up, and joined for the library, in one step.
 STEP = 50_000
 #: Characters of the longest chunk that is remembered.
 LONGEST = 32
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $|\s | \s")
-#: White space but spaces and line breaks, of which most texts have none; a class alone is searched fast.
-_RARE = re.compile(r"[^\S \n]")
-#: Sentence marks, which are a piece of their own after a letter.
-_MARKS = ".,;:!?"
+#: White space but spaces and line breaks, of which most texts have none.
+_RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: Texts that may have a space at an end or beside other white space, in RE2's syntax.
+_MAYBE_ODD = rf"\A | \z|  |\n | \n|[{_RARE}]"
+#: Marks, which are a piece of their own after a letter.
+_MARKS = ".,;:!?#$%&*|"
 _processes: dict[str, "Encoder"] = {}
 
 
@@ -43,11 +47,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _odd(t: str) -> bool:
-    """Whether a space stands at an end of a text or beside other white space."""
-    return t[0] == " " or t[-1] == " " or "  " in t or "\n " in t or " \n" in t or (_RARE.search(t) is not None and _ODD.search(t) is not None)
-
-
 def encoder(path: str) -> "Encoder":
     """This process's encoder for a vocabulary file."""
     if path not in _processes:
@@ -87,13 +86,15 @@ class Encoder:
         whole, at = ids.tobytes(), (4 * starts).tolist()
         return [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)])]
 
-    def _step(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        """Append the ids of chunks that stand after a space to those of their texts."""
+    def _step(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks that stand after a space."""
         if len(self.known) >= MEMO_CHUNKS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         plain, marked, long = {}, [], []
-        for c in set(chain.from_iterable(chunks for _, chunks in waiting)).difference(known):
+        for c in chunks:
+            if c in known:
+                continue
             if len(c) > LONGEST:
                 long.append(c)
             if c in older:
@@ -123,29 +124,44 @@ class Encoder:
                     self.marks.clear()
                 self.marks[marks] = self._any(marks)
             known[c] = known[word] + self.marks[marks]
-        find = known.__getitem__
-        for i, chunks in waiting:
-            out[i].append(b"".join(map(find, chunks)))
+        out = list(map(known.__getitem__, chunks))
         for c in long:
             known.pop(c, None)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return out
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts in turn, at least one of each, and where each text's begin."""
+        if not self.cuttable:
+            return texts, np.arange(len(texts))
+        whole = np.zeros(len(texts), bool)
+        for a in self.added:  # added tokens are cut out before all else
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _MAYBE_ODD).to_numpy(zero_copy_only=False) | whole
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        if odd.any():
+            own = [[t] if w else _SAFE.split(t) if _ODD.search(t) else t.split(" ") for t, w in zip(texts.filter(pa.array(odd)).to_pylist(), whole[odd].tolist())]
+            place = np.empty(len(texts), np.int64)
+            place[np.argsort(odd, kind="stable")] = np.arange(len(texts))
+            lists = pa.concat_arrays([lists, pa.array(own, lists.type)]).take(pa.array(place))
+        counts = pc.list_value_length(lists).to_numpy()
+        return lists.flatten(), np.cumsum(counts, dtype=np.int64) - counts
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; null counts as empty."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        waiting, size = [], 0
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.cuttable or any(a in t for a in self.added):  # added tokens are cut out before all else
-                out[i].append(self._any(t))
-                continue
-            chunks = _SAFE.split(t) if _odd(t) else t.split(" ")  # spaces beside other white space
-            out[i].append(self._any(chunks[0]))
-            for k in range(1, len(chunks), STEP):
-                waiting.append((i, chunks[k : k + STEP]))
-                size += len(waiting[-1][1])
-                if size >= STEP:
-                    self._step(waiting, out)
-                    waiting, size = [], 0
-        self._step(waiting, out)
-        return [b"".join(parts) for parts in out]
+        if not len(texts):
+            return []
+        chunks, first = self._cut(pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, ""))
+        told = chunks.dictionary_encode()
+        at = told.indices.to_numpy().astype(np.int64)
+        later = np.ones(len(at), bool)
+        later[first] = False
+        used = np.bincount(at[later], minlength=len(told.dictionary)) > 0
+        distinct = told.dictionary.filter(pa.array(used))
+        at = (np.cumsum(used) - 1)[at]
+        at[first] = len(distinct) + np.arange(len(first))
+        parts = [pa.array(self._step(distinct.slice(k, STEP).to_numpy(zero_copy_only=False).tolist()), pa.large_binary()) for k in range(0, len(distinct), STEP)]
+        parts.append(pa.array([self._any(t) if t else b"" for t in chunks.take(pa.array(first)).to_pylist()], pa.large_binary()))
+        ids = pa.concat_arrays(parts).take(pa.array(at))
+        _, offsets, body = ids.buffers()
+        ends = np.frombuffer(offsets, "<i8")[np.append(first, len(ids))].tolist()
+        return [body[a:b].to_pybytes() for a, b in zip(ends, ends[1:])] if body is not None else [b""] * len(first)

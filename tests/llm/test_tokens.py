@@ -48,3 +48,19 @@ def test_cuts_at_every_kind_of_white_space(monkeypatch):
     parts = [" ", " ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\u3000", "\xa0", "\u200b", "word", "Été", "don't", "'s", ".", "...", "?!", "3.5", "日本", "🙂", "x" * 40, "x" * 40 + ","]
     texts = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(2000)]
     assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_distinct_chunks_of_a_block_are_looked_up_once(monkeypatch):
+    import pyarrow as pa
+
+    from tallymark.llm import tokens
+
+    e = tokens.Encoder("byte_bpe_50k.json")
+    seen = []
+    step = e._step
+    monkeypatch.setattr(e, "_step", lambda chunks: seen.extend(chunks) or step(chunks))
+    texts = ["a b c &&& word&&& word$,", None, "", "c  b a", " b", "b ", "a\tb c", "<|endoftext|> b c"] * 50
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert e.encode(pa.array(["x", *texts], pa.string()).slice(1)) == want == e.encode(pa.array(texts, pa.large_string())) == e.encode(texts)
+    assert len(seen) == 3 * len(set(seen))
+    assert e.encode([]) == [] and e.encode([None, ""]) == [b"", b""]
