@@ -41,6 +41,10 @@ CROWD = 32
 SLOTS = 1 << 17
 #: Texts outside the largest class of one rare word that one task compares with all of that word.
 TURN = 128
+#: Texts up to which a pair meets at each rare word that so many share; at more frequent words it meets once.
+FEW = 8
+#: More frequent words of a text that are listed for that.
+LISTED = 128
 #: Ids up to which the list of candidate documents is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Places of a word in a text beyond which they are kept as a bit mask, not as a list.
@@ -332,25 +336,45 @@ def _across(outside: DataFrame, members: DataFrame) -> DataFrame:
     return x.join(y, near).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
+def _meetings(rows: DataFrame) -> DataFrame:
+    """(id_i, label_j, id_j) of rows of rare words that can be similar, from `rows` (key, id, label, main, outside, n, n_words, text, place); `text` tells texts of one id apart.
+
+    The rows of a word outside its largest class are dealt to turns, each of which all rows of the word go to. A pair
+    may share many words; it meets at each of those that FEW texts have at most, but of the others only at the first one.
+    For that a row has the more frequent words that its text has before, the first LISTED of them.
+    """
+    rows = rows.withColumn("after", F.col("n_words") - F.col("place"))
+    in_order = Window.partitionBy("id", "n_words", "text").orderBy("place")
+    many = rows.where(F.col("n") > FEW).withColumn("nth", F.row_number().over(in_order))
+    many = many.withColumn("before", F.collect_list(F.when(F.col("nth") <= LISTED, F.col("key"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    longer = F.greatest("n_words_i", "n_words_j")
+    # words before the first one that two texts share are not shared, so those from there on must be enough; two that are both outside the largest class meet once
+    able = (F.col("label_i") != F.col("label_j")) & (F.least("after_i", "after_j") >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9)) & (F.col("in_main_j") | (F.col("id_i") < F.col("id_j")))
+    first = ~F.arrays_overlap("before_i", "before_j")
+
+    def meet(own: DataFrame, columns: list[str], condition: Column) -> DataFrame:
+        turns = F.ceil(F.col("outside") / TURN)
+        own = own.withColumn("in_main", F.col("label") == F.col("main"))
+        x = own.where("not in_main").select("key", F.pmod(F.xxhash64("id", "key"), turns).alias("turn"), *(F.col(c).alias(f"{c}_i") for c in columns))
+        y = own.select("key", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)).alias("turn"), *(F.col(c).alias(f"{c}_j") for c in (*columns, "in_main")))
+        return x.join(y, ["key", "turn"]).where(condition).select("id_i", "label_j", "id_j")
+
+    columns = ["id", "label", "n_words", "after"]
+    return meet(rows.where(F.col("n") <= FEW), columns, able).union(meet(many, [*columns, "before"], able & first))
+
+
 def _by_rare_words(crowd: DataFrame, found: _Classes) -> DataFrame:
     """Pairs (a, b) of different classes among the ids of `crowd` that can be similar: a superset without any loss.
 
-    `first` marks for each id and each class it meets the partner that shares most rare words. The rows of a rare word outside its largest class are dealt to turns, each of which all rows of the word go to.
+    `first` marks for each id and each class it meets the partner that it meets at most words.
     """
     own = settle(found.texts.join(crowd, "id", "left_semi"), "crowd_tokens")
     often = np.zeros(SLOTS, np.int64)
     for r in own.mapInArrow(_slot_task, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
         often[r.slot] = r.n
     nodes = settle(own.mapInArrow(_rare_task(often.astype(np.uint32)), "id long, n_words long, keys array<long>"), "rare_words")
-    members = nodes.select("id", "n_words", F.posexplode("keys").alias("place", "key"))
-    rows = found.mixed(members).withColumn("after", F.col("n_words") - F.col("place"))
-    turns = F.ceil(F.col("outside") / TURN)
-    x = rows.where("label <> main").select("key", F.pmod(F.xxhash64("id", "key"), turns).alias("turn"), *(F.col(c).alias(f"{c}_i") for c in ("id", "label", "n_words", "after")))
-    y = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)).alias("turn"), *(F.col(c).alias(f"{c}_j") for c in ("id", "label", "n_words", "after")))
-    longer = F.greatest("n_words_i", "n_words_j")
-    # words before the first one that two texts share are not shared, so those from there on must be enough
-    met = x.join(y, ["key", "turn"]).where((F.col("label_i") != F.col("label_j")) & (F.least("after_i", "after_j") >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9)))
-    met = met.groupBy("id_i", "label_j", "id_j").agg(F.count("*").alias("common"))
+    members = nodes.select("id", "n_words", F.xxhash64("keys").alias("text"), F.posexplode("keys").alias("place", "key"))
+    met = _meetings(found.mixed(members)).groupBy("id_i", "label_j", "id_j").agg(F.count("*").alias("common"))
     first = F.row_number().over(Window.partitionBy("id_i", "label_j").orderBy(F.desc("common"), "id_j")) == 1
     return settle(met.select(F.least("id_i", "id_j").alias("a"), F.greatest("id_i", "id_j").alias("b"), first.alias("first")), "by_rare_words")
 

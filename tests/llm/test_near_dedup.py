@@ -133,3 +133,26 @@ def test_no_pair_of_a_crowded_bucket_is_left_out(spark):
         docs += [(len(docs) + k, passage + " " + " ".join(map(word, own))) for k, own in enumerate((a, b))]
     got = classes(spark, docs)
     assert all(got[k] == k - k % 2 for k in got)
+
+
+def test_pairs_meet_once_at_frequent_words(spark, monkeypatch):
+    from tallymark.llm import near_dedup
+
+    rng = np.random.default_rng(4)
+    texts = {i: rng.permutation(60)[:30].tolist() for i in range(40)}  # in order of the word, as all texts share one order
+    rows = [(k, i, i // 20 * 20 if i % 2 else i, 100, 0, p) for i, t in texts.items() for p, k in enumerate(sorted(t))]
+    sizes = {k: [r for r in rows if r[0] == k] for k in range(60)}
+    table = []
+    for k, own in sizes.items():
+        labels = [r[2] for r in own]
+        main = max(sorted(set(labels)), key=labels.count) if own else None
+        table += [(*r, main, sum(x != main for x in labels), len(own)) for r in own]
+    df = spark.createDataFrame(table, "key long, id long, label long, n_words long, text long, place int, main long, outside long, n long")
+    label = {r[1]: r[2] for r in rows}
+    want = {(i, j) for i in texts for j in texts if i < j and label[i] != label[j] and set(texts[i]) & set(texts[j])}
+    for listed, once in ((128, True), (3, False)):
+        monkeypatch.setattr(near_dedup, "LISTED", listed)
+        monkeypatch.setattr(near_dedup, "TURN", 4)
+        got = [(min(r.id_i, r.id_j), max(r.id_i, r.id_j)) for r in near_dedup._meetings(df).collect()]
+        assert set(got) == want
+        assert (len(got) == len(want)) == once
