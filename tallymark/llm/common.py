@@ -89,7 +89,10 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def gathered(batches, column: str, limit: int = 2 * BLOCK_BYTES):
-    """A task's batches joined to blocks of about `limit` bytes of text, as the tokenizer's memo works best on large ones."""
+    """A task's batches joined to blocks of about `limit` bytes of text, as the tokenizer's memo works best on large ones.
+
+    After each, Arrow gives free memory back: a worker that waits for its next task would hold it for all stages to come.
+    """
     held, size = [], 0
     for b in batches:
         held.append(b)
@@ -97,8 +100,10 @@ def gathered(batches, column: str, limit: int = 2 * BLOCK_BYTES):
         if size >= limit:
             yield from _joined(held, column, limit)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield from _joined(held, column, limit)
+    pa.default_memory_pool().release_unused()
 
 
 def _joined(held: list[pa.RecordBatch], column: str, limit: int):

@@ -21,10 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that each of the memo's two generations holds before it makes room, about 200 bytes apiece: a process holds
-#: about 150 MB at most, the chunks of one step included.
-MEMO_CHUNKS = 350_000
+#: about 70 MB at most, the chunks of one step included.
+MEMO_CHUNKS = 150_000
 #: Distinct chunks that are looked up, and joined for the library, in one step.
-STEP = 50_000
+STEP = 20_000
 #: Characters of the longest chunk that is remembered.
 LONGEST = 32
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
