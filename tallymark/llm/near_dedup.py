@@ -13,6 +13,10 @@ words: texts of L words at most that are similar share L less a fifth of L words
 any order of all words the first one they share is among the first fifth and one more of each. The order is
 from rare to frequent. So no pair of a bucket is left out, however large it is, and few unlike ones are compared.
 
+Signatures. Each text has a bit for each slot that its words, labelled with their occurrence number, are hashed to, set if their
+number there is odd. Two texts' bits differ in no more places than they have labelled words that the other lacks, so that pairs
+whose bits differ in more places than similarity allows are dropped without loss, before any text is moved.
+
 Verification. Word-level edit distance inside the band that a similarity of SIMILARITY allows, with one
 bit for each diagonal of the band: 1 - distance / longer length.
 
@@ -22,13 +26,14 @@ Classes are connected components of the verified links.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, free_name, partitions, settle, small_batches
+from .common import blocks, free_name, freed, partitions, settle, small_batches
 from .words import U, Words, mix, occurrences, shingles, words
 
 SIMILARITY = 0.8
@@ -45,6 +50,8 @@ TURN = 128
 FEW = 8
 #: More frequent words of a text that are listed for that.
 LISTED = 128
+#: Bits of a text's signature, and of the folded one that goes with rare words. A few times the words of a text tell unlike ones best.
+SIGNATURE, FOLDED = 1024, 256
 #: Ids up to which the list of candidate documents is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Places of a word in a text beyond which they are kept as a bit mask, not as a list.
@@ -102,14 +109,24 @@ def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(own)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(w.counts[own]), lists], ["doc_id", "d1", "d2", "n_words", "keys"])
 
 
+def signatures(labels: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """For each text its SIGNATURE bits as 64-bit numbers: the parities of how many of its labelled words are hashed to each slot."""
+    slot = (labels >> U(64 - (SIGNATURE - 1).bit_length())).astype(np.int64)
+    odd = np.bincount(owner * SIGNATURE + slot, minlength=texts * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(texts, SIGNATURE // 64)
+
+
 def _token_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as 32 bits of each of its words' hashes."""
+    """Each text as 32 bits of each of its words' hashes, with their number and its signature."""
     for batch in batches:
         for b in blocks(batch, "text"):
             w = words(b.column("text"))
             body = (w.hashes >> U(32)).astype("<u4")
-            cut = [body[i:j].tobytes() for i, j in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cut, pa.binary())], ["id", "tokens"])
+            cut = pa.array([body[i:j].tobytes() for i, j in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())], pa.binary())
+            owner, label = _labelled(cut)
+            signs = signatures(label, owner, len(cut))
+            lists = pa.ListArray.from_arrays(np.arange(len(cut) + 1) * signs.shape[1], signs.ravel())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), cut, pa.array(w.counts), lists], ["id", "tokens", "n_words", "signature"])
 
 
 def _labelled(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +162,7 @@ def _rare_task(often: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for b in blocks(batch, "tokens"):
                 counts, keys = rare_words(b.column("tokens"), often)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]), keys)
-                lengths = np.array([len(x) // 4 for x in b.column("tokens").to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lengths), lists], ["id", "n_words", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_words"), b.column("signature"), lists], ["id", "n_words", "signature", "keys"])
 
     return run
 
@@ -263,9 +279,12 @@ def _side_by_side(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """
     runs = partitions(pairs.sparkSession)
     dealt = settle(pairs.distinct().select("a", F.pmod(F.xxhash64("b"), F.lit(runs)).alias("run"), "b"), f"{name}_pairs")
-    own = dealt.select("a", "run").distinct().join(texts, F.col("a") == F.col("id")).select("a", "run", F.lit(None).cast("long").alias("b"), "tokens")
-    others = dealt.join(texts, F.col("b") == F.col("id")).select("a", "run", "b", "tokens")
-    return own.union(others).repartition(runs, "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
+    own = dealt.select("a", "run").distinct().select("a", "run", F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
+    both = own.union(dealt.select("a", "run", "b", F.col("b").alias("id")))
+    ids = settle(both.select("id").distinct(), f"{name}_ids")
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    return both.join(texts.select("id", "tokens"), "id").select("a", "run", "b", "tokens").repartition(runs, "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
 
 def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -306,23 +325,38 @@ class _Classes:
         self.labels = ids.select("id", F.col("id").alias("label"))
         self.tested: DataFrame | None = None
 
-    def test(self, pairs: DataFrame, name: str) -> None:
-        """Align the pairs (a, b), a below b, of different classes that have not been aligned yet, and join classes along the links."""
+    def test(self, pairs: DataFrame, name: str, apart: bool = False) -> DataFrame | None:
+        """Align the pairs (a, b), a below b, of different classes that have not been aligned yet, and join classes along the links.
+
+        `apart`: the pairs are known to be of different classes. Returns (label, to) of the labels that others take the place of, if any.
+        """
         of = lambda c: self.labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
-        apart = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("a", "b")
-        fresh = apart.join(self.tested.select("a", "b"), ["a", "b"], "left_anti") if self.tested is not None else apart
+        fresh = pairs.distinct()
+        if self.tested is not None:
+            fresh = fresh.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+        if not apart:
+            fresh = fresh.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("a", "b")
         found = verified(fresh, self.texts, name)
         self.tested = self.tested.union(found) if self.tested is not None else found
+        if found.where("same").isEmpty():
+            return None
         same = found.where("same").join(of("a"), "a").join(of("b"), "b")
         moved = components(same.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).withColumnRenamed("id", "label")
         self.labels = settle(self.labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+        return moved
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The rows of `pairs` (a, b and others) whose texts' signatures allow similarity, each once."""
+        of = lambda c: self.texts.select(F.col("id").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("signature").alias(f"signature_{c}"))
+        signed = pairs.join(of("a"), "a").join(of("b"), "b")
+        return signed.where(_alike("signature_a", "signature_b", "n_a", "n_b", SIGNATURE)).select(pairs.columns).distinct()
 
     def mixed(self, shared: DataFrame) -> DataFrame:
         """`shared` with (label, main, outside, n) for the buckets with several classes: main is the largest, `outside` counts the members of others, n all.
 
         Buckets of one class, however large, go by an aggregate.
         """
-        members = shared.join(self.labels, "id")
+        members = settle(shared.join(self.labels, "id"), "members")
         sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("n")).where("outside > 0")
         return settle(members.join(main, "key"), "mixed")
@@ -337,11 +371,12 @@ def _across(outside: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
-    """(id_i, label_j, id_j) of rows of rare words that can be similar, from `rows` (key, id, label, main, outside, n, n_words, text, place); `text` tells texts of one id apart.
+    """(id_i, label_i, label_j, id_j) of rows of rare words that can be similar, from `rows` (key, id, label, main, outside, n, n_words, text, place); `text` tells texts of one id apart.
 
     The rows of a word outside its largest class are dealt to turns, each of which all rows of the word go to. A pair
     may share many words; it meets at each of those that FEW texts have at most, but of the others only at the first one.
-    For that a row has the more frequent words that its text has before, the first LISTED of them.
+    For that a row has the more frequent words that its text has before, the first LISTED of them. Rows may have a column `folded`,
+    their text's folded signature; then pairs that these tell apart do not meet.
     """
     rows = rows.withColumn("after", F.col("n_words") - F.col("place"))
     in_order = Window.partitionBy("id", "n_words", "text").orderBy("place")
@@ -350,6 +385,10 @@ def _meetings(rows: DataFrame) -> DataFrame:
     longer = F.greatest("n_words_i", "n_words_j")
     # words before the first one that two texts share are not shared, so those from there on must be enough; two that are both outside the largest class meet once
     able = (F.col("label_i") != F.col("label_j")) & (F.least("after_i", "after_j") >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9)) & (F.col("in_main_j") | (F.col("id_i") < F.col("id_j")))
+    columns = ["id", "label", "n_words", "after"]
+    if "folded" in rows.columns:
+        columns.append("folded")
+        able &= _alike("folded_i", "folded_j", "n_words_i", "n_words_j", FOLDED)
     first = ~F.arrays_overlap("before_i", "before_j")
 
     def meet(own: DataFrame, columns: list[str], condition: Column) -> DataFrame:
@@ -357,26 +396,34 @@ def _meetings(rows: DataFrame) -> DataFrame:
         own = own.withColumn("in_main", F.col("label") == F.col("main"))
         x = own.where("not in_main").select("key", F.pmod(F.xxhash64("id", "key"), turns).alias("turn"), *(F.col(c).alias(f"{c}_i") for c in columns))
         y = own.select("key", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)).alias("turn"), *(F.col(c).alias(f"{c}_j") for c in (*columns, "in_main")))
-        return x.join(y, ["key", "turn"]).where(condition).select("id_i", "label_j", "id_j")
+        return x.join(y, ["key", "turn"]).where(condition).select("id_i", "label_i", "label_j", "id_j")
 
-    columns = ["id", "label", "n_words", "after"]
     return meet(rows.where(F.col("n") <= FEW), columns, able).union(meet(many, [*columns, "before"], able & first))
 
 
 def _by_rare_words(crowd: DataFrame, found: _Classes) -> DataFrame:
-    """Pairs (a, b) of different classes among the ids of `crowd` that can be similar: a superset without any loss.
+    """Pairs (a, b) of different classes, of_i and of_j, among the ids of `crowd` that can be similar: a superset without any loss.
 
-    `first` marks for each id and each class it meets the partner that it meets at most words.
+    Most texts that share rare words differ in so many others that their signatures tell. `first` marks for each id and each class it meets the partner that it meets at most words.
     """
     own = settle(found.texts.join(crowd, "id", "left_semi"), "crowd_tokens")
     often = np.zeros(SLOTS, np.int64)
     for r in own.mapInArrow(_slot_task, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
         often[r.slot] = r.n
-    nodes = settle(own.mapInArrow(_rare_task(often.astype(np.uint32)), "id long, n_words long, keys array<long>"), "rare_words")
-    members = nodes.select("id", "n_words", F.xxhash64("keys").alias("text"), F.posexplode("keys").alias("place", "key"))
-    met = _meetings(found.mixed(members)).groupBy("id_i", "label_j", "id_j").agg(F.count("*").alias("common"))
+    nodes = settle(own.mapInArrow(_rare_task(often.astype(np.uint32)), "id long, n_words long, signature array<long>, keys array<long>"), "rare_words")
+    members = nodes.select("id", "n_words", _folded("signature").alias("folded"), F.xxhash64("keys", "signature").alias("text"), F.posexplode("keys").alias("place", "key"))
+    met = _meetings(found.mixed(members)).groupBy("id_i", "label_i", "label_j", "id_j").agg(F.count("*").alias("common"))
     first = F.row_number().over(Window.partitionBy("id_i", "label_j").orderBy(F.desc("common"), "id_j")) == 1
-    return settle(met.select(F.least("id_i", "id_j").alias("a"), F.greatest("id_i", "id_j").alias("b"), first.alias("first")), "by_rare_words")
+    pairs = met.select(F.least("id_i", "id_j").alias("a"), F.greatest("id_i", "id_j").alias("b"), F.col("label_i").alias("of_i"), F.col("label_j").alias("of_j"), first.alias("first"))
+    return settle(pairs, "by_rare_words")
+
+
+def _still_apart(pairs: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """Of pairs with the labels of_i and of_j, those that differ after some labels have moved."""
+    if moved is None:
+        return pairs
+    now = lambda c: moved.select(F.col("label").alias(f"of_{c}"), F.col("to").alias(f"to_{c}"))
+    return pairs.join(now("i"), "of_i", "left").join(now("j"), "of_j", "left").where("coalesce(to_i, of_i) <> coalesce(to_j, of_j)")
 
 
 def _near(n: Column, m: Column) -> Column:
@@ -384,10 +431,27 @@ def _near(n: Column, m: Column) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * SIMILARITY
 
 
+def _alike(x: str, y: str, n: str, m: str, bits: int) -> Column:
+    """The bits differ in no more places than two similar texts of n and m words can have words that the other lacks."""
+    differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(bits // 64)), F.lit(0))
+    longer = F.greatest(n, m)
+    return differ <= 2 * F.floor(longer * (1 - SIMILARITY) + 1e-9) - F.abs(F.col(n) - F.col(m))
+
+
+def _folded(signature: str) -> Column:
+    """FOLDED bits: what falls to one of them is added modulo two, so that folded ones differ in no more places than whole ones."""
+    each, step = SIGNATURE // 64, FOLDED // 64
+    return F.array(*(reduce(Column.bitwiseXOR, (F.col(signature)[i] for i in range(k, each, step))) for k in range(step)))
+
+
 def _shared(nodes: DataFrame) -> DataFrame:
-    """(key, id, n_words, pivot) of the buckets that several nodes (id, n_words, keys) share."""
-    members = nodes.select("id", "n_words", F.explode("keys").alias("key"))
-    pivots = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+    """(key, id, n_words, pivot) of the buckets that several nodes (id, n_words, keys) share.
+
+    Members are shuffled once, for the pivots and to meet them, as both read the same columns. One key has at most one row
+    in as many as there are orders.
+    """
+    members = nodes.select("id", "n_words", F.explode("keys").alias("key")).repartition(partitions(nodes.sparkSession), "key")
+    pivots = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("n_words").alias("n")).where("n > 1").select("key", "pivot")
     return settle(members.join(pivots, "key").select("key", "id", "n_words", "pivot"), "shared")
 
 
@@ -406,24 +470,23 @@ def _once(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     return settle(texts.join(repeated, "id", "left_anti").union(texts.join(repeated, "id", "left_semi").distinct()), "once")
 
 
-def _classes(every: DataFrame, known: DataFrame, sketches: DataFrame) -> DataFrame:
+def _classes(shared: DataFrame, known: DataFrame, sketches: DataFrame) -> DataFrame:
     """(id, label) of all nodes that share a bucket."""
-    shared = _shared(every)
     ids = settle(shared.select("id").distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = settle(known.join(wanted, known["doc_id"] == ids["id"], "left_semi").mapInArrow(_token_task, "id long, tokens binary"), "tokens")
+    texts = settle(known.join(wanted, known["doc_id"] == ids["id"], "left_semi").mapInArrow(_token_task, "id long, tokens binary, n_words long, signature array<long>"), "tokens")
     found = _Classes(ids, _once(texts, sketches))
-    pivots = settle(_with_pivots(shared), "with_pivots")
-    found.test(pivots.groupBy("b").agg(F.max_by("a", F.struct("buckets", -F.col("a"))).alias("a")).select("a", "b"), "first_pivots")
+    pivots = settle(found.possible(_with_pivots(shared)), "with_pivots")
+    found.test(pivots.groupBy("b").agg(F.max_by("a", F.struct("buckets", -F.col("a"))).alias("a")).select("a", "b"), "first_pivots", apart=True)
     found.test(pivots.select("a", "b"), "pivots")
     mixed = found.mixed(shared)
     few = mixed.where(F.col("n") <= CROWD)
-    found.test(_across(few.where("label <> main"), few), "few")
+    found.test(found.possible(_across(few.where("label <> main"), few).distinct()), "few", apart=True)
     crowd = settle(mixed.where(F.col("n") > CROWD).select("id").distinct(), "crowd")
     if not crowd.isEmpty():
         met = _by_rare_words(crowd, found)
-        found.test(met.where("first").select("a", "b"), "first_of_crowds")
-        found.test(met.select("a", "b"), "crowds")
+        moved = found.test(met.where("first").select("a", "b"), "first_of_crowds", apart=True)
+        found.test(_still_apart(met.where("not first"), moved).select("a", "b"), "crowds", apart=True)
     return found.labels
 
 
@@ -442,8 +505,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = rows.where("doc_id is not null")
     sketches = settle(known.mapInArrow(_sketch_task, "doc_id long, d1 long, d2 long, n_words long, keys array<long>"), "sketches")
     every = settle(sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "nodes")
-    labels = _classes(every, known, sketches)
-    classes = every.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("class_id"))
+    whole, sketches = sketches, settle(sketches.select("doc_id", "d1", "d2"), "texts")
+    freed(spark, whole)  # buckets are the most of what is written
+    shared = _shared(every)
+    whole, every = every, settle(every.select("d1", "d2", "id"), "distinct_texts")
+    freed(spark, whole)
+    labels = _classes(shared, known, sketches)
+    classes = every.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("class_id"))
     linked = sketches.join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = rows.select("doc_id").join(linked, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

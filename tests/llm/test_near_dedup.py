@@ -156,3 +156,45 @@ def test_pairs_meet_once_at_frequent_words(spark, monkeypatch):
         got = [(min(r.id_i, r.id_j), max(r.id_i, r.id_j)) for r in near_dedup._meetings(df).collect()]
         assert set(got) == want
         assert (len(got) == len(want)) == once
+
+
+def test_signatures_drop_no_similar_pair_and_most_others(spark):
+    """Texts with occurrences of words repeated: the differing bits, whole and folded, are no more than the words that the other text lacks."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    docs = []
+    for n in (5, 40, 120, 700):
+        a = rng.integers(0, 10**4, n)
+        a[: n // 3] = a[0]
+        for edits in (0, n // 40, n // 20, n // 12, n // 2, n):
+            b = a.copy()
+            b[rng.choice(n, edits, replace=False)] = rng.integers(0, 10**4, edits)
+            docs.append((len(docs), " ".join(map(word, np.delete(b, rng.choice(n, edits // 4, replace=False))))))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    near_dedup.small_batches(spark)
+    signed = rows.mapInArrow(near_dedup._token_task, "id long, tokens binary, n_words long, signature array<long>").withColumn("folded", near_dedup._folded("signature"))
+    of = lambda c: signed.select(*(F.col(x).alias(f"{x}_{c}") for x in signed.columns))
+    able = [near_dedup._alike(f"{x}_a", f"{x}_b", "n_words_a", "n_words_b", bits) for x, bits in (("signature", near_dedup.SIGNATURE), ("folded", near_dedup.FOLDED))]
+    got = of("a").crossJoin(of("b")).where("id_a < id_b").select("tokens_a", "tokens_b", able[0].alias("whole"), able[1].alias("folded")).collect()
+    same = [near_dedup.similar(np.frombuffer(r.tokens_a, "<u4"), np.frombuffer(r.tokens_b, "<u4")) for r in got]
+    assert sum(same) >= 10 and all(r.whole and r.folded for r, x in zip(got, same) if x)
+    assert all(r.folded for r in got if r.whole) and sum(r.whole for r in got) <= 2 * sum(same)
+
+
+def test_few_unlike_texts_of_a_crowd_are_aligned(spark, monkeypatch):
+    """60 texts share 60 of 100 words, and many of the others in part: before there were signatures, each met most others."""
+    rng = np.random.default_rng(12)
+    passage = " ".join(map(word, rng.integers(0, 10**9, 60)))
+    docs = [(k, passage + " " + " ".join(map(word, rng.choice(400, 40, replace=False)))) for k in range(60)]
+    docs += [(60 + k, docs[k][1].rsplit(" ", 10)[0] + " at the end other words") for k in range(5)]
+    aligned, verified = [], near_dedup.verified
+
+    def counted(*args):
+        found = verified(*args)
+        aligned.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    assert classes(spark, docs) == by_brute_force(docs)
+    assert sum(aligned) <= 100
