@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,20 +115,90 @@ def gram_keys(ranked: Column, spare: Column, k: int) -> Column:
     return F.transform(sets, lambda c: c["hash"])
 
 
+#: Dice similarity (of jaccard its dice form) and levenshtein similarity from which texts meet by parts or segments first.
+BY_PARTS, BY_SEGMENTS = 0.85, 0.8
+#: Edits of a pair of texts at most that meets by segments, and pairs of one key beyond which its texts meet by rare grams instead.
+EDITS, CROWD = 4, 1 << 20
+
+
+def part_keys(grams: Column, n: Column, others: tuple[int, int], share: float, ratio: float, most: int) -> Column:
+    """Keys (level, key) of a set of n grams, of which two sets have one in common if they differ in `share` of their sizes' sum at most.
+
+    Two sets that differ in h grams at most, dealt by hash to h + q parts, have q equal parts at least; a key is a set of q parts.
+    Levels are the h that partners of the sizes `others` (least, most) may have, rounded up, so that there are few.
+    """
+    differ = lambda sizes: F.floor(sizes * share + 1e-9)
+    low = differ(n + F.greatest(F.ceil(n * ratio - 1e-9), F.lit(others[0])))
+    high = differ(n + F.least(F.floor(n / ratio + 1e-9), F.lit(others[1])))
+    levels = [0, 1, 2, 3, 4]
+    while levels[-1] < most * share:
+        levels.append(2 * levels[-2])
+    made = []
+    for before, h in zip([-1, *levels], levels):
+        q = 3 if h <= 2 else 2 if h <= 12 else 1
+        parts = lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(h + q - 1)), lambda j: F.xxhash64(j, F.filter(hashes, lambda g: F.pmod(g, F.lit(h + q)) == j)))  # noqa: B023, E731
+        sets = lambda ps: ps if q == 1 else F.array(*(F.xxhash64(*(F.get(ps, i) for i in c)) for c in combinations(range(h + q), q)))  # noqa: B023, E731
+        keys = F.flatten(F.transform(F.transform(F.array(F.array_sort(F.transform(grams, lambda g: F.xxhash64(g)))), parts), sets))
+        made.append(F.when((low <= h) & (high > before), F.transform(keys, lambda c: F.struct(F.lit(h).alias("level"), c.alias("key")))))  # noqa: B023
+    return F.flatten(F.array_compact(F.array(*made)))
+
+
+def _segment(text: Column, size: Column, edits: Column, place: Column, moved: Column | None = None) -> Column:
+    """Key (level, key) of one of the edits + 1 even segments of a text of that size, or of what a text has there, some places further."""
+    start, end = (F.floor(k * size / (edits + 1)) for k in (place, place + 1))
+    found = F.substring(text, (start + 1 if moved is None else start + 1 + moved).cast("int"), (end - start).cast("int"))
+    return F.struct(edits.cast("int").alias("level"), F.xxhash64(place.cast("int"), size.cast("int"), found).alias("key"))
+
+
+def segment_keys(text: Column, length: Column, threshold: float, short: int, sizes: list[int] | None = None) -> Column:
+    """Keys (level, key) of a text of `short` characters at most, of which two texts that are similar enough have one in common.
+
+    A target, of its own size, is cut into one segment more than edits are allowed. Some segment i is then without edits,
+    with i edits before it and edits - i after it at most (the first i at which edits up to i are fewer than segments), so
+    a source has it i places off at most from the left, and edits - i from the right. A source (with `sizes`, those of the
+    targets) has all texts at such places as keys, for each size.
+    """
+    edits = lambda size: F.floor(size * (1 - threshold) + 1e-9)
+    longest = F.least(F.floor(length / threshold + 1e-9), F.lit(short))
+    if sizes is None:
+        return F.flatten(F.transform(F.sequence(edits(length), edits(longest)), lambda e: F.transform(F.sequence(F.lit(0).cast("long"), e), lambda i: _segment(text, length, e, i))))
+
+    def places(size: Column, e: Column, i: Column) -> Column:
+        start, end = (F.floor(k * size / (e + 1)) for k in (i, i + 1))
+        moves = F.filter(F.sequence(-i, i), lambda d: (F.abs(d - (length - size)) <= e - i) & (start + d >= 0) & (end + d <= length))
+        return F.transform(moves, lambda d: _segment(text, size, e, i, d))
+
+    of_size = lambda size, e: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), e), lambda i: places(size, e, i)))
+    fitting = F.filter(F.array(*map(F.lit, sizes)).cast("array<bigint>"), lambda k: (k >= F.ceil(length * threshold - 1e-9)) & (k <= longest))
+    return F.flatten(F.transform(fitting, lambda k: of_size(k, edits(F.greatest(k, length)))))
+
+
+def crowded_keys(s: DataFrame, t: DataFrame) -> DataFrame:
+    """Keys (level, key) of more than CROWD pairs."""
+    sides = [side.select("level", "key", *(F.lit(int(k == at)).alias(name) for k, name in enumerate(("in_s", "in_t")))) for at, side in enumerate((s, t))]
+    return sides[0].union(sides[1]).groupBy("level", "key").agg(F.sum("in_s").alias("s"), F.sum("in_t").alias("t")).where(F.col("s") * F.col("t") > CROWD).select("level", "key")
+
+
 def gram_join(s: DataFrame, t: DataFrame, x: Column, y: Column, measure: str, threshold: float) -> DataFrame:
     """Pairs of which the texts x and y can be similar by `threshold` or more: a superset without any loss.
 
-    Grams are ordered from rare to frequent. Of two texts with `least` grams in common, their first n - least + k share k
-    at least. Distinct texts, known by a hash, meet by a set of k grams there, so that few unlike ones do; k is the
+    Distinct texts, known by a hash, meet by equal keys. From thresholds BY_PARTS and BY_SEGMENTS on, they meet by parts of
+    their sets of grams (dice, jaccard) or by segments (levenshtein, of up to EDITS edits), which are few and long. All else
+    meets by rare grams: lower thresholds, longer texts, and the texts of keys that more than CROWD pairs share.
+
+    There grams are ordered from rare to frequent. Of two texts with `least` grams in common, their first n - least + k share k
+    at least. Texts meet by a set of k grams there, so that few unlike ones do; k is the
     smaller one of what both allow, and a text has keys of fewer grams than it allows only if there are texts of fitting size that
     need them. Texts so short that edits could take all their grams (levenshtein only) meet those of
     fitting length instead. Null texts meet nothing.
+
+    Keys are many for each text, which estimates of sizes don't see: sides that grow with the tables are never broadcast.
     """
     names = {c: free_name(c, s, t) for c in ("text", "known")}
     of = lambda c, tag: F.col(f"{names.get(c, c)}_{tag}")
-    classes = gram_classes(s.select(x.alias("text")), t.select(y.alias("text")))
     ratio = threshold / (2 - threshold) if measure == "dice" else threshold
     fits = lambda p, q: F.least(p, q) >= F.greatest(p, q) * ratio - 1e-9
+    share = {"dice": 1 - threshold, "jaccard": (1 - threshold) / (1 + threshold)}.get(measure)
 
     def whole(df: DataFrame, c: Column, tag: str) -> DataFrame:
         own = df.withColumn(f"{names['text']}_{tag}", c).where(of("text", tag).isNotNull())
@@ -140,7 +211,7 @@ def gram_join(s: DataFrame, t: DataFrame, x: Column, y: Column, measure: str, th
         own = own.withColumn("spare", F.col("n") - F.col("least")).withColumn("k", shared_grams(F.col("least"), F.col("spare")))
         return own.withColumn("long", F.char_length("text") if measure == "levenshtein" else F.col("n"))
 
-    def keyed(own: DataFrame, others: list, tag: str) -> DataFrame:
+    def keyed(own: DataFrame, classes: Column, others: list, tag: str) -> DataFrame:
         ranked = F.array_sort(F.transform("grams", lambda g: F.struct(F.substring(classes, _slot(g) + 1, F.lit(1)).alias("n"), g.alias("g"))))
         own = own.where("least > 0").withColumn("ranked", F.transform(ranked, lambda r: r["g"]))
         lower = {r.k: (F.col("long") * ratio - 1e-9 <= r.high) & (F.col("long") + 1e-9 >= r.low * ratio) for r in others}
@@ -149,19 +220,63 @@ def gram_join(s: DataFrame, t: DataFrame, x: Column, y: Column, measure: str, th
         each = own.select("known", "k", "long", F.explode(F.flatten(F.array_compact(F.array(*(leveled(k) for k in range(1, SHARED + 1)))))).alias("m"))
         return each.select("m.level", "m.key", *(F.col(c).alias(f"{c}_{tag}") for c in ("known", "k", "long")))
 
+    knowns = [F.col(f"known_{tag}").alias(f"{names['known']}_{tag}") for tag in "st"]
+
+    def by_rare_grams(each: dict) -> DataFrame:
+        classes = gram_classes(*(df.select("text") for df in each.values()))
+        sizes = {tag: df.where("least > 0").groupBy("k").agg(F.min("long").alias("low"), F.max("long").alias("high")).collect() for tag, df in each.items()}
+        met = keyed(each["s"], classes, sizes["t"], "s").hint("merge").join(keyed(each["t"], classes, sizes["s"], "t"), ["level", "key"])
+        met = met.where((F.col("level") == F.least("k_s", "k_t")) & fits(F.col("long_s"), F.col("long_t")))
+        return met.select(*knowns)
+
+    size = free_name("length", s, t)
+    long = lambda tag: F.char_length(of("text", tag))
+
+    def by_length(p: DataFrame, q: DataFrame) -> DataFrame:
+        """Pairs of fitting length of which one text could lose all its grams."""
+        least = lambda tag: least_common(measure, F.size(sim.ngrams(of("text", tag), GRAM)), long(tag), threshold)
+        reach = F.sequence(F.ceil(long("t") * threshold - 1e-9), F.floor(long("t") / threshold + 1e-9))
+        by_size = lambda p, q: p.withColumn(size, long("s").cast("long")).hint("merge").join(q.withColumn(size, F.explode(reach)), size).drop(size)
+        return by_size(p.where(least("s") <= 0), q).unionByName(by_size(p.where(least("s") > 0), q.where(least("t") <= 0)))
+
     a, b = whole(s, x, "s"), whole(t, y, "t")
     each = {"s": sized(a, "s"), "t": sized(b, "t")}
-    sizes = {tag: df.where("least > 0").groupBy("k").agg(F.min("long").alias("low"), F.max("long").alias("high")).collect() for tag, df in each.items()}
-    met = keyed(each["s"], sizes["t"], "s").join(keyed(each["t"], sizes["s"], "t"), ["level", "key"])
-    met = met.where((F.col("level") == F.least("k_s", "k_t")) & fits(F.col("long_s"), F.col("long_t")))
-    pairs = met.select(*(F.col(f"known_{tag}").alias(f"{names['known']}_{tag}") for tag in "st")).distinct()
     extra = [f"{names[c]}_{tag}" for c in names for tag in "st"]
-    found = a.join(pairs, extra[2]).join(b, extra[3]).drop(*extra)
-    if measure != "levenshtein":
-        return found
-    size = free_name("length", a, b)
-    long = lambda tag: F.char_length(of("text", tag))
-    least = lambda tag: least_common(measure, F.size(sim.ngrams(of("text", tag), GRAM)), long(tag), threshold)
-    reach = F.sequence(F.ceil(long("t") * threshold - 1e-9), F.floor(long("t") / threshold + 1e-9))
-    by_size = lambda p, q: p.withColumn(size, long("s").cast("long")).join(q.withColumn(size, F.explode(reach)), size).drop(size, *extra)
-    return found.unionByName(by_size(a.where(least("s") <= 0), b)).unionByName(by_size(a.where(least("s") > 0), b.where(least("t") <= 0)))
+    # merged, not broadcast: both sides grow with the tables
+    rows = lambda pairs: a.hint("merge").join(pairs.distinct(), extra[2]).hint("merge").join(b, extra[3]).drop(*extra)
+    if threshold < BY_SEGMENTS if measure == "levenshtein" else 1 - share < BY_PARTS:
+        found = rows(by_rare_grams(each))
+        return found.unionByName(by_length(a, b).drop(*extra)) if measure == "levenshtein" else found
+
+    spans = {tag: df.agg(F.coalesce(F.min("long"), F.lit(0)), F.coalesce(F.max("long"), F.lit(0))).first() for tag, df in each.items()}
+    if measure == "levenshtein":
+        longest = math.floor(max(spans["s"][1], spans["t"][1]) / threshold + 1e-9)
+        short = max(k for k in range(longest + 1) if math.floor(k * (1 - threshold) + 1e-9) <= EDITS)
+        sizes = [r.long for r in each["t"].where(F.col("long") <= short).select("long").distinct().collect()]
+        keys = {tag: segment_keys(F.col("text"), F.col("long").cast("long"), threshold, short, sizes if tag == "s" else None) for tag in "st"}
+        few = F.col("long") <= short
+    else:
+        keys = {tag: part_keys(F.col("grams"), F.col("n"), tuple(spans[other]), share, ratio, spans["s"][1] + spans["t"][1]) for tag, other in ("st", "ts")}
+        few = F.lit(True)
+    near = {tag: df.where(few).select(F.col("known").alias(f"known_{tag}"), F.explode(keys[tag]).alias("m")).select("m.level", "m.key", f"known_{tag}") for tag, df in each.items()}
+    crowded = crowded_keys(near["s"], near["t"]).persist()  # at most a key for each CROWD pairs
+    crowds = not crowded.isEmpty()
+    met = near["s"].hint("merge").join(crowded, ["level", "key"], "left_anti") if crowds else near["s"]
+    pairs = met.hint("merge").join(near["t"], ["level", "key"]).select(*knowns)
+
+    def left(tag: str) -> DataFrame:
+        """Texts that may have partners too long for segments, or have a crowded key."""
+        own = each[tag]
+        longer = own.where(F.floor(F.col("long") / threshold + 1e-9) > short) if measure == "levenshtein" else own.where(F.lit(False))
+        if not crowds:
+            return longer
+        those = near[tag].hint("merge").join(crowded, ["level", "key"], "left_semi").select(F.col(f"known_{tag}").alias("known"))
+        return own.hint("merge").join(those.unionByName(longer.select("known")), "known", "left_semi")
+
+    if crowds or measure == "levenshtein" and longest > short:
+        rest = {tag: left(tag).persist() for tag in "st"}
+        pairs = pairs.unionByName(by_rare_grams(rest))
+        if measure == "levenshtein":
+            texts = [df.select(F.col("text").alias(f"{names['text']}_{tag}"), F.col("known").alias(f"{names['known']}_{tag}")) for tag, df in rest.items()]
+            pairs = pairs.unionByName(by_length(*texts).select(extra[2], extra[3]))
+    return rows(pairs)
