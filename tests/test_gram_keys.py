@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import joins, matching
 from tallymark.operators.matching import Rule
 
-DICE = [("dice_sorensen", 0.9), ("dice_sorensen", 0.98)]
+SETS = [("dice_sorensen", 0.9), ("dice_sorensen", 0.98), ("jaccard", 0.85), ("jaccard", 0.75)]
 
 
 def edited(rng: random.Random, text: str, edits: int) -> str:
@@ -51,7 +51,7 @@ def not_broadcast(spark, algorithm: str, threshold: float) -> None:
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("crowd,algorithm,threshold", [(c, *how) for c in (1 << 20, 3) for how in DICE])
+@pytest.mark.parametrize("crowd,algorithm,threshold", [(c, *how) for c in (1 << 20, 3) for how in SETS])
 def test_sets_of_parts_lose_no_pair(spark, monkeypatch, crowd, algorithm, threshold):
     """Also where a few pairs already crowd a key, so that its texts meet by rare grams."""
     monkeypatch.setattr(joins, "CROWD", crowd)
@@ -77,3 +77,8 @@ def test_texts_with_a_passage_in_common_make_few_pairs(spark, monkeypatch):
     texts = spark.range(1200).select("id", F.concat(F.lit("a passage that all of these texts begin with, word for word: "), F.substring(F.base64(F.unhex(F.md5(F.col("id").cast("string")))), 1, 22)).alias("text"))
     s, t = (texts.select(*(F.col(c).alias(f"{p}_{c}") for c in texts.columns)) for p in "st")
     assert 1200 <= joins.gram_join(s, t, F.col("s_text"), F.col("t_text"), "dice", 0.9).count() < 120_000
+
+
+@pytest.mark.parametrize("algorithm,threshold", [("jaccard", 0.85), ("jaccard", 0.5)])
+def test_no_side_of_a_jaccard_join_is_broadcast(spark, algorithm, threshold):
+    not_broadcast(spark, algorithm, threshold)
