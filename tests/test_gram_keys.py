@@ -82,3 +82,31 @@ def test_texts_with_a_passage_in_common_make_few_pairs(spark, monkeypatch):
 @pytest.mark.parametrize("algorithm,threshold", [("jaccard", 0.85), ("jaccard", 0.5)])
 def test_no_side_of_a_jaccard_join_is_broadcast(spark, algorithm, threshold):
     not_broadcast(spark, algorithm, threshold)
+
+
+@pytest.mark.parametrize("crowd,edits,threshold", [(1 << 20, 4, 0.9), (1 << 20, 4, 0.8), (1 << 20, 1, 0.85), (3, 4, 0.9), (3, 2, 0.8)])
+def test_segments_lose_no_pair(spark, monkeypatch, crowd, edits, threshold):
+    """Also where texts are too long for segments, and where a few pairs already crowd a key."""
+    monkeypatch.setattr(joins, "CROWD", crowd)
+    monkeypatch.setattr(joins, "EDITS", edits)
+    checked(spark, "levenshtein", threshold, edits)
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.6])
+def test_no_side_of_a_levenshtein_join_is_broadcast(spark, threshold):
+    not_broadcast(spark, "levenshtein", threshold)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85, 0.9, 0.97, 1.0])
+def test_similar_texts_have_a_segment_in_common(spark, threshold):
+    """Keys of a pair alone, for 20,000 pairs around the threshold; a text of 24 characters has at most 20 keys (70 before)."""
+    rng = random.Random(int(threshold * 100))
+    short = max(k for k in range(100) if int(k * (1 - threshold) + 1e-9) <= joins.EDITS)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, min(short, 45)))) for _ in range(20_000)]
+    pairs = spark.createDataFrame([(t, edited(rng, t, rng.randint(0, 4)).lower()) for t in texts], "a string, b string").where(F.char_length("b") <= short)
+    long = lambda c: F.char_length(c).cast("long")
+    source = joins.segment_keys(F.col("a"), long("a"), threshold, short, list(range(short + 1)))
+    keyed = pairs.select("a", joins.sim.levenshtein(F.col("a"), F.col("b")).alias("s"), source.alias("x"), joins.segment_keys(F.col("b"), long("b"), threshold, short).alias("y"))
+    got = keyed.where(F.col("s") >= threshold).agg(F.count("*").alias("similar"), F.sum(F.when(~F.arrays_overlap("x", "y"), 1).otherwise(0)).alias("lost")).first()
+    assert got.similar > 1000 and got.lost == 0
+    assert threshold < 0.9 or keyed.where("length(a) = 24").agg(F.max(F.size("x"))).first()[0] <= 20
