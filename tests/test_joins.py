@@ -99,3 +99,14 @@ def test_gram_join_leaves_most_pairs_of_unlike_texts_out(spark):
     texts = spark.range(2000).select("id", F.base64(F.unhex(F.md5(F.col("id").cast("string")))).alias("text"))
     s, t = (texts.select(*(F.col(c).alias(f"{p}_{c}") for c in texts.columns)) for p in "st")
     assert joins.gram_join(s, t, F.col("s_text"), F.col("t_text"), "jaccard", 0.8).count() < 4_000
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_no_side_of_a_band_join_is_broadcast(spark, keyed):
+    """Targets in three buckets each were broadcast where their files are small: 134 MB of 13 MB of orders."""
+    a = spark.range(500).selectExpr("id", "id % 3 as k", "cast(id as double) as x")
+    rules = [Rule("x", "x", "x", "equals_tolerance", 50, True, {"tolerance": 0.5}), *([Rule("k", "k", "k", "equals", 50, True)] if keyed else [])]
+    met = matching.scored(a, a, rules, 0)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 500
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
